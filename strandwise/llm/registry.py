@@ -7,11 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.llm.consensus import ConfusionModel, krippendorff_alpha, latest_answers
 from strandwise.llm.leakage import leaked_items
 from strandwise.llm.spans import shared_share, shared_spans
 from strandwise.sources.tables import table
 
 
+def _model(spark: SparkSession, sf_dir: str) -> ConfusionModel:
+    return ConfusionModel(latest_answers(table(spark, sf_dir, "ratings")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model(spark, sf_dir).labels(min_raters=3).select(F.col("item").alias("item_key"), "field", "label")
+
+
+def p5_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _model(spark, sf_dir).reliability()
+
+
+def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return krippendorff_alpha(latest_answers(table(spark, sf_dir, "ratings")))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
@@ -36,10 +53,24 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = {
+    "p5_found": p5_found, "p5_reliability": p5_reliability, "p5_agreement": p5_agreement,
     "p8_found": p8_found, "p8_report": p8_report,
     "p9_found": p9_found, "p9_removals": p9_removals, "p9_share": p9_share,
 }
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str] = {
+    "p5_agreement": """
+with a as (
+  select field, item_key, rater, arg_max(label, (rated_at, label)) as label
+  from (select *, regexp_replace(lower(trim(value)), '[\\s-]+', '_', 'g') as label from ratings where touched and value is not null)
+  where label <> '' group by field, item_key, rater),
+v as (select field, item_key, label, count(*) as n_c from a group by all),
+u as (select field, item_key, sum(n_c) as m, sum(n_c * (n_c - 1)) as pairs from v group by all having sum(n_c) > 1),
+o as (select field, count(*) as n_items, sum(m) as n, sum(pairs / (m - 1)) as agree from u group by field),
+c as (select v.field, label, sum(n_c) as n_c from v join u using (field, item_key) group by all),
+s as (select field, sum(n_c * n_c) as sq from c group by field)
+select field, n_items, n::bigint as n_values, round(1 - (n - 1) * (n - agree) / nullif(n * n - sq, 0), 6) as alpha from o join s using (field)
+""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

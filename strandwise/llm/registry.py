@@ -8,11 +8,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm.consensus import ConfusionModel, krippendorff_alpha, latest_answers
+from strandwise.llm.language import LanguageModel, fit_from
 from strandwise.llm.leakage import leaked_items
+from strandwise.llm.runs import abstract_runs, title_runs
+from strandwise.llm.sentences import sentences
 from strandwise.llm.spans import shared_share, shared_spans
 from strandwise.sources.tables import table
 
 
+def _language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
+    return fit_from(table(spark, sf_dir, "sources"), "abstract", "lang")
+
+
+def _once(df: DataFrame, text: str) -> DataFrame:
+    """One row per id with its text; the latest load with a text counts, ids and texts that are null drop out."""
+    return (
+        df.where(F.col("id").isNotNull() & F.col(text).isNotNull())
+        .groupBy(F.col("id").alias("rec_id")).agg(F.max(F.struct("loaded_at", F.col(text).alias("text"))).alias("last"))
+        .select("rec_id", "last.text")
+    )
+
+
+def _abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(table(spark, sf_dir, "sources"), "abstract").where(F.length("text") >= 13).select(F.lit("source").alias("kind"), "rec_id", "text")
+
+
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(table(spark, sf_dir, "claims"), "statement").select(F.lit("claim").alias("kind"), "rec_id", "text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _abstracts(spark, sf_dir).unionByName(_statements(spark, sf_dir))
+    return sentences(texts, _language_model(spark, sf_dir))
+
+
+def p3_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences and their mean length by kind."""
+    return p3_found(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n_sentences"), F.avg(F.col("end_pos") - F.col("start_pos")).alias("mean_chars"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _language_model(spark, sf_dir)
+    titles = _once(table(spark, sf_dir, "sources"), "title").select("rec_id", "text")
+    return abstract_runs(_abstracts(spark, sf_dir), model).unionByName(title_runs(titles, model))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir).select(F.col("rec_id").alias("source_id"), "field", "start_pos", "end_pos", "lang")
+
+
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs, characters and mean confidence by field and language."""
+    return _runs(spark, sf_dir).groupBy("field", "lang").agg(
+        F.count("*").alias("n_runs"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("n_chars"), F.avg("confidence").alias("mean_confidence")
+    )
+
+
 def _model(spark: SparkSession, sf_dir: str) -> ConfusionModel:
     return ConfusionModel(latest_answers(table(spark, sf_dir, "ratings")))
 
@@ -53,6 +104,7 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = {
+    "p3_found": p3_found, "p3_lengths": p3_lengths, "p4_found": p4_found, "p4_languages": p4_languages,
     "p5_found": p5_found, "p5_reliability": p5_reliability, "p5_agreement": p5_agreement,
     "p8_found": p8_found, "p8_report": p8_report,
     "p9_found": p9_found, "p9_removals": p9_removals, "p9_share": p9_share,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm.consensus import ConfusionModel, krippendorff_alpha, latest_answers
+from strandwise.llm.history import repeated_records
 from strandwise.llm.language import LanguageModel, fit_from
 from strandwise.llm.leakage import leaked_items
 from strandwise.llm.runs import abstract_runs, title_runs
@@ -16,6 +17,33 @@ from strandwise.llm.spans import shared_share, shared_spans
 from strandwise.sources.tables import table
 
 
+def _repeats(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    if kind == "source":
+        fields = ["id", "title", "authors", "year", "doi"]
+        old = table(spark, sf_dir, "sources").select(*fields)
+        new = table(spark, sf_dir, "source_batch").select(*fields, F.col("harvested_at").alias("at"))
+    else:
+        none = [F.lit(None).cast("array<string>").alias("authors"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("doi")]
+        old = table(spark, sf_dir, "claims").select("id", F.col("statement").alias("title"), *none)
+        new = table(spark, sf_dir, "claim_batch").select("id", F.col("statement").alias("title"), *none, F.col("harvested_at").alias("at"))
+    return repeated_records(old, new, kind)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        _repeats(spark, sf_dir, kind).select(F.lit(kind).alias("kind"), F.least("id", "accepted").alias("id_a"), F.greatest("id", "accepted").alias("id_b"))
+        for kind in ("source", "claim")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New and repeated source records per batch."""
+    batch = table(spark, sf_dir, "source_batch").select("id", "batch_id")
+    found = _repeats(spark, sf_dir, "source").select("id", F.lit(1).alias("repeated"))
+    return batch.join(found, "id", "left").groupBy("batch_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("repeated"), F.lit(0)).alias("n_repeated"))
+
+
 def _language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
     return fit_from(table(spark, sf_dir, "sources"), "abstract", "lang")
 
@@ -104,6 +132,7 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = {
+    "p1_found": p1_found, "p1_batches": p1_batches,
     "p3_found": p3_found, "p3_lengths": p3_lengths, "p4_found": p4_found, "p4_languages": p4_languages,
     "p5_found": p5_found, "p5_reliability": p5_reliability, "p5_agreement": p5_agreement,
     "p8_found": p8_found, "p8_report": p8_report,

@@ -42,12 +42,12 @@ def doi_key(doi: str | None) -> str | None:
 
 @lru_cache(400_000)
 def near(a: str, b: str) -> bool:
-    """Equal but for a typing error: one edit or swap, two in long words; none in scripts without letters."""
+    """Equal but for a typing error: one edit or swap, two in long words of the same ends; none in scripts without letters."""
     if a == b:
         return True
     n, m = len(a), len(b)
-    allowed = 2 if min(n, m) >= 13 else 1
-    if abs(n - m) > allowed or min(n, m) < 4 or _SCRIPTS.search(a) or a[0].isdigit() or b[0].isdigit():
+    allowed = 2 if min(n, m) >= 9 and a[0] == b[0] and a[-2:] == b[-2:] else 1
+    if abs(n - m) > allowed or min(n, m) < 3 or max(n, m) < 4 or _SCRIPTS.search(a) or a[0].isdigit() or b[0].isdigit():
         return False
     before, last = None, list(range(m + 1))
     for i in range(1, n + 1):
@@ -129,7 +129,7 @@ def record(title, authors, year, doi) -> Record:
             keys.add(k)
         else:
             partial = True
-    year = None if year is None or year != year else int(year)
+    year = None if year is None or year != year or not 1000 < year < 2200 else int(year)
     return Record(title_wordings(title) if isinstance(title, str) else (), frozenset(keys), partial, year, doi_key(doi if isinstance(doi, str) else None))
 
 
@@ -221,8 +221,11 @@ SAME_MEANING = {
 }
 #: Short words that turn a statement round.
 _NEGATIONS = {"not", "no", "non", "nie", "ne", "pas", "never", "nicht", "kein", "keine", "nunca", "jamais", "mai", "niet", "nao", "не", "failed", "without"}
-_UNITS = {"percent", "prozent", "procent", "cent", "ciento", "cento", "the"}
+_UNITS = {"percent", "prozent", "procent", "cent", "ciento", "cento"}
+#: Pairs of words that mean one.
+_PHRASES = (("school sites", "schools"), ("teaching staff", "teachers"))
 _SAMPLE = re.compile(r"\bn\s*=\s*\d+", re.I)
+_SHARE = re.compile(r"\s*(?:[;,]?\s*\d+(?:[.,]\d+)?\s*(?:%|percent|prozent|pour cent|por ciento|per cento|por cento|procent|процент\w*)|[;,]\s*\d+(?:[.,]\d+)?)?", re.I)
 _FIGURE = re.compile(r"\d+(?:[.,]\d+)*")
 _SENTENCE = re.compile(r"(?<=[^\W\d_]{3}[.!?)])\s+(?=[^\W\d_a-z])|(?<=[。！？])")
 
@@ -239,10 +242,7 @@ def finding(statement: str) -> Finding:
     text = " ".join(statement.split())
     m = _SAMPLE.search(text)
     if m:
-        end = re.search(r"[)\]）.]|(?<=\d)\s+(?=[A-ZÀ-Þ])|$", text[m.end() :])
-        stop = m.end() + end.start()
-        close = re.match(r"[^.。)\]）]*[)\]）]", text[m.end() :])
-        stop = m.end() + close.end() if close else stop
+        stop = _SHARE.match(text, m.end()).end()
         begin = 0
         for s in _SENTENCE.finditer(text, 0, m.start()):
             begin = s.end()
@@ -250,6 +250,8 @@ def finding(statement: str) -> Finding:
     else:
         core = text
     core = _FRAMES.sub("", fold(core))
+    for long, short in _PHRASES:
+        core = core.replace(long, short)
     words = [w for w in _TOKEN.findall(core) if not w[0].isdigit() and w not in _UNITS]
     return Finding(tuple(sorted(_FIGURE.findall(core))), tuple(words))
 

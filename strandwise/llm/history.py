@@ -11,24 +11,33 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.fingerprints import Signer, blocks_of, short_of
-from strandwise.llm.records import GENERIC_WORDS, Record, finding, record, same_finding, same_publication
+from strandwise.llm.fingerprints import BLOCK_BITS, BLOCKS, Signer, blocks_of, short_of
+from strandwise.llm.records import GENERIC_WORDS, Record, compare, finding, record, same_finding, same_publication
 from strandwise.session import cut
 
 #: Largest bit difference of 64 that goes on to the text.
 MAX_DIFFERENCE = 18
-_TABLE = "rid long, bits long, keys array<long>"
-#: Key space beside the block tables, for exact identifiers.
-_EXACT = 1 << 40
+_TABLE = "rid long, bits long, mark long, year int, keys array<long>"
+#: Key space beside the block tables, for exact identifiers: as many as one table holds.
+_EXACT = BLOCKS << BLOCK_BITS
+#: Size of the map of keys a batch asks for: one bit a bucket, whatever the sizes of batch and history.
+_KEYS = _EXACT + (1 << BLOCK_BITS)
 
 
 def _exact(key: str) -> int:
-    import xxhash
+    return _EXACT + (xxhash.xxh3_64_intdigest(key) >> (64 - BLOCK_BITS))
 
-    return _EXACT + (xxhash.xxh3_64_intdigest(key) >> 24)
+
+def _people(r: Record) -> int:
+    """One bit of 64 for each author, by the first letters of the surname; 0 where none is known."""
+    mark = 0
+    for last, _ in r.authors:
+        mark |= 1 << (xxhash.xxh3_64_intdigest(last[:3]) & 63)
+    return mark - (1 << 64) if mark >> 63 else mark
 
 
 def source_views(r: Record) -> list[list[tuple[str, float]]]:
@@ -45,58 +54,104 @@ def source_views(r: Record) -> list[list[tuple[str, float]]]:
     return out
 
 
-def _sign_sources(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    signer = Signer()
-    for pdf in batches:
-        rids, views, exact = [], [], []
-        for rid, title, authors, year, doi in zip(pdf["rid"], pdf["title"], pdf["authors"], pdf["year"], pdf["doi"], strict=True):
-            r = record(title, authors, year, doi)
-            own = source_views(r)
-            rids += [rid] * len(own)
-            views += own
-            if r.doi:
-                exact.append((rid, 0, [_exact(r.doi)]))
-        yield from _rows(signer, rids, views, exact)
-
-
-def _sign_claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    signer = Signer()
-    for pdf in batches:
-        rids, views = [], []
-        for rid, text in zip(pdf["rid"], pdf["title"], strict=True):
-            f = finding(text) if isinstance(text, str) else None
-            if f is not None and f.words:
-                rids.append(rid)
-                # figures weigh as much as many words: renderings keep them, other findings seldom share them
-                views.append([(w, 1.0) for w in f.words if len(w) > 3] + [(x, 8.0) for x in f.figures])
-        yield from _rows(signer, rids, views, [])
-
-
-def _rows(signer: Signer, rids: list[int], views: list, exact: list) -> Iterator[pd.DataFrame]:
-    if rids:
+def _sign_sources(wanted: np.ndarray | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer()
+        for pdf in batches:
+            rows, views, exact = [], [], []
+            for rid, title, authors, year, doi in zip(pdf["rid"], pdf["title"], pdf["authors"], pdf["year"], pdf["doi"], strict=True):
+                r = record(title, authors, year, doi)
+                facts = (rid, _people(r), r.year or 0)
+                for view in source_views(r):
+                    rows.append(facts)
+                    views.append(view)
+                if r.doi:
+                    exact.append((rid, 0, facts[1], facts[2], [_exact(r.doi)]))
+            yield from _rows(signer, rows, views, exact, wanted)
+
+    return run
+
+
+def _sign_claims(wanted: np.ndarray | None):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer()
+        for pdf in batches:
+            rows, views = [], []
+            for rid, text in zip(pdf["rid"], pdf["title"], strict=True):
+                f = finding(text) if isinstance(text, str) else None
+                if f is not None and f.words:
+                    rows.append((rid, xxhash.xxh3_64_intdigest(" ".join(f.figures)) - 2**63, 0))
+                    # figures weigh as much as many words: renderings keep them, other findings seldom share them
+                    views.append([(w, 1.0) for w in f.words if len(w) > 3] + [(x, 8.0) for x in f.figures])
+            yield from _rows(signer, rows, views, [], wanted)
+
+    return run
+
+
+def _rows(signer: Signer, rows: list, views: list, exact: list, wanted: np.ndarray | None) -> Iterator[pd.DataFrame]:
+    if rows:
         bits = signer.sign(views)
-        yield pd.DataFrame({"rid": rids, "bits": short_of(bits), "keys": list(blocks_of(bits))})
+        keys = blocks_of(bits)
+        out = pd.DataFrame(rows, columns=["rid", "mark", "year"])
+        out["bits"] = short_of(bits)
+        if wanted is None:
+            out["keys"] = list(keys)
+        else:
+            asked = (wanted[keys >> 3] >> (keys & 7).astype(np.uint8)) & 1
+            some = asked.any(1)
+            out = out[some]
+            out["keys"] = [k[m] for k, m in zip(keys[some], asked[some].astype(bool), strict=True)]
+        if len(out):
+            yield out[["rid", "bits", "mark", "year", "keys"]]
+    if wanted is not None:
+        exact = [x for x in exact if (wanted[x[4][0] >> 3] >> (x[4][0] & 7)) & 1]
     if exact:
-        yield pd.DataFrame(exact, columns=["rid", "bits", "keys"])
+        yield pd.DataFrame(exact, columns=["rid", "bits", "mark", "year", "keys"])
+
+
+def block_table(records: DataFrame, kind: str, wanted: np.ndarray | None = None) -> DataFrame:
+    """`(rid, bits, mark, year, key)`: the rotated tables of `records(rid, title, authors, year, doi)`, to be stored or appended to.
 
+    `mark` holds the authors' bits of a publication, or the digest of a finding's figures. With `wanted`, a bit map of keys,
+    only the rows under those keys are made.
+    """
+    sign = _sign_sources(wanted) if kind == "source" else _sign_claims(wanted)
+    return records.mapInPandas(sign, _TABLE).select("rid", "bits", "mark", "year", F.explode("keys").alias("key"))
+
+
+def asked_keys(table: DataFrame) -> np.ndarray:
+    """Bit map of the keys of a table; its size is fixed by the number of buckets."""
+    words = table.groupBy(F.shiftright("key", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 31 as int))")).alias("b")).toPandas()
+    out = np.zeros(_KEYS // 32, dtype=np.uint32)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return out.view(np.uint8)
 
-def block_table(records: DataFrame, kind: str) -> DataFrame:
-    """`(rid, bits, key)`: the rotated tables of `records(rid, title, authors, year, doi)`, to be stored or appended to."""
-    sign = _sign_sources if kind == "source" else _sign_claims
-    return records.mapInPandas(sign, _TABLE).select("rid", "bits", F.explode("keys").alias("key"))
+
+def lookup(table: DataFrame, stored: DataFrame, kind: str, difference: int = MAX_DIFFERENCE) -> DataFrame:
+    """`(rid, old_rid)`: pairs in one bucket that differ in few bits and can be the same by their marks and years."""
+    old = stored.select(F.col("rid").alias("old_rid"), *[F.col(c).alias(f"old_{c}") for c in ("bits", "mark", "year")], "key")
+    close = F.bit_count(F.col("bits").bitwiseXOR(F.col("old_bits"))) <= difference
+    if kind == "source":
+        marks = (F.col("mark") == 0) | (F.col("old_mark") == 0) | (F.col("mark").bitwiseAND(F.col("old_mark")) != 0)
+        years = (F.col("year") == 0) | (F.col("old_year") == 0) | (F.abs(F.col("year") - F.col("old_year")) <= 1)
+        close = (F.col("key") >= _EXACT) | (close & marks & years)
+    else:
+        close = close & (F.col("mark") == F.col("old_mark"))
+    return table.join(old, "key").where((F.col("rid") != F.col("old_rid")) & close).select("rid", "old_rid").distinct()
 
 
 def _verify(kind: str) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if kind == "source":
-                keep = [
-                    same_publication(record(t, a, y, d), record(t2, a2, y2, d2))
-                    for t, a, y, d, t2, a2, y2, d2 in zip(pdf["title"], pdf["authors"], pdf["year"], pdf["doi"], pdf["title2"], pdf["authors2"], pdf["year2"], pdf["doi2"], strict=True)
-                ]
+                score = []
+                for t, a, y, d, t2, a2, y2, d2 in zip(pdf["title"], pdf["authors"], pdf["year"], pdf["doi"], pdf["title2"], pdf["authors2"], pdf["year2"], pdf["doi2"], strict=True):
+                    one, two = record(t, a, y, d), record(t2, a2, y2, d2)
+                    score.append(float(np.dot(compare(one, two), (2.0, 1.0, 1.0, 3.0))) if same_publication(one, two) else 0.0)
             else:
-                keep = [same_finding(finding(a), finding(b)) for a, b in zip(pdf["title"], pdf["title2"], strict=True)]
-            yield pdf.loc[np.array(keep, dtype=bool), ["rid", "old_rid"]]
+                score = [float(same_finding(finding(a), finding(b))) for a, b in zip(pdf["title"], pdf["title2"], strict=True)]
+            pdf = pdf[["rid", "old_rid"]].assign(score=np.array(score, dtype=float))
+            yield pdf[pdf["score"] > 0]
 
     return run
 
@@ -120,14 +175,8 @@ def repeated_records(history: DataFrame, batches: DataFrame, kind: str) -> DataF
     new = cut(new.join(first, "same"))
     heads = new.where("rid = first_rid").select(*columns, "at")
     table = cut(block_table(heads.select(*columns), kind))
-    known = block_table(old.select(*columns), kind)
-    look = table.select(F.col("rid"), F.col("bits"), "key").distinct()
-    stored = known.unionByName(table).select(F.col("rid").alias("old_rid"), F.col("bits").alias("old_bits"), "key").distinct()
-    hits = (
-        look.join(stored, "key")
-        .where((F.col("rid") != F.col("old_rid")) & ((F.col("key") >= _EXACT) | (F.bit_count(F.col("bits").bitwiseXOR(F.col("old_bits"))) <= MAX_DIFFERENCE)))
-        .select("rid", "old_rid").distinct()
-    )
+    known = block_table(old.select(*columns), kind, asked_keys(table))
+    hits = lookup(table, known.unionByName(table), kind)
     everything = old.unionByName(heads)
     other = everything.select(F.col("rid").alias("old_rid"), *[F.col(c).alias(f"{c}2") for c in ("title", "authors", "year", "doi", "at")])
     pairs = (
@@ -135,10 +184,12 @@ def repeated_records(history: DataFrame, batches: DataFrame, kind: str) -> DataF
         .where(F.col("at2").isNull() | (F.col("at2") < F.col("at")))
         .select("rid", "old_rid", "title", "authors", "year", "doi", "title2", "authors2", "year2", "doi2")
     )
-    links = cut(pairs.mapInPandas(_verify(kind), "rid long, old_rid long"))
+    links = cut(pairs.mapInPandas(_verify(kind), "rid long, old_rid long, score double"))
     when = everything.select(F.col("rid").alias("old_rid"), "at")
-    # history first, then the earliest batch record
-    best = links.join(when, "old_rid").groupBy("rid").agg(F.min(F.struct(F.coalesce("at", F.timestamp_micros(F.lit(-(2**60)))).alias("at"), "old_rid")).alias("b")).select("rid", F.col("b.old_rid").alias("up"))
+    # the closest; of equals history first, then the earliest batch record
+    best = links.join(when, "old_rid").groupBy("rid").agg(
+        F.min(F.struct((-F.col("score")).alias("s"), F.coalesce("at", F.timestamp_micros(F.lit(-(2**60)))).alias("at"), "old_rid")).alias("b")
+    ).select("rid", F.col("b.old_rid").alias("up"))
     twins = new.where("rid <> first_rid").select("rid", F.col("first_rid").alias("up"))
     roots = cut(best.unionByName(twins))
     while True:

@@ -66,6 +66,7 @@ class Wording:
     numbers: tuple[str, ...]
     segments: tuple[tuple[str, ...], ...]
     cut: bool
+    joined: str = ""
 
 
 @dataclass(frozen=True)
@@ -91,11 +92,12 @@ def title_wordings(title: str) -> tuple[Wording, ...]:
                 segments.append(tokens)
         if segments:
             flat = [t for s in segments for t in s]
+            joined = "".join(flat)
             if cut and len(flat) > 1:
                 flat = flat[:-1]
                 segments[-1] = segments[-1][:-1]
                 segments = [s for s in segments if s]
-            out.append(Wording(tuple(t for t in flat if not t[0].isdigit()), tuple(sorted(t for t in flat if t[0].isdigit())), tuple(segments), cut))
+            out.append(Wording(tuple(t for t in flat if not t[0].isdigit()), tuple(sorted(t for t in flat if t[0].isdigit())), tuple(segments), cut, joined))
     return tuple(out)
 
 
@@ -142,12 +144,21 @@ def _left(a: Counter, b: Counter) -> tuple[list[str], list[str]]:
                 x.remove(t)
                 y.remove(u)
                 break
+    # what is left of function words: a letter lost or doubled in a word of up to three letters
+    for t in [t for t in x if len(t) <= 3 and t.isalpha()]:
+        for u in y:
+            if len(u) <= 3 and u.isalpha() and abs(len(t) - len(u)) == 1 and (t in u or u in t) and not (_SCRIPTS.search(t + u)):
+                x.remove(t)
+                y.remove(u)
+                break
     return x, y
 
 
 def _subset(short: Wording, long: Wording) -> bool:
     """Whether the shorter title is one that lost its subtitle or its end."""
     if short.cut:
+        if len(short.joined) >= (8 if _SCRIPTS.search(short.joined) else 15) and long.joined.startswith(short.joined):
+            return True
         return len(short.tokens) >= 2 and not _left(Counter(short.tokens), Counter(long.tokens))[0] and set(short.numbers) <= set(long.numbers)
     whole = tuple(t for s in short.segments for t in s)
     return len(whole) >= 3 and any(not any(_left(Counter(whole), Counter(s))) for s in long.segments) and len(long.segments) > len(short.segments)
@@ -155,17 +166,17 @@ def _subset(short: Wording, long: Wording) -> bool:
 
 @lru_cache(200_000)
 def wording_score(a: Wording, b: Wording) -> float:
-    """1: same title; 0.9: one lacks its subtitle or end; else at most 0.5, by the words in common."""
+    """1: same title; 0.9: one lacks its subtitle or end; else at most 0.15, by the words in common."""
     if a.tokens == b.tokens and a.numbers == b.numbers:
         return 1.0
     if not (a.cut or b.cut):
         x, y = _left(Counter(a.tokens), Counter(b.tokens))
         if not x and not y and (a.tokens or a.numbers):
-            return 1.0 if a.numbers == b.numbers else 0.3
+            return 1.0 if a.numbers == b.numbers else 0.15
     if _subset(a, b) or _subset(b, a):
         return 0.9
     common = sum((Counter(a.tokens) & Counter(b.tokens)).values())
-    return 0.5 * 2 * common / max(1, len(a.tokens) + len(b.tokens))
+    return 0.15 * 2 * common / max(1, len(a.tokens) + len(b.tokens))
 
 
 def compare(a: Record, b: Record) -> tuple[float, float, float, float]:
@@ -201,7 +212,7 @@ def same_publication(a: Record, b: Record) -> bool:
     if title < 0.9 or authors == 0.0:
         return False
     if doi == 1.0:
-        return (authors >= 0.5 or (title == 1.0 and not generic(a))) and (year >= 0.5 or (title == 1.0 and authors > 0.5))
+        return (authors >= 0.5 or (title == 1.0 and not generic(a))) and (year >= 0.5 or (title == 1.0 and not generic(a)))
     if year < 0.5:
         return False
     if generic(a) or generic(b) or title < 1.0:

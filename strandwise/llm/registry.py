@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm.consensus import ConfusionModel, krippendorff_alpha, latest_answers
+from strandwise.llm.containers import CAPACITY, fill_containers, token_counts
+from strandwise.llm.entities import match_entities
 from strandwise.llm.history import repeated_records
 from strandwise.llm.language import LanguageModel, fit_from
 from strandwise.llm.leakage import leaked_items
@@ -108,6 +110,36 @@ def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return krippendorff_alpha(latest_answers(table(spark, sf_dir, "ratings")))
 
 
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    works = table(spark, sf_dir, "openalex_works").select(
+        "id", F.col("display_name").alias("title"), F.col("authorships.author.display_name").alias("authors"), F.col("publication_year").alias("year"), "doi"
+    )
+    return match_entities(table(spark, sf_dir, "sources").select("id", "title", "authors", "year", "doi"), works)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir).where("p > 0.5").select(F.col("left_id").alias("source_id"), F.col("right_id").alias("work_id"))
+
+
+def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs with the posterior of a match and the similarities behind it."""
+    return _matches(spark, sf_dir).withColumnsRenamed({"left_id": "source_id", "right_id": "work_id", "p": "confidence"})
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text, or of every part of a text longer than a container."""
+    lengths = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return fill_containers(lengths).withColumnRenamed("key", "doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and the share of space used."""
+    filled = p7_containers(spark, sf_dir).where("container >= 0")
+    return filled.agg(F.countDistinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens")).withColumn(
+        "fill", F.col("n_tokens") / (F.nullif(F.col("n_containers"), F.lit(0)) * CAPACITY)
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
@@ -134,7 +166,9 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = {
     "p1_found": p1_found, "p1_batches": p1_batches,
     "p3_found": p3_found, "p3_lengths": p3_lengths, "p4_found": p4_found, "p4_languages": p4_languages,
+    "p6_found": p6_found, "p6_confidence": p6_confidence,
     "p5_found": p5_found, "p5_reliability": p5_reliability, "p5_agreement": p5_agreement,
+    "p7_containers": p7_containers, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_report": p8_report,
     "p9_found": p9_found, "p9_removals": p9_removals, "p9_share": p9_share,
 }

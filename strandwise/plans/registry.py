@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwise.plans import catalogue
+from strandwise.plans import catalogue, core
 
-_MODULES = (catalogue,)
+_MODULES = (catalogue, core)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -43,7 +43,8 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER)
         enc = _encoding(tokenizer)
         for pdf in batches:
             n = [len(enc.encode_ordinary(t)) if isinstance(t, str) else 0 for t in pdf["text"]]
-            yield pd.DataFrame({"key": pdf["key"], "n_tokens": np.array(n, dtype=np.int64)})
+            if n:
+                yield pd.DataFrame({"key": pdf["key"], "n_tokens": np.array(n, dtype=np.int64)})
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, n_tokens long")
 
@@ -204,7 +205,8 @@ def fill_containers(lengths: DataFrame, capacity: int = CAPACITY, rounds: int =
                 seg = np.searchsorted(ranks[j], r, side="right") - 1
                 container[mine] = bases[j][seg] + (r - ranks[j][seg]) // copies[j][seg]
             tail = (rest > 0) | (full == 0)
-            yield pd.DataFrame({"key": pdf["key"][tail], "part": full[tail], "start_token": full[tail] * capacity, "n_tokens": rest[tail], "container": container[tail]})
+            if tail.any():
+                yield pd.DataFrame({"key": pdf["key"].to_numpy()[tail], "part": full[tail], "start_token": full[tail] * capacity, "n_tokens": rest[tail], "container": container[tail]})
             if full.any():
                 owner = np.repeat(np.arange(len(pdf)), full)
                 part = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full)

@@ -17,31 +17,46 @@ BITS = BLOCK_BITS * BLOCKS
 class Signer:
     """Fingerprints of weighted token lists; vectors of tokens are kept, as words repeat."""
 
-    def __init__(self, kept: int = 20_000) -> None:
-        self._vectors: dict[str, np.ndarray] = {}
-        self._kept = kept
+    def __init__(self, kept: int = 8_000) -> None:
+        self._place: dict[str, int] = {}
+        self._vectors = np.zeros((kept, BITS), dtype=np.float32)
 
     def _vector(self, token: str) -> np.ndarray:
-        v = self._vectors.get(token)
-        if v is None:
-            padded = f"^{token}$"
-            grams = [token] if token[0].isdigit() or len(token) < 3 else [padded[i : i + 3] for i in range(len(padded) - 2)]
-            bits = np.unpackbits(np.frombuffer(b"".join(xxhash.xxh3_64_digest(f"{k}{g}") for g in grams for k in range(BITS // 64)), dtype=np.uint8)).reshape(len(grams), -1)
-            v = (2 * bits.sum(0, dtype=np.int32) - len(grams)).astype(np.float32)
-            if len(self._vectors) >= self._kept:
-                self._vectors.clear()
-            self._vectors[token] = v
-        return v
+        padded = f"^{token}$"
+        grams = [token] if token[0].isdigit() or len(token) < 3 else [padded[i : i + 3] for i in range(len(padded) - 2)]
+        bits = np.unpackbits(np.frombuffer(b"".join(xxhash.xxh3_64_digest(f"{k}{g}") for g in grams for k in range(BITS // 64)), dtype=np.uint8)).reshape(len(grams), -1)
+        return (2 * bits.sum(0, dtype=np.int32) - len(grams)).astype(np.float32)
+
+    def _index(self, token: str) -> int:
+        at = self._place.get(token)
+        if at is None:
+            at = len(self._place)
+            self._place[token] = at
+            self._vectors[at] = self._vector(token)
+        return at
 
     def sign(self, lists: list[list[tuple[str, float]]]) -> np.ndarray:
         """Bits [list, BITS]; an empty list gives zeros."""
         out = np.zeros((len(lists), BITS), dtype=bool)
-        for k, own in enumerate(lists):
+        done = 0
+        while done < len(lists):
+            # a slice whose new tokens are sure to fit beside the kept ones
+            to, n = done, 0
+            while to < len(lists) and (to == done or n + len(lists[to]) <= len(self._vectors) // 4):
+                n += len(lists[to])
+                to += 1
+            if n > len(self._vectors) - len(self._place):
+                self._place.clear()
+                if n > len(self._vectors):
+                    self._vectors = np.zeros((n, BITS), dtype=np.float32)
+            own = [x for x in range(done, to) if lists[x]]
             if own:
-                total = np.zeros(BITS, np.float32)
-                for token, w in own:
-                    total += self._vector(token) * np.float32(w)
-                out[k] = total > 0
+                at = np.fromiter((self._index(t) for x in own for t, _ in lists[x]), dtype=np.int64)
+                weight = np.fromiter((w for x in own for _, w in lists[x]), dtype=np.float32)
+                size = np.fromiter((len(lists[x]) for x in own), dtype=np.int64)
+                starts = np.concatenate(([0], np.cumsum(size)[:-1]))
+                out[own] = np.add.reduceat(self._vectors[at] * weight[:, None], starts, axis=0) > 0
+            done = to
         return out
 
 

@@ -20,12 +20,14 @@ from strandwise.llm.records import GENERIC_WORDS, Record, compare, finding, reco
 from strandwise.session import cut
 
 #: Largest bit difference of 64 that goes on to the text.
-MAX_DIFFERENCE = 18
+MAX_DIFFERENCE = 16
 _TABLE = "rid long, bits long, mark long, year int, keys array<long>"
 #: Key space beside the block tables, for exact identifiers: as many as one table holds.
 _EXACT = BLOCKS << BLOCK_BITS
 #: Size of the map of keys a batch asks for: one bit a bucket, whatever the sizes of batch and history.
 _KEYS = _EXACT + (1 << BLOCK_BITS)
+#: The same for marks: 22 bits of them.
+_MARKS = (1 << 22) - 1
 
 
 def _exact(key: str) -> int:
@@ -80,7 +82,11 @@ def _sign_claims(wanted: np.ndarray | None):
             for rid, text in zip(pdf["rid"], pdf["title"], strict=True):
                 f = finding(text) if isinstance(text, str) else None
                 if f is not None and f.words:
-                    rows.append((rid, xxhash.xxh3_64_intdigest(" ".join(f.figures)) - 2**63, 0))
+                    mark = xxhash.xxh3_64_intdigest(" ".join(f.figures)) - 2**63
+                    # other figures are other findings: their marks need no fingerprint
+                    if wanted is not None and not (wanted[_KEYS // 8 + ((mark & _MARKS) >> 3)] >> (mark & 7)) & 1:
+                        continue
+                    rows.append((rid, mark, 0))
                     # figures weigh as much as many words: renderings keep them, other findings seldom share them
                     views.append([(w, 1.0) for w in f.words if len(w) > 3] + [(x, 8.0) for x in f.figures])
             yield from _rows(signer, rows, views, [], wanted)
@@ -120,9 +126,10 @@ def block_table(records: DataFrame, kind: str, wanted: np.ndarray | None = None)
 
 
 def asked_keys(table: DataFrame) -> np.ndarray:
-    """Bit map of the keys of a table; its size is fixed by the number of buckets."""
-    words = table.groupBy(F.shiftright("key", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 31 as int))")).alias("b")).toPandas()
-    out = np.zeros(_KEYS // 32, dtype=np.uint32)
+    """Bit maps of the keys and of the marks of a table; their size is fixed by the number of buckets."""
+    both = table.select(F.explode(F.array(F.col("key"), F.col("mark").bitwiseAND(_MARKS) + _KEYS)).alias("key"))
+    words = both.groupBy(F.shiftright("key", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 31 as int))")).alias("b")).toPandas()
+    out = np.zeros((_KEYS + _MARKS + 1) // 32, dtype=np.uint32)
     out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64).astype(np.uint32)
     return out.view(np.uint8)
 
@@ -132,7 +139,10 @@ def lookup(table: DataFrame, stored: DataFrame, kind: str, difference: int = MAX
     old = stored.select(F.col("rid").alias("old_rid"), *[F.col(c).alias(f"old_{c}") for c in ("bits", "mark", "year")], "key")
     close = F.bit_count(F.col("bits").bitwiseXOR(F.col("old_bits"))) <= difference
     if kind == "source":
-        marks = (F.col("mark") == 0) | (F.col("old_mark") == 0) | (F.col("mark").bitwiseAND(F.col("old_mark")) != 0)
+        marks = (F.col("mark") == 0) | (F.col("old_mark") == 0) | (
+            # two fifths of the shorter list of authors, as half must agree and some bits may fall together
+            F.bit_count(F.col("mark").bitwiseAND(F.col("old_mark"))) * 5 >= F.least(F.bit_count("mark"), F.bit_count("old_mark")) * 2
+        )
         years = (F.col("year") == 0) | (F.col("old_year") == 0) | (F.abs(F.col("year") - F.col("old_year")) <= 1)
         close = (F.col("key") >= _EXACT) | (close & marks & years)
     else:
@@ -147,11 +157,13 @@ def _verify(kind: str) -> Callable:
                 score = []
                 for t, a, y, d, t2, a2, y2, d2 in zip(pdf["title"], pdf["authors"], pdf["year"], pdf["doi"], pdf["title2"], pdf["authors2"], pdf["year2"], pdf["doi2"], strict=True):
                     one, two = record(t, a, y, d), record(t2, a2, y2, d2)
-                    score.append(float(np.dot(compare(one, two), (2.0, 1.0, 1.0, 3.0))) if same_publication(one, two) else 0.0)
+                    alike = compare(one, two)
+                    score.append(2 * alike[0] + alike[1] + alike[2] + 3 * alike[3] if same_publication(one, two, alike) else 0.0)
             else:
                 score = [float(same_finding(finding(a), finding(b))) for a, b in zip(pdf["title"], pdf["title2"], strict=True)]
             pdf = pdf[["rid", "old_rid"]].assign(score=np.array(score, dtype=float))
-            yield pdf[pdf["score"] > 0]
+            if (pdf["score"] > 0).any():
+                yield pdf[pdf["score"] > 0]
 
     return run
 

@@ -194,6 +194,8 @@ def label_texts(df: DataFrame, model: LanguageModel, key: str, text: str) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if pdf.empty:
+                continue
             lang, conf = model.classify([t if isinstance(t, str) else "" for t in pdf["text"]])
             yield pd.DataFrame({"key": pdf["key"], "lang": lang, "confidence": conf})
 

@@ -133,7 +133,8 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     ok = True
                     break
             keep.append(ok)
-        yield pdf.loc[keep, ["doc", "item"]]
+        if any(keep):
+            yield pd.DataFrame({c: pdf[c].to_numpy()[keep] for c in ("doc", "item")})
 
 
 def leaked_items(

@@ -12,6 +12,8 @@ from urllib.parse import unquote
 
 #: Letters without a decomposition and their plain spelling.
 _PLAIN = str.maketrans({"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i"})
+#: Combining marks of the Latin, Greek and Cyrillic scripts; in others they carry meaning.
+_MARKS = re.compile(r"[\u0300-\u036f]+")
 #: Remarks that feeds append to a title.
 _REMARK = re.compile(r"[\s(\[–—\-]*\b(?:full text|preprint|postprint|accepted manuscript|author version|working paper version|online first|advance online publication|pdf)\b[)\]\s.]*$", re.I)
 #: Roman numerals of part numbers.
@@ -28,8 +30,9 @@ GENERIC_WORDS = 6
 @lru_cache(200_000)
 def fold(text: str) -> str:
     """Lower case without accents, nor their spelling-out."""
-    plain = unicodedata.normalize("NFKD", text.lower().translate(_PLAIN))
-    plain = "".join(c for c in plain if not unicodedata.combining(c))
+    plain = text.lower()
+    if not plain.isascii():
+        plain = _MARKS.sub("", unicodedata.normalize("NFKD", plain.translate(_PLAIN)))
     return plain.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
@@ -49,6 +52,8 @@ def near(a: str, b: str) -> bool:
     allowed = 2 if min(n, m) >= 9 and a[0] == b[0] and a[-2:] == b[-2:] else 1
     if abs(n - m) > allowed or min(n, m) < 3 or max(n, m) < 4 or _SCRIPTS.search(a) or a[0].isdigit() or b[0].isdigit():
         return False
+    if len(set(a) ^ set(b)) > 2 * allowed:
+        return False
     before, last = None, list(range(m + 1))
     for i in range(1, n + 1):
         row = [i] + [0] * m
@@ -68,6 +73,9 @@ class Wording:
     cut: bool
     joined: str = ""
 
+    def __hash__(self) -> int:
+        return hash((self.joined, self.cut))
+
 
 @dataclass(frozen=True)
 class Record:
@@ -135,9 +143,15 @@ def record(title, authors, year, doi) -> Record:
     return Record(title_wordings(title) if isinstance(title, str) else (), frozenset(keys), partial, year, doi_key(doi if isinstance(doi, str) else None))
 
 
+#: Two texts with more differing words on both sides are not taken for renderings of one.
+_MOST_ERRORS = 4
+
+
 def _left(a: Counter, b: Counter) -> tuple[list[str], list[str]]:
     """Tokens of either side without partner on the other, typing errors allowed."""
     x, y = list((a - b).elements()), list((b - a).elements())
+    if min(len(x), len(y)) > _MOST_ERRORS:
+        return x, y
     for t in x[:]:
         for u in y:
             if near(t, u):
@@ -169,10 +183,12 @@ def wording_score(a: Wording, b: Wording) -> float:
     """1: same title; 0.9: one lacks its subtitle or end; else at most 0.15, by the words in common."""
     if a.tokens == b.tokens and a.numbers == b.numbers:
         return 1.0
-    if not (a.cut or b.cut):
+    if not (a.cut or b.cut) and (a.numbers == b.numbers or len(a.segments) == len(b.segments)):
+        if a.numbers != b.numbers:
+            return 0.15
         x, y = _left(Counter(a.tokens), Counter(b.tokens))
         if not x and not y and (a.tokens or a.numbers):
-            return 1.0 if a.numbers == b.numbers else 0.15
+            return 1.0
     if _subset(a, b) or _subset(b, a):
         return 0.9
     common = sum((Counter(a.tokens) & Counter(b.tokens)).values())
@@ -200,13 +216,13 @@ def generic(r: Record) -> bool:
     return all(len(w.tokens) < GENERIC_WORDS and not any(_SCRIPTS.search(t) for t in w.tokens) for w in r.wordings)
 
 
-def same_publication(a: Record, b: Record) -> bool:
+def same_publication(a: Record, b: Record, similarities: tuple[float, float, float, float] | None = None) -> bool:
     """One publication, a preprint and its publication at most a year apart included.
 
     Title and authors must agree; a DOI alone proves nothing, as several works may carry it, but it makes up for
     a missing title or a wrong year. Other parts, volumes, places and studies are other works.
     """
-    title, authors, year, doi = compare(a, b)
+    title, authors, year, doi = similarities or compare(a, b)
     if not (a.wordings and b.wordings):
         return doi == 1.0 and authors >= 0.5 and year >= 0.5
     if title < 0.9 or authors == 0.0:
@@ -238,7 +254,7 @@ _PHRASES = (("school sites", "schools"), ("teaching staff", "teachers"))
 _SAMPLE = re.compile(r"\bn\s*=\s*\d+", re.I)
 _SHARE = re.compile(r"\s*(?:[;,]?\s*\d+(?:[.,]\d+)?\s*(?:%|percent|prozent|pour cent|por ciento|per cento|por cento|procent|процент\w*)|[;,]\s*\d+(?:[.,]\d+)?)?", re.I)
 _FIGURE = re.compile(r"\d+(?:[.,]\d+)*")
-_SENTENCE = re.compile(r"(?<=[^\W\d_]{3}[.!?)])\s+(?=[^\W\d_a-z])|(?<=[。！？])")
+_GAP = re.compile(r"(?<=[.!?)])\s+|(?<=[。！？])")
 
 
 @dataclass(frozen=True)
@@ -255,8 +271,10 @@ def finding(statement: str) -> Finding:
     if m:
         stop = _SHARE.match(text, m.end()).end()
         begin = 0
-        for s in _SENTENCE.finditer(text, 0, m.start()):
-            begin = s.end()
+        for s in _GAP.finditer(text, 0, m.start()):
+            before, after = text[max(0, s.start() - 4) : s.start()].rstrip(".!?)"), text[s.end() : s.end() + 1]
+            if text[s.start() - 1] in "。！？" or (len(before) == 3 and before.isalpha() and after.isalpha() and not after.islower()):
+                begin = s.end()
         core = text[begin:stop]
     else:
         core = text

@@ -59,7 +59,8 @@ def _rows(model: LanguageModel, field: str, parts_of):
                 n = len(own)
                 out += [(rec, field, *r) for r in join_runs(own, langs[k : k + n], list(conf[k : k + n]), usual)]
                 k += n
-            yield pd.DataFrame(out, columns=["rec_id", "field", "start_pos", "end_pos", "lang", "confidence"])
+            if out:
+                yield pd.DataFrame(out, columns=["rec_id", "field", "start_pos", "end_pos", "lang", "confidence"])
 
     return run
 

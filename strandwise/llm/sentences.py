@@ -357,6 +357,8 @@ def with_languages(df: DataFrame, model: LanguageModel, part: int = 90) -> DataF
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if pdf.empty:
+                continue
             texts = pdf["text"].tolist()
             parts, owner = [], []
             for k, t in enumerate(texts):
@@ -367,9 +369,8 @@ def with_languages(df: DataFrame, model: LanguageModel, part: int = 90) -> DataF
             each: list[list[str]] = [[] for _ in texts]
             for k, x in zip(owner, lang, strict=True):
                 each[k].append(x)
-            pdf = pdf.copy()
-            pdf["langs"] = [[x for x, _ in Counter(e).most_common()] for e in each]
-            yield pdf[[*columns, "langs"]]
+            out = {c: pdf[c].to_numpy(dtype=object) for c in columns}
+            yield pd.DataFrame(out | {"langs": [[x for x, _ in Counter(e).most_common()] for e in each]}, dtype=object)
 
     schema = ", ".join(f"{n} {t}" for n, t in df.dtypes)
     return df.mapInPandas(run, f"{schema}, langs array<string>")
@@ -393,6 +394,7 @@ def sentences(texts: DataFrame, model: LanguageModel) -> DataFrame:
                     ids.append(rec)
                     starts.append(s)
                     stops.append(e)
-            yield pd.DataFrame({"kind": kinds, "rec_id": ids, "start_pos": np.array(starts, dtype=np.int32), "end_pos": np.array(stops, dtype=np.int32)})
+            if kinds:
+                yield pd.DataFrame({"kind": kinds, "rec_id": ids, "start_pos": np.array(starts, dtype=np.int32), "end_pos": np.array(stops, dtype=np.int32)})
 
     return known.mapInPandas(run, "kind string, rec_id string, start_pos int, end_pos int")

@@ -78,8 +78,7 @@ def _merge(carry: dict[int, tuple[str, int, int, int]]):
             final, load, deleted = seen
             absent = (what == _REFERENCE) & ~((load != _NEVER) & (load > deleted))
             if absent.any():
-                out = pdf.loc[absent, ["owner", "ref_field", "k", "t"]]
-                out = out.rename(columns={"k": "ref_key"})
+                out = pd.DataFrame({new: pdf[old].to_numpy()[absent] for old, new in (("owner", "owner"), ("ref_field", "ref_field"), ("k", "ref_key"), ("t", "t"))})
                 out["kind"] = np.where(final[absent] > at[absent], "late", np.where(deleted[absent] != _NEVER, "deleted", "missing"))
                 yield out
 

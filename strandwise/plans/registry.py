@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwise.plans import catalogue, core
+from strandwise.plans import catalogue, core, textual
 
-_MODULES = (catalogue, core)
+_MODULES = (catalogue, core, textual)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

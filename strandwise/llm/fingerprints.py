@@ -17,13 +17,13 @@ BITS = BLOCK_BITS * BLOCKS
 class Signer:
     """Fingerprints of weighted token lists; vectors of tokens are kept, as words repeat."""
 
-    def __init__(self, kept: int = 8_000) -> None:
+    def __init__(self, kept: int = 30_000) -> None:
         self._place: dict[str, int] = {}
         self._vectors = np.zeros((kept, BITS), dtype=np.float32)
 
     def _vector(self, token: str) -> np.ndarray:
         padded = f"^{token}$"
-        grams = [token] if token[0].isdigit() or len(token) < 3 else [padded[i : i + 3] for i in range(len(padded) - 2)]
+        grams = [token] if token[0].isdigit() or len(token) < 3 or " " in token else [padded[i : i + 3] for i in range(len(padded) - 2)]
         bits = np.unpackbits(np.frombuffer(b"".join(xxhash.xxh3_64_digest(f"{k}{g}") for g in grams for k in range(BITS // 64)), dtype=np.uint8)).reshape(len(grams), -1)
         return (2 * bits.sum(0, dtype=np.int32) - len(grams)).astype(np.float32)
 
@@ -42,7 +42,7 @@ class Signer:
         while done < len(lists):
             # a slice whose new tokens are sure to fit beside the kept ones
             to, n = done, 0
-            while to < len(lists) and (to == done or n + len(lists[to]) <= len(self._vectors) // 4):
+            while to < len(lists) and (to == done or n + len(lists[to]) <= 2_000):
                 n += len(lists[to])
                 to += 1
             if n > len(self._vectors) - len(self._place):

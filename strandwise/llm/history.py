@@ -44,7 +44,7 @@ def _people(r: Record) -> int:
 
 def source_views(r: Record) -> list[list[tuple[str, float]]]:
     """Feature lists of a publication: each wording of its title, and each title segment with the authors."""
-    people = [(f"{last} {first}", 2.0) for last, first in sorted(r.authors)[:8]]
+    people = [(f"{last} {first}", 6.0) for last, first in sorted(r.authors)[:8]]
     out = []
     for w in r.wordings:
         words = [(t, 1.0) for t in w.tokens]
@@ -52,7 +52,7 @@ def source_views(r: Record) -> list[list[tuple[str, float]]]:
             out.append(words + [(n, 6.0) for n in w.numbers])
         if people:
             longest = max(w.segments, key=len)
-            out.append([(t, 1.0) for t in longest if not t[0].isdigit()] + [(p, 2 * x) for p, x in people])
+            out.append([(t, 1.0) for t in longest if not t[0].isdigit()] + people)
     return out
 
 
@@ -152,11 +152,21 @@ def lookup(table: DataFrame, stored: DataFrame, kind: str, difference: int = MAX
 
 def _verify(kind: str) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parsed: dict[int, Record] = {}
+
+        def once(rid: int, *fields) -> Record:
+            r = parsed.get(rid)
+            if r is None:
+                if len(parsed) > 50_000:
+                    parsed.clear()
+                r = parsed[rid] = record(*fields)
+            return r
+
         for pdf in batches:
             if kind == "source":
                 score = []
-                for t, a, y, d, t2, a2, y2, d2 in zip(pdf["title"], pdf["authors"], pdf["year"], pdf["doi"], pdf["title2"], pdf["authors2"], pdf["year2"], pdf["doi2"], strict=True):
-                    one, two = record(t, a, y, d), record(t2, a2, y2, d2)
+                for i, j, t, a, y, d, t2, a2, y2, d2 in zip(*[pdf[c] for c in ("rid", "old_rid", "title", "authors", "year", "doi", "title2", "authors2", "year2", "doi2")], strict=True):
+                    one, two = once(i, t, a, y, d), once(j, t2, a2, y2, d2)
                     alike = compare(one, two)
                     score.append(2 * alike[0] + alike[1] + alike[2] + 3 * alike[3] if same_publication(one, two, alike) else 0.0)
             else:
@@ -178,7 +188,6 @@ def repeated_records(history: DataFrame, batches: DataFrame, kind: str) -> DataF
     """
     columns = ["rid", "id", "title", "authors", "year", "doi"]
     old = history.withColumn("rid", F.xxhash64("id")).select(*columns, F.lit(None).cast("timestamp").alias("at"))
-    old = old.groupBy("rid").agg(*[F.first(c, ignorenulls=True).alias(c) for c in (*columns[1:], "at")])
     new = batches.withColumn("rid", F.xxhash64("id")).select(*columns, F.col("at").cast("timestamp").alias("at"))
     # Records rendered alike are compared once; the first of them stands for the others.
     alike = F.xxhash64("title", "authors", "year", "doi")
@@ -211,4 +220,4 @@ def repeated_records(history: DataFrame, batches: DataFrame, kind: str) -> DataF
             break
         roots = cut(step.select("rid", F.coalesce("top", "up").alias("up")))
     names = everything.unionByName(new.where("rid <> first_rid").select(*columns, "at")).select("rid", "id")
-    return roots.join(names, "rid").join(names.select(F.col("rid").alias("up"), F.col("id").alias("accepted")), "up").select("id", "accepted")
+    return roots.join(names, "rid").join(names.select(F.col("rid").alias("up"), F.col("id").alias("accepted")), "up").select("id", "accepted").distinct()

@@ -19,6 +19,7 @@ _REMARK = re.compile(r"[\s(\[–—\-]*\b(?:full text|preprint|postprint|accepte
 #: Roman numerals of part numbers.
 _ROMAN = {"ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "viii": "8", "ix": "9"}
 _TOKEN = re.compile(r"\d+|[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _SEGMENT = re.compile(r"\s*[:：]\s*|\s+[–—-]\s+|\.\s+")
 _WORDINGS = re.compile(r"\s+[=|/]\s+")
 _DOI = re.compile(r"10\.\d{4,9}/\S+")
@@ -281,7 +282,7 @@ def finding(statement: str) -> Finding:
     core = _FRAMES.sub("", fold(core))
     for long, short in _PHRASES:
         core = core.replace(long, short)
-    words = [w for w in _TOKEN.findall(core) if not w[0].isdigit() and w not in _UNITS]
+    words = [w for w in _WORD.findall(core) if w not in _UNITS]
     return Finding(tuple(sorted(_FIGURE.findall(core))), tuple(words))
 
 

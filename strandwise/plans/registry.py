@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwise.plans import catalogue, core, textual
+from strandwise.plans import catalogue, core, reports, textual
 
-_MODULES = (catalogue, core, textual)
+_MODULES = (catalogue, core, textual, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

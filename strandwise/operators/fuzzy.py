@@ -61,8 +61,10 @@ def _signatures(threshold: float):
                 for m in range(int(np.ceil(n * ratio - 1e-9)), longest + 1):
                     lost = _most_lost(n, m, threshold)
                     for i, (s, e) in enumerate(_cuts(m, _most_lost(m, int(m / ratio + 1e-9), threshold) + 1)):
-                        if e > s:
-                            for p in range(max(0, s - lost), min(n - (e - s), s + lost) + 1):
+                        # take the first piece whose number bounds the losses up to it: it is whole, i are lost before it
+                        # and at most lost - i after it, which bounds how far it can have moved
+                        if e > s and i <= lost:
+                            for p in range(max(0, s - i, s + n - m - (lost - i)), min(n - (e - s), s + i, s + n - m + (lost - i)) + 1):
                                 own.add(_hash(m, i, t[p : p + e - s]))
                 ids += [ident] * len(own)
                 sides += [1] * len(own)

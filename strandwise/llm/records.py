@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
+from difflib import SequenceMatcher
 from functools import lru_cache
 from urllib.parse import unquote
 
@@ -245,7 +246,7 @@ _FRAMES = re.compile(
 #: Words of the same meaning, the plainer one first.
 SAME_MEANING = {
     "around": "about", "educators": "teachers", "contrasted": "compared", "noted": "reported", "enhanced": "improved", "recorded": "documented", "sites": "schools", "schulkinder": "kinder",
-    "students": "pupils", "learned": "acquired", "learnt": "acquired", "recalled": "retained", "tutors": "mentors", "prozent": "percent",
+    "students": "pupils", "learned": "acquired", "learnt": "acquired", "recalled": "retained", "tutors": "mentors", "prozent": "percent", "steigerten": "verbesserten",
 }
 #: Short words that turn a statement round.
 _NEGATIONS = {"not", "no", "non", "nie", "ne", "pas", "never", "nicht", "kein", "keine", "nunca", "jamais", "mai", "niet", "nao", "не", "failed", "without"}
@@ -286,6 +287,12 @@ def finding(statement: str) -> Finding:
     return Finding(tuple(sorted(_FIGURE.findall(core))), tuple(words))
 
 
+def _garbled(a: str, b: str) -> bool:
+    """Two or three typing errors in one word: same start, the same letters but for two, nearly in order."""
+    x, y = Counter(a), Counter(b)
+    return min(len(a), len(b)) >= 5 and a[0] == b[0] and sum(((x - y) + (y - x)).values()) <= 2 and not _SCRIPTS.search(a + b) and SequenceMatcher(None, a, b).ratio() >= 0.75
+
+
 @lru_cache(200_000)
 def same_finding(a: Finding, b: Finding) -> bool:
     """Same figures and the same words, but for typing errors, listed synonyms and short function words."""
@@ -301,6 +308,8 @@ def same_finding(a: Finding, b: Finding) -> bool:
                 left.remove(t)
                 right.remove(u)
                 break
+    if len(left) == len(right) == 1 and _garbled(left[0], right[0]):
+        return True
     if sum(map(len, left)) and "".join(left) == "".join(right):
         return True
     return all(len(w) <= 3 and not _SCRIPTS.search(w) for w in left + right)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.llm.fingerprints import BLOCK_BITS, BLOCKS, Signer, blocks_of, short_of
-from strandwise.llm.records import GENERIC_WORDS, Record, compare, finding, record, same_finding, same_publication
+from strandwise.llm.records import GENERIC_WORDS, Record, compare, finding, other_people, record, same_finding, same_publication
 from strandwise.session import cut
 
 #: Largest bit difference of 64 that goes on to the text.
@@ -167,6 +167,9 @@ def _verify(kind: str) -> Callable:
                 score = []
                 for i, j, t, a, y, d, t2, a2, y2, d2 in zip(*[pdf[c] for c in ("rid", "old_rid", "title", "authors", "year", "doi", "title2", "authors2", "year2", "doi2")], strict=True):
                     one, two = once(i, t, a, y, d), once(j, t2, a2, y2, d2)
+                    if other_people(one, two):
+                        score.append(0.0)
+                        continue
                     alike = compare(one, two)
                     score.append(2 * alike[0] + alike[1] + alike[2] + 3 * alike[3] if same_publication(one, two, alike) else 0.0)
             else:

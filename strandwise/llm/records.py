@@ -90,10 +90,11 @@ class Record:
 
 @lru_cache(100_000)
 def title_wordings(title: str) -> tuple[Wording, ...]:
-    text = " ".join(html.unescape(title).split()).strip("[]\"“”„«» ")
+    text = " ".join((html.unescape(title) if "&" in title else title).split()).strip("[]\"“”„«» ")
     out = []
     for part in _WORDINGS.split(text):
-        part = _REMARK.sub("", part).strip("[]\"“”„«» ")
+        # remarks stand at the end
+        part = (part[:-48] + _REMARK.sub("", part[-48:])).strip("[]\"“”„«» ")
         cut = part.endswith(("…", "..."))
         segments = []
         for s in _SEGMENT.split(part.rstrip(".… ")):
@@ -149,9 +150,14 @@ def record(title, authors, year, doi) -> Record:
 _MOST_ERRORS = 4
 
 
-def _left(a: Counter, b: Counter) -> tuple[list[str], list[str]]:
+def _left(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[list[str], list[str]]:
     """Tokens of either side without partner on the other, typing errors allowed."""
-    x, y = list((a - b).elements()), list((b - a).elements())
+    x, y = [], list(b)
+    for t in a:
+        if t in y:
+            y.remove(t)
+        else:
+            x.append(t)
     if min(len(x), len(y)) > _MOST_ERRORS:
         return x, y
     for t in x[:]:
@@ -175,9 +181,9 @@ def _subset(short: Wording, long: Wording) -> bool:
     if short.cut:
         if len(short.joined) >= (8 if _SCRIPTS.search(short.joined) else 15) and long.joined.startswith(short.joined):
             return True
-        return len(short.tokens) >= 2 and not _left(Counter(short.tokens), Counter(long.tokens))[0] and set(short.numbers) <= set(long.numbers)
+        return len(short.tokens) >= 2 and not _left(short.tokens, long.tokens)[0] and set(short.numbers) <= set(long.numbers)
     whole = tuple(t for s in short.segments for t in s)
-    return len(whole) >= 3 and any(not any(_left(Counter(whole), Counter(s))) for s in long.segments) and len(long.segments) > len(short.segments)
+    return len(whole) >= 3 and len(long.segments) > len(short.segments) and any(abs(len(whole) - len(s)) <= 1 and not any(_left(whole, s)) for s in long.segments)
 
 
 @lru_cache(200_000)
@@ -188,27 +194,35 @@ def wording_score(a: Wording, b: Wording) -> float:
     if not (a.cut or b.cut) and (a.numbers == b.numbers or len(a.segments) == len(b.segments)):
         if a.numbers != b.numbers:
             return 0.15
-        x, y = _left(Counter(a.tokens), Counter(b.tokens))
+        x, y = _left(a.tokens, b.tokens)
         if not x and not y and (a.tokens or a.numbers):
             return 1.0
     if _subset(a, b) or _subset(b, a):
         return 0.9
-    common = sum((Counter(a.tokens) & Counter(b.tokens)).values())
+    common = len(a.tokens) - len([t for t in a.tokens if t not in b.tokens])
     return 0.15 * 2 * common / max(1, len(a.tokens) + len(b.tokens))
 
 
+def _author_similarity(a: Record, b: Record) -> float:
+    if not (a.authors and b.authors):
+        return 0.5
+    common = len(a.authors & b.authors)
+    if common < min(len(a.authors), len(b.authors)):
+        rest = [k for k in b.authors if k not in a.authors]
+        common += sum(1 for k in a.authors - b.authors if any(k[1] == r[1] and near(k[0], r[0]) for r in rest))
+    loose = a.partial_authors or b.partial_authors
+    return min(1.0, common / (min if loose else max)(len(a.authors), len(b.authors)))
+
+
+def other_people(a: Record, b: Record) -> bool:
+    """Two titled records whose known authors have nobody in common: never one publication, whatever the titles."""
+    return bool(a.wordings and b.wordings) and _author_similarity(a, b) == 0.0
+
+
 def compare(a: Record, b: Record) -> tuple[float, float, float, float]:
     """Similarities in [0, 1] of title, authors, year and DOI; 0.5 where one side lacks the attribute."""
     title = max((wording_score(x, y) for x in a.wordings for y in b.wordings), default=0.5 if not (a.wordings and b.wordings) else 0.0)
-    if a.authors and b.authors:
-        common = len(a.authors & b.authors)
-        if common < min(len(a.authors), len(b.authors)):
-            rest = [k for k in b.authors if k not in a.authors]
-            common += sum(1 for k in a.authors - b.authors if any(k[1] == r[1] and near(k[0], r[0]) for r in rest))
-        loose = a.partial_authors or b.partial_authors
-        authors = min(1.0, common / (min if loose else max)(len(a.authors), len(b.authors)))
-    else:
-        authors = 0.5
+    authors = _author_similarity(a, b)
     year = 0.5 if a.year is None or b.year is None else (1.0, 0.8)[abs(a.year - b.year)] if abs(a.year - b.year) <= 1 else 0.0
     doi = 0.5 if a.doi is None or b.doi is None else float(a.doi == b.doi)
     return title, authors, year, doi
@@ -224,6 +238,8 @@ def same_publication(a: Record, b: Record, similarities: tuple[float, float, flo
     Title and authors must agree; a DOI alone proves nothing, as several works may carry it, but it makes up for
     a missing title or a wrong year. Other parts, volumes, places and studies are other works.
     """
+    if similarities is None and other_people(a, b):
+        return False
     title, authors, year, doi = similarities or compare(a, b)
     if not (a.wordings and b.wordings):
         return doi == 1.0 and authors >= 0.5 and year >= 0.5
@@ -288,9 +304,9 @@ def finding(statement: str) -> Finding:
 
 
 def _garbled(a: str, b: str) -> bool:
-    """Two or three typing errors in one word: same start, the same letters but for two, nearly in order."""
+    """Two or three typing errors in one word: same ends, the same letters but for two, nearly in order."""
     x, y = Counter(a), Counter(b)
-    return min(len(a), len(b)) >= 5 and a[0] == b[0] and sum(((x - y) + (y - x)).values()) <= 2 and not _SCRIPTS.search(a + b) and SequenceMatcher(None, a, b).ratio() >= 0.75
+    return min(len(a), len(b)) >= 5 and a[0] == b[0] and a[-1] == b[-1] and sum(((x - y) + (y - x)).values()) <= 2 and not _SCRIPTS.search(a + b) and SequenceMatcher(None, a, b).ratio() >= 0.75
 
 
 @lru_cache(200_000)
@@ -298,10 +314,9 @@ def same_finding(a: Finding, b: Finding) -> bool:
     """Same figures and the same words, but for typing errors, listed synonyms and short function words."""
     if a.figures != b.figures or not a.words or not b.words:
         return False
-    x, y = Counter(a.words), Counter(b.words)
-    if any(bool(x[w]) != bool(y[w]) for w in _NEGATIONS):
+    if (_NEGATIONS & set(a.words)) != (_NEGATIONS & set(b.words)):
         return False
-    left, right = _left(x, y)
+    left, right = _left(a.words, b.words)
     for t in left[:]:
         for u in right:
             if SAME_MEANING.get(t, t) == SAME_MEANING.get(u, u) or (min(len(t), len(u)) == 3 and abs(len(t) - len(u)) == 1 and (t in u or u in t or sorted(t)[:2] == sorted(u)[:2])):

@@ -8,13 +8,13 @@ can have moved to, and no pair at the threshold is missed.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.session import cut
@@ -37,44 +37,125 @@ def _cuts(n: int, pieces: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in zip(at[:-1], at[1:], strict=True)]
 
 
-def _hash(*parts) -> int:
-    return xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts))) - 2**63
+@functools.lru_cache(maxsize=2048)
+def _places(n: int, threshold: float, other: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`(start, end, code)` of what a title of length n signs; the code names the length of the title in pieces and the piece.
 
+    `other` is empty for the own pieces; `any` or `shorter` for the substrings that could equal a piece of a title of any
+    possible length, or of one that is not longer.
+    """
+    ratio = threshold / (2 - threshold)
+    longest = int(n / ratio + 1e-9)
+    rows = []
+    if not other:
+        rows = [(s, e, n << 32 | i) for i, (s, e) in enumerate(_cuts(n, _most_lost(n, longest, threshold) + 1)) if e > s]
+    else:
+        for m in range(int(np.ceil(n * ratio - 1e-9)), (n if other == "shorter" else longest) + 1):
+            lost = _most_lost(n, m, threshold)
+            for i, (s, e) in enumerate(_cuts(m, _most_lost(m, int(m / ratio + 1e-9), threshold) + 1)):
+                # take the first piece whose number bounds the losses up to it: it is whole, i are lost before it
+                # and at most lost - i after it, which bounds how far it can have moved
+                if e > s and i <= lost:
+                    for p in range(max(0, s - i, s + n - m - (lost - i)), min(n - (e - s), s + i, s + n - m + (lost - i)) + 1):
+                        rows.append((p, p + e - s, m << 32 | i))
+    table = np.array(rows, dtype=np.int64).reshape(-1, 3)
+    return table[:, 0], table[:, 1], table[:, 2].astype(np.uint64)
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+@functools.lru_cache(maxsize=64)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    inverse, out = pow(_BASE, -1, 1 << 64), [[1], [1]]
+    for powers, base in zip(out, (_BASE, inverse), strict=True):
+        for _ in range(n):
+            powers.append(powers[-1] * base % (1 << 64))
+    return np.array(out[0], dtype=np.uint64), np.array(out[1], dtype=np.uint64)
+
+
+def _signs(title: str, threshold: float, other: str) -> np.ndarray:
+    """Digests of the places of a title. Equal pieces have equal digests; unequal ones that fall together are told apart later."""
+    codes = np.frombuffer(title.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    start, end, code = _places(len(codes), threshold, other)
+    up, down = _powers(1 << max(8, len(codes).bit_length()))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)], dtype=np.uint64)))
+    x = (sums[end] - sums[start]) * down[start]
+    x ^= code * np.uint64(0xC2B2AE3D27D4EB4F)
+    for shift in (32, 29):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+#: Size of the bit map of signatures, which is sent to every task.
+_BITS = 1 << 24
+
+
+def _bit_map(sig: DataFrame) -> np.ndarray:
+    """Bit map of the signatures of a table; its size is fixed."""
+    low = F.col("sig").bitwiseAND(_BITS - 1)
+    words = sig.groupBy(F.shiftright(low, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 31 as int))")).alias("b")).toPandas()
+    out = np.zeros(_BITS // 32, dtype=np.uint32)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return out
 
-def _signatures(threshold: float):
-    """Rows (id, side, sig): side 0 are the pieces of a title, side 1 the substrings that could equal a piece of another."""
+
+def _signatures(threshold: float, other: str = "", wanted: np.ndarray | None = None):
+    """Rows (id, sig) of the titles; with `wanted`, a bit map, only signatures that can be in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ratio = threshold / (2 - threshold)
         for pdf in batches:
-            ids, sides, sigs = [], [], []
-            for ident, t in zip(pdf["id"], pdf["key"], strict=True):
-                n = len(t)
-                longest = int(n / ratio + 1e-9)
-                pieces = _most_lost(n, longest, threshold) + 1
-                for i, (s, e) in enumerate(_cuts(n, pieces)):
-                    if e > s or n < pieces:
-                        ids.append(ident)
-                        sides.append(0)
-                        sigs.append(_hash(n, i, t[s:e]))
-                own = set()
-                for m in range(int(np.ceil(n * ratio - 1e-9)), longest + 1):
-                    lost = _most_lost(n, m, threshold)
-                    for i, (s, e) in enumerate(_cuts(m, _most_lost(m, int(m / ratio + 1e-9), threshold) + 1)):
-                        # take the first piece whose number bounds the losses up to it: it is whole, i are lost before it
-                        # and at most lost - i after it, which bounds how far it can have moved
-                        if e > s and i <= lost:
-                            for p in range(max(0, s - i, s + n - m - (lost - i)), min(n - (e - s), s + i, s + n - m + (lost - i)) + 1):
-                                own.add(_hash(m, i, t[p : p + e - s]))
-                ids += [ident] * len(own)
-                sides += [1] * len(own)
-                sigs += own
+            ids, sigs = [], []
+            for at, t in enumerate(pdf["key"]):
+                own = _signs(t, threshold, other)
+                if wanted is not None:
+                    low = own & (_BITS - 1)
+                    own = own[wanted[low >> 5] >> (low & 31).astype(np.uint32) & np.uint32(1) == 1]
+                ids.append(np.full(len(own), at))
+                sigs.append(own)
             if ids:
-                yield pd.DataFrame({"id": ids, "side": sides, "sig": sigs})
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[np.concatenate(ids)], "sig": np.concatenate(sigs)})
 
     return run
 
 
+def _sketch(title: str) -> int:
+    """Parities of the characters with their occurrence numbers, by hash bucket: a lost character changes one bit."""
+    out, seen = 0, {}
+    for c in title:
+        k = seen[c] = seen.get(c, 0) + 1
+        out ^= 1 << (ord(c) * 31 + k * 0x9E3779B1 >> 3) % 64
+    return out - (out >> 63 << 64)
+
+
+def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(bits=np.array([_sketch(t) for t in pdf["key"]], dtype=np.int64), size=pdf["key"].str.len().astype("int32"))
+
+
+def _near(asked: DataFrame, known: DataFrame, threshold: float, window: int, other: str) -> DataFrame:
+    """`(x, y)`, not distinct: asked and known titles `(id, key, low, high)` that share a signature, lose few enough characters by
+    their sketches and have years, from low to high, that can fit; no pair at the threshold is missed.
+
+    Only signatures that some known title has are shuffled, by a bit map of fixed size.
+    """
+    kind = f"id {dict(asked.dtypes)['id']}"
+    about = f"{kind}, key string, low int, high int, bits long, size int"
+    pieces = cut(known.mapInPandas(_signatures(threshold), f"{kind}, sig long"))
+    subs = asked.mapInPandas(_signatures(threshold, other, _bit_map(pieces)), f"{kind}, sig long")
+    x, y = [d.mapInPandas(_sketches, about).select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("low", "high", "bits", "size")]) for d, s in ((asked, "x"), (known, "y"))]
+    left, right = subs.withColumnRenamed("id", "x").join(x, "x"), pieces.withColumnRenamed("id", "y").join(y, "y")
+    lost = F.bit_count(F.col("bits_x").bitwiseXOR(F.col("bits_y"))) <= (1 - threshold) * (F.col("size_x") + F.col("size_y")) + 1e-9
+    fit = (F.col("low_x") <= F.col("high_y") + window) & (F.col("low_y") <= F.col("high_x") + window)
+    return left.join(right, "sig").where((F.col("x") != F.col("y")) & lost & fit).select("x", "y")
+
+
+def _span(year: str = "year") -> tuple[Column, Column]:
+    """`low` and `high` of years; a missing one reaches over all."""
+    return F.min(F.coalesce(F.col(year), F.lit(-100_000_000))).alias("low"), F.max(F.coalesce(F.col(year), F.lit(100_000_000))).alias("high")
+
+
 def fuzzy_pairs(df: DataFrame, threshold: float = THRESHOLD, window: int = YEAR_WINDOW) -> DataFrame:
     """`(id_a, id_b, ratio)`, id_a < id_b, of titles at or above the threshold and years within the window.
 
@@ -87,11 +168,8 @@ def fuzzy_pairs(df: DataFrame, threshold: float = THRESHOLD, window: int = YEAR_
     heads = cut(rows.groupBy("key", "year").agg(F.min("id").alias("id")))
     top = rows.join(heads.select("key", "year", F.col("id").alias("head")), (rows["key"] == heads["key"]) & rows["year"].eqNullSafe(heads["year"])).where("id <> head")
     copies = top.select(F.col("head").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("ratio"))
-    sig = heads.select("id", "key").mapInPandas(_signatures(threshold), f"id {kind}, side int, sig long")
-    hits = (
-        sig.where("side = 0").select("sig", F.col("id").alias("x")).join(sig.where("side = 1").select("sig", F.col("id").alias("y")), "sig")
-        .where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
-    )
+    signed = heads.groupBy("id", "key").agg(*_span())
+    hits = _near(signed, signed, threshold, window, "shorter").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
     a, b = [heads.select(F.col("id").alias(f"id_{s}"), F.col("key").alias(f"k_{s}"), F.col("year").alias(f"y_{s}")) for s in "ab"]
     near = hits.join(a, "id_a").join(b, "id_b").where(F.coalesce(F.abs(F.col("y_a") - F.col("y_b")) <= window, F.lit(True)))
 
@@ -105,6 +183,109 @@ def fuzzy_pairs(df: DataFrame, threshold: float = THRESHOLD, window: int = YEAR_
     return near.select("id_a", "id_b", "k_a", "k_b").mapInPandas(score, f"id_a {kind}, id_b {kind}, ratio double").unionByName(copies)
 
 
+def _fits(left: str, right: str, window: int) -> Column:
+    """Years within the window; a missing year fits every year."""
+    return F.coalesce(F.abs(F.col(left) - F.col(right)) <= window, F.lit(True))
+
+
+def _scored(hits: DataFrame, titles: DataFrame, threshold: float, window: int) -> DataFrame:
+    """`(x, y, xy, yx)`: hits between `titles(tid, key, years)` with both similarities, one at the threshold, and years that can fit."""
+    x, y = [titles.select(F.col("tid").alias(s), F.col("key").alias(f"k{s}"), F.col("years").alias(f"years_{s}")) for s in "xy"]
+    fit = F.exists("years_x", lambda a: F.exists("years_y", lambda b: F.coalesce(F.abs(a - b) <= window, F.lit(True))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for a, b, left, right in zip(pdf["x"], pdf["y"], pdf["kx"], pdf["ky"], strict=True):
+                m = SequenceMatcher(None, left, right)
+                if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold:  # bounds of both
+                    xy, yx = m.ratio(), similarity(right, left)
+                    if max(xy, yx) >= threshold:
+                        rows.append((a, b, xy, yx))
+            if rows:
+                yield pd.DataFrame(rows, columns=["x", "y", "xy", "yx"])
+
+    near = hits.distinct().join(x, "x").join(y, "y").where(fit).select("x", "y", "kx", "ky")
+    return near.mapInPandas(run, "x long, y long, xy double, yx double")
+
+
+def _titles(df: DataFrame, *more: Column) -> DataFrame:
+    """`(tid, key, years, low, high)` of the titles that are not empty, each once and under a number, with more aggregates."""
+    # years are two for most titles and never more than there are years
+    once = df.where(F.length("key") > 0).groupBy("key").agg(F.collect_set(F.struct("year")).alias("years"), *_span(), *more)
+    return cut(once.withColumn("years", F.transform("years", lambda y: y["year"])).withColumn("tid", F.monotonically_increasing_id()))
+
+
+def record_pairs(df: DataFrame, threshold: float = THRESHOLD, window: int = YEAR_WINDOW) -> DataFrame:
+    """`(id_a, id_b, ratio, exact_key)`: records whose titles are at the threshold and whose years fit, the earlier as `id_a`.
+
+    `df(id, ord, identity, key, year)`. Every pair of records counts, with the ratio of the earlier against the later one, and
+    `exact_key` where they share their identity; of records of one title and year, which share that key, each is paired with
+    the first only, so copies do not multiply.
+    """
+    titles = _titles(df)
+    signed = titles.select(F.col("tid").alias("id"), "key", "low", "high")
+    pair = _near(signed, signed, threshold, window, "shorter")
+    found = _scored(pair.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), titles, threshold, window)
+    one = F.lit(1.0)
+    found = found.unionByName(titles.where(F.size("years") > 1).select(F.col("tid").alias("x"), F.col("tid").alias("y"), one.alias("xy"), one.alias("yx")))
+    r = cut(df.join(titles.select("key", "tid"), "key").select("id", "ord", "identity", "tid", "year"))
+    x, y = [r.select(F.col("tid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "ord", "identity", "year")]) for s in "xy"]
+    both = found.join(x, "x").join(y, "y").where(_fits("year_x", "year_y", window) & (F.col("id_x") != F.col("id_y")))
+    both = both.where((F.col("x") != F.col("y")) | (~F.col("year_x").eqNullSafe(F.col("year_y")) & (F.col("ord_x") < F.col("ord_y"))))
+    early = F.col("ord_x") < F.col("ord_y")
+    pairs = both.select(
+        F.when(early, F.col("id_x")).otherwise(F.col("id_y")).alias("id_a"), F.when(early, F.col("id_y")).otherwise(F.col("id_x")).alias("id_b"),
+        F.when(early, F.col("xy")).otherwise(F.col("yx")).alias("ratio"), (F.col("identity_x") == F.col("identity_y")).alias("exact_key"),
+    ).where(F.col("ratio") >= threshold)
+    first = r.groupBy("tid", "year").agg(F.min_by("id", "ord").alias("id_a")).select(F.col("tid").alias("t"), F.col("year").alias("y"), "id_a")
+    copies = r.join(first, (F.col("tid") == F.col("t")) & F.col("year").eqNullSafe(F.col("y"))).where("id <> id_a")
+    return pairs.unionByName(copies.select("id_a", F.col("id").alias("id_b"), one.alias("ratio"), F.lit(True).alias("exact_key"))).distinct()
+
+
+def keep_new(known: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD, window: int = YEAR_WINDOW) -> DataFrame:
+    """`(id, kept)`: going through the candidates in order, one is kept iff no known and no earlier kept record is the same.
+
+    Same are records that share the identity or the key of title and year, or whose titles are at the threshold with years
+    that fit. `known(identity, title_key, key, year)`, `candidates(id, ord, identity, title_key, key, year)` with unique ids and
+    orders; all titles of `known` are compared. Conflicts run over keys, not pairs, so copies do not multiply.
+    """
+    fresh = candidates
+    for k in ("identity", "title_key"):
+        both = known.select("identity").unionByName(known.select(F.col("title_key").alias("identity"))).distinct()
+        fresh = fresh.join(both.withColumnRenamed("identity", k), k, "left_anti")
+    fresh = cut(fresh)
+    parts = [d.select("key", "year", F.lit(new).alias("new")) for d, new in ((known, False), (fresh, True))]
+    titles = _titles(parts[0].unionByName(parts[1]), F.max("new").alias("new"))
+    asked, signed = [d.select(F.col("tid").alias("id"), "key", "low", "high") for d in (titles.where("new"), titles)]
+    hits = _near(asked, signed, threshold, window, "any")
+    # the later record is the left one; the same title with another year is the same at any threshold
+    found = _scored(hits, titles, threshold, window).where(F.col("xy") >= threshold).select("x", "y")
+    found = cut(found.unionByName(titles.where(F.col("new") & (F.size("years") > 1)).select(F.col("tid").alias("x"), F.col("tid").alias("y"))))
+
+    def classes(df: DataFrame, s: str) -> DataFrame:
+        return df.join(titles.select("key", "tid"), "key").select(F.col("tid").alias(s), F.col("title_key").alias(f"class_{s}"), F.col("year").alias(f"year_{s}")).distinct()
+
+    near = found.join(classes(fresh, "x"), "x")
+    old = near.join(classes(known, "y"), "y").where(_fits("year_x", "year_y", window)).select(F.col("class_x").alias("title_key")).distinct()
+    left = cut(fresh.join(old, "title_key", "left_anti"))
+    arcs = near.join(classes(left, "y"), "y").where(_fits("year_x", "year_y", window)).select(F.col("class_y").alias("title_key"), F.col("class_x").alias("k"))
+    own = left.select("id", "ord", F.explode(F.array("identity", "title_key")).alias("k"))
+    asks, takes = cut(own.distinct()), cut(own.unionByName(left.join(arcs, "title_key").select("id", "ord", "k")).distinct())
+    kept = None
+    while not asks.isEmpty():
+        first = takes.groupBy("k").agg(F.min("ord").alias("first"))
+        waits = asks.join(first, "k").where("first < ord").select("id").distinct()
+        now = cut(asks.select("id").distinct().join(waits, "id", "left_anti"))
+        kept = now if kept is None else cut(kept.unionByName(now))
+        taken = takes.join(now, "id").groupBy("k").agg(F.min("ord").alias("first"))
+        done = cut(asks.join(taken, "k").where("first < ord").select("id").unionByName(now).distinct())
+        asks, takes = cut(asks.join(done, "id", "left_anti")), cut(takes.join(done, "id", "left_anti"))
+    if kept is None:
+        return candidates.select("id", F.lit(False).alias("kept"))
+    return candidates.select("id").join(kept.withColumn("kept", F.lit(True)), "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
 def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """`(node, kept)`: going through the nodes in order, one is kept iff it conflicts with no earlier kept one.
 

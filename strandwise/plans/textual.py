@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.functions import text as T
+from strandwise.operators import keys as K
 from strandwise.operators import texts as X
-from strandwise.operators.fuzzy import fuzzy_pairs, greedy_keep
+from strandwise.operators.fuzzy import keep_new, record_pairs
 from strandwise.sources.tables import table
 
 ABBREVIATIONS = ("e.g.", "i.e.", "et al.", "z. B.", "d. h.", "Fig.", "pp.", "Dr.", "Prof.", "U.S.")
@@ -55,21 +56,30 @@ def q_folds(spark: SparkSession, sf: str) -> DataFrame:
     return X.stratified_folds(s, "id", "status", 5).select("id", "status", "fold")
 
 
-def _titles(spark: SparkSession, sf: str) -> DataFrame:
-    b = table(spark, sf, "source_batch")
-    return b.select("id", T.normalize_title(F.col("title")).alias("key"), "year", F.col("harvested_at").alias("ord"))
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """History and batches as `(id, ord, new, title, url, identity, title_key, key, year)`, in order of load, then of harvest."""
+    fields = ["doi", "eric_id", "url"]
+    old = table(spark, sf, "sources").groupBy("id", "title", "year", *fields).agg(F.min("loaded_at").alias("at")).withColumn("new", F.lit(False))
+    new = table(spark, sf, "source_batch").select("id", "title", "year", "doi", F.lit(None).cast("string").alias("eric_id"), "url", F.col("harvested_at").alias("at"), F.lit(True).alias("new"))
+    return old.unionByName(new).select(
+        "id", F.struct("new", "at", "id").alias("ord"), "new", "title", "url", K.identity_key(fields).alias("identity"), K.title_year_key().alias("title_key"),
+        T.normalize_title(F.col("title")).alias("key"), "year",
+    )
 
 
 def q_fuzzy_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Title pairs at a matching-block ratio of 0.92 or more; tested against brute force, as SQL has no such ratio."""
-    return fuzzy_pairs(_titles(spark, sf)).select("id_a", "id_b", F.round("ratio", 6).alias("ratio"))
+    """Title pairs of history and batches at a matching-block ratio of 0.92 or more, those without a common exact key being the
+    extra ones; tested against brute force, as SQL has no such ratio."""
+    return record_pairs(_records(spark, sf)).withColumn("ratio", F.round("ratio", 6))
 
 
 def q_greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Records of the batches kept in order of harvest, none fuzzily equal to a kept one."""
-    t = _titles(spark, sf)
-    pairs = fuzzy_pairs(t).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    return greedy_keep(t.select(F.col("id").alias("node"), "ord"), pairs)
+    """Records of the batches kept in order of harvest: valid, and none the same by a key or fuzzily as one of the history or a kept one."""
+    r = _records(spark, sf)
+    b = r.where("new")
+    valid = b.where((F.col("title") != "") & (F.col("url") != "") & F.coalesce(F.col("year").between(1900, 2100), F.lit(True)))
+    found = keep_new(r.where("not new"), valid).where("kept")
+    return b.select(F.col("id").alias("node")).join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 QUERIES = {f.__name__: f for f in (q_sentences, q_top_sentences, q_host_tiers, q_term_idf, q_linear_scores, q_folds, q_fuzzy_pairs, q_greedy_dedup)}

@@ -175,16 +175,17 @@ def fit_model(texts: Sequence[str], labels: Sequence[str], clusters: int = 3, ro
 
 
 def fit_from(df: DataFrame, text: str, label: str, per_language: int = TEXTS_PER_LANGUAGE) -> LanguageModel:
-    """Fit on at most about `per_language` labelled texts a language, chosen by a hash of the text."""
+    """Fit on at most about `per_language` different labelled texts a language, chosen by a hash of the text; copies count once."""
     named = df.select(F.col(text).alias("text"), language_code(F.col(label)).alias("code")).where(
         F.col("code").isNotNull() & F.length("text").between(40, SAMPLE_CHARS)
-    )
-    counts = {r.code: r["count"] for r in named.groupBy("code").count().collect()}  # at most one row per two-letter code
+    ).withColumn("hash", F.xxhash64("text"))
+    counts = {r.code: r["count"] for r in named.select("code", "hash").distinct().groupBy("code").count().collect()}  # at most one row per two-letter code
     share = F.lit(0.0)
     for code, n in counts.items():
         share = F.when(F.col("code") == code, min(1.0, per_language / n)).otherwise(share)
-    picked = named.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = picked.limit(2 * per_language * max(1, len(counts))).toPandas().drop_duplicates().sort_values(["code", "text"])
+    # copies have one hash, so they are picked together and fall together before anything reaches the driver
+    picked = named.where(F.pmod("hash", F.lit(1_000_000)) < share * 1_000_000).select("text", "code").distinct()
+    rows = picked.toPandas().sort_values(["code", "text"])
     return fit_model(rows["text"].tolist(), rows["code"].tolist())
 
 

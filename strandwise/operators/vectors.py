@@ -87,3 +87,29 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         last = (state.n, state.h)
     top = e.groupBy("a").agg(F.min("b").alias("component"))
     return nodes.select("node").distinct().join(top, F.col("node") == F.col("a"), "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def cosine_pairs(df: DataFrame, key: str, vector: str, least: float, block: int = 2_000) -> DataFrame:
+    """`(id_a, id_b, similarity)`, id_a < id_b, of all vectors at a cosine of `least` or more, for unique keys; null vectors and norms of 0 pair with nothing.
+
+    Exact: every pair of blocks of about `block` vectors is one group, so a task holds two blocks and the cost is that of all pairs.
+    """
+    kind = dict(df.dtypes)[key]
+    rows = cut(df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")))
+    blocks = -(-rows.count() // block) or 1
+    own = rows.withColumn("own", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def run(at, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["v"].tolist(), dtype=float)
+        norm = np.linalg.norm(x, axis=1)
+        x = x / np.where(norm > 0, norm, 1)[:, None]
+        k, left, right = pdf["k"].to_numpy(), np.flatnonzero((pdf["own"] == at[0]).to_numpy()), np.flatnonzero((pdf["own"] == at[1]).to_numpy())
+        sims = np.round(x[left] @ x[right].T, 9)
+        a, b = np.nonzero((sims >= least) & (norm[left] > 0)[:, None] & (norm[right] > 0)[None, :])
+        p, q = k[left[a]], k[right[b]]
+        use = p < q if at[0] == at[1] else p != q
+        p, q = p[use], q[use]
+        return pd.DataFrame({"id_a": np.where(p < q, p, q), "id_b": np.where(p < q, q, p), "similarity": sims[a, b][use]})
+
+    return sent.groupBy("i", "j").applyInPandas(run, f"id_a {kind}, id_b {kind}, similarity double")

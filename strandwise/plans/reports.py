@@ -174,3 +174,20 @@ def q_cv_pooled(spark: SparkSession, sf: str) -> DataFrame:
     means = sums.select("fold", *[((F.sum(a).over(w) - F.coalesce(F.col(a), F.lit(0))) / (F.sum(b).over(w) - F.col(b))).alias(m) for a, b, m in (("sy", "ny", "yes"), ("sn", "nn", "no"))])
     p = f.join(F.broadcast(means), "fold").where("x is not null").withColumn("said", F.abs(F.col("x") - F.col("yes")) < F.abs(F.col("x") - F.col("no")))
     return p.agg(*[F.count_if(c).alias(n) for n, c in (("tp", F.col("y") & F.col("said")), ("fp", ~F.col("y") & F.col("said")), ("fn", F.col("y") & ~F.col("said")), ("tn", ~F.col("y") & ~F.col("said")))])
+
+
+#: Cosine at which the catalogue links two embeddings.
+LINKED = 0.5
+
+
+@query()
+def q_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of embeddings at the cosine cut."""
+    return V.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", LINKED)
+
+
+@query()
+def q_cosine_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Single linkage at the cosine cut: the component of every embedding, named by its smallest member."""
+    edges = q_cosine_pairs(spark, sf).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return V.components(edges, table(spark, sf, "embeddings").select(F.col("vec_id").alias("node")))

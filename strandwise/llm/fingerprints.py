@@ -9,9 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 BLOCK_BITS, BLOCKS = 20, 16
 BITS = BLOCK_BITS * BLOCKS
+#: Blocks in one 64-bit word of a stored fingerprint.
+_PER_WORD = 64 // BLOCK_BITS
+WORDS = -(-BLOCKS // _PER_WORD)
 
 
 class Signer:
@@ -60,12 +65,19 @@ class Signer:
         return out
 
 
-def blocks_of(bits: np.ndarray) -> np.ndarray:
-    """Keys of the block tables: [fingerprint, table], the table's number in the high bits."""
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Fingerprints as 64-bit words, `_PER_WORD` blocks in each: [fingerprint, WORDS]."""
     power = (1 << np.arange(BLOCK_BITS, dtype=np.int64))[::-1]
-    return bits.reshape(len(bits), BLOCKS, BLOCK_BITS) @ power + (np.arange(BLOCKS, dtype=np.int64) << BLOCK_BITS)
+    blocks = bits.reshape(len(bits), BLOCKS, BLOCK_BITS) @ power
+    blocks = np.pad(blocks, ((0, 0), (0, WORDS * _PER_WORD - BLOCKS))).reshape(len(bits), WORDS, _PER_WORD)
+    return (blocks << (BLOCK_BITS * np.arange(_PER_WORD, dtype=np.int64))).sum(2)
 
 
-def short_of(bits: np.ndarray) -> np.ndarray:
-    """64 bits spread over the fingerprint, for a first bit-difference test."""
-    return np.packbits(bits[:, :: BITS // 64][:, :64], axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel()
+def blocks_of(words: Column) -> list[Column]:
+    """The blocks of a packed fingerprint."""
+    return [F.shiftright(words[k // _PER_WORD], BLOCK_BITS * (k % _PER_WORD)).bitwiseAND((1 << BLOCK_BITS) - 1) for k in range(BLOCKS)]
+
+
+def difference(a: Column, b: Column) -> Column:
+    """Number of bits in which two packed fingerprints differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)

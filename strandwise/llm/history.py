@@ -1,50 +1,70 @@
 """Deduplicating new batches against all history by fingerprints in rotated block tables.
 
-Accepted records are signed once; `block_table` is what a store keeps and appends to. A batch is signed, looked up by
-exact block matches, tested by bit difference, and verified on the texts. Look-ups touch one bucket per table, so
-their cost follows the batch.
+A `FingerprintStore` keeps what was accepted: canonical records with their fingerprints, block tables partitioned by
+ranges of keys, the word counts of the history and the wordings learned so far. A batch is signed, looked up by exact
+block matches in the partitions its keys fall in, tested by bit difference, verified on the whole texts, and appended.
+Nothing of the history is parsed or signed again, and its original tables are not read.
+
+Claims are verified without word lists. What two statements with equal figures do not share is a residue of words. A
+residue is harmless if it consists of typing errors (of a word the history does not use, or hardly beside the other
+one), of wordings learned from the residues of all pairs (a word the accepted history never uses that stands again and
+again for one it does use, or that belongs to a phrase added before or after), or of function words that replace each
+other. Everything else, such as another group, place or direction, tells two findings apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.fingerprints import BLOCK_BITS, BLOCKS, Signer, blocks_of, short_of
-from strandwise.llm.records import GENERIC_WORDS, Record, compare, finding, other_people, record, same_finding, same_publication
-from strandwise.session import cut
-
-#: Largest bit difference of 64 that goes on to the text.
-MAX_DIFFERENCE = 16
-_TABLE = "rid long, bits long, mark long, year int, keys array<long>"
-#: Key space beside the block tables, for exact identifiers: as many as one table holds.
-_EXACT = BLOCKS << BLOCK_BITS
-#: Size of the map of keys a batch asks for: one bit a bucket, whatever the sizes of batch and history.
-_KEYS = _EXACT + (1 << BLOCK_BITS)
-#: The same for marks: 22 bits of them.
-_MARKS = (1 << 22) - 1
+from strandwise.llm.fingerprints import Signer, blocks_of, difference, packed
+from strandwise.llm.records import GENERIC_WORDS, Record, compare, comparable, finding, other_people, record, residue, same_publication, slip
+from strandwise.session import cut, shared_folder
+
+#: Largest bit difference of 320 that goes on to the text.
+MAX_DIFFERENCE = 90
+#: Bits of a key that choose its partition of the block tables, and bins of the records.
+PART_BITS, BINS = 4, 16
+#: Size of the map of asked keys, one bit for each value of their first bits: the same for every batch and history.
+_MAP_BITS = 24
+FIELDS = ("title", "authors", "year", "doi")
+_VIEWS = "array<struct<facts: bigint, bits: array<bigint>>>"
+_EXTRA = f"figures array<string>, words array<string>, views {_VIEWS}, exact array<bigint>"
+#: Tables of a store; an append may leave no file.
+_TABLES = {
+    "records": f"id string, title string, authors array<string>, year int, doi string, at timestamp, rid bigint, {_EXTRA}, n int, bin int",
+    "blocks": "key bigint, rid bigint, view smallint, facts bigint, n int, part bigint",
+    "words": "word string, n_texts bigint, n int",
+}
+#: A function word stands in so large a share of the history's texts.
+FUNCTION_WORD = 0.1
+#: A wording is learned from so many different findings, if chance would let so many of its uses fall into the history.
+LEAST_FINDINGS, LEAST_EXPECTED = 2, 5.0
 
 
 def _exact(key: str) -> int:
-    return _EXACT + (xxhash.xxh3_64_intdigest(key) >> (64 - BLOCK_BITS))
+    """Keys of exact matches are odd, those of blocks even."""
+    return (xxhash.xxh3_64_intdigest(key) | 1) - 2**63
 
 
-def _people(r: Record) -> int:
-    """One bit of 64 for each author, by the first letters of the surname; 0 where none is known."""
+def _facts(r: Record) -> int:
+    """Author bits above the year: two bits of 48 a surname, by its first and its last letters, so one typing error spares one."""
     mark = 0
     for last, _ in r.authors:
-        mark |= 1 << (xxhash.xxh3_64_intdigest(last[:3]) & 63)
-    return mark - (1 << 64) if mark >> 63 else mark
+        mark |= 1 << (xxhash.xxh3_64_intdigest("^" + last[:3]) % 48) | 1 << (xxhash.xxh3_64_intdigest(last[-3:] + "$") % 48)
+    return mark << 8 | (r.year - 1900 if r.year and 1900 < r.year < 2156 else 0)
 
 
 def source_views(r: Record) -> list[list[tuple[str, float]]]:
     """Feature lists of a publication: each wording of its title, and each title segment with the authors."""
-    people = [(f"{last} {first}", 6.0) for last, first in sorted(r.authors)[:8]]
+    people = [(f"{last} {first}", 6.0) for last, first in sorted(r.authors)]
     out = []
     for w in r.wordings:
         words = [(t, 1.0) for t in w.tokens]
@@ -56,171 +76,423 @@ def source_views(r: Record) -> list[list[tuple[str, float]]]:
     return out
 
 
-def _sign_sources(wanted: np.ndarray | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signer = Signer()
-        for pdf in batches:
-            rows, views, exact = [], [], []
-            for rid, title, authors, year, doi in zip(pdf["rid"], pdf["title"], pdf["authors"], pdf["year"], pdf["doi"], strict=True):
-                r = record(title, authors, year, doi)
-                facts = (rid, _people(r), r.year or 0)
-                for view in source_views(r):
-                    rows.append(facts)
-                    views.append(view)
-                if r.doi:
-                    exact.append((rid, 0, facts[1], facts[2], [_exact(r.doi)]))
-            yield from _rows(signer, rows, views, exact, wanted)
-
-    return run
-
-
-def _sign_claims(wanted: np.ndarray | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signer = Signer()
-        for pdf in batches:
-            rows, views = [], []
-            for rid, text in zip(pdf["rid"], pdf["title"], strict=True):
-                f = finding(text) if isinstance(text, str) else None
-                if f is not None and f.words:
-                    mark = xxhash.xxh3_64_intdigest(" ".join(f.figures)) - 2**63
-                    # other figures are other findings: their marks need no fingerprint
-                    if wanted is not None and not (wanted[_KEYS // 8 + ((mark & _MARKS) >> 3)] >> (mark & 7)) & 1:
-                        continue
-                    rows.append((rid, mark, 0))
-                    # figures weigh as much as many words: renderings keep them, other findings seldom share them
-                    views.append([(w, 1.0) for w in f.words if len(w) > 3] + [(x, 8.0) for x in f.figures])
-            yield from _rows(signer, rows, views, [], wanted)
-
-    return run
-
-
-def _rows(signer: Signer, rows: list, views: list, exact: list, wanted: np.ndarray | None) -> Iterator[pd.DataFrame]:
-    if rows:
-        bits = signer.sign(views)
-        keys = blocks_of(bits)
-        out = pd.DataFrame(rows, columns=["rid", "mark", "year"])
-        out["bits"] = short_of(bits)
-        if wanted is None:
-            out["keys"] = list(keys)
-        else:
-            asked = (wanted[keys >> 3] >> (keys & 7).astype(np.uint8)) & 1
-            some = asked.any(1)
-            out = out[some]
-            out["keys"] = [k[m] for k, m in zip(keys[some], asked[some].astype(bool), strict=True)]
+def _doi_keys(r: Record) -> list[int]:
+    """A DOI is looked up together with what must agree besides, so that a DOI of many works makes no large bucket."""
+    if not r.doi:
+        return []
+    words = sorted({t for w in r.wordings for t in w.tokens}, key=lambda t: (-len(t), t))[:3]
+    return [_exact(f"{r.doi} {x}") for x in {*words, *(last[:4] for last, _ in r.authors)}] or [_exact(r.doi)]
+
+
+def _sign_sources(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    signer = Signer()
+    for pdf in batches:
+        views, facts, exact = [], [], []
+        for fields in zip(*[pdf[c] for c in FIELDS], strict=True):
+            r = record(*fields)
+            views.append(source_views(r))
+            facts.append(_facts(r))
+            exact.append(_doi_keys(r))
+        bits = iter(packed(signer.sign([v for own in views for v in own])).tolist())
+        out = pdf.assign(figures=None, words=None)
+        out["views"] = [[{"facts": f, "bits": next(bits)} for _ in own] for f, own in zip(facts, views, strict=True)]
+        out["exact"] = exact
+        if len(out):
+            yield out
+
+
+def _sign_claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    signer = Signer()
+    for pdf in batches:
+        found = [finding(t) if isinstance(t, str) else None for t in pdf["title"]]
+        # figures weigh as much as many words: renderings keep them, other findings seldom share them
+        views = [[(w, 1.0) for w in f.words if len(w) > 3] + [(x, 8.0) for x in f.figures] if f and f.words else [] for f in found]
+        bits = packed(signer.sign(views)).tolist()
+        out = pdf.assign(figures=[list(f.figures) if f else None for f in found], words=[list(f.words) if f else None for f in found])
+        out["views"] = [
+            [{"facts": xxhash.xxh3_64_intdigest(" ".join(f.figures)) - 2**63, "bits": b}] if v else [] for f, v, b in zip(found, views, bits, strict=True)
+        ]
+        out["exact"] = [[] for _ in found]
         if len(out):
-            yield out[["rid", "bits", "mark", "year", "keys"]]
-    if wanted is not None:
-        exact = [x for x in exact if (wanted[x[4][0] >> 3] >> (x[4][0] & 7)) & 1]
-    if exact:
-        yield pd.DataFrame(exact, columns=["rid", "bits", "mark", "year", "keys"])
+            yield out
 
 
-def block_table(records: DataFrame, kind: str, wanted: np.ndarray | None = None) -> DataFrame:
-    """`(rid, bits, mark, year, key)`: the rotated tables of `records(rid, title, authors, year, doi)`, to be stored or appended to.
+def _sign(df: DataFrame, kind: str) -> DataFrame:
+    schema = ", ".join(f"{n} {t}" for n, t in df.dtypes)
+    return df.mapInPandas(_sign_sources if kind == "source" else _sign_claims, f"{schema}, {_EXTRA}")
 
-    `mark` holds the authors' bits of a publication, or the digest of a finding's figures. With `wanted`, a bit map of keys,
-    only the rows under those keys are made.
-    """
-    sign = _sign_sources(wanted) if kind == "source" else _sign_claims(wanted)
-    return records.mapInPandas(sign, _TABLE).select("rid", "bits", "mark", "year", F.explode("keys").alias("key"))
+
+def signed_records(records: DataFrame, kind: str, n: int = 0) -> DataFrame:
+    """Records with a number `rid` (unique over all `n`), their canonical words and fingerprints; to be written or cut before use."""
+    numbered = records.withColumn("bin", F.pmod(F.xxhash64("id"), F.lit(BINS)).cast("int")).withColumn(
+        "rid", F.lit(n << 53) + F.shiftleft(F.col("bin").cast("long"), 45) + _row_number()
+    )
+    return _sign(numbered, kind)
+
+
+def block_table(signed: DataFrame, kind: str) -> DataFrame:
+    """`(key, rid, view, facts)`: the rotated tables of signed records; findings are keyed by their figures too."""
+    v = signed.select("rid", F.posexplode("views").alias("view", "v")).select("rid", "view", "v.facts", "v.bits")
+    blocks = blocks_of(F.col("bits"))
+    if kind == "source":
+        keys = [F.shiftleft(F.lit(k << 20) + b, 40) for k, b in enumerate(blocks)]
+    else:
+        keys = [F.xxhash64("facts", F.lit(k), b).bitwiseAND(~1) for k, b in enumerate(blocks)]
+    table = v.select("rid", F.col("view").cast("short").alias("view"), "facts", F.explode(F.array(*keys)).alias("key"))
+    exact = signed.select("rid", F.lit(0).cast("short").alias("view"), F.lit(0).cast("long").alias("facts"), F.explode("exact").alias("key"))
+    return table.unionByName(exact).select("key", "rid", "view", "facts") if kind == "source" else table.select("key", "rid", "view", "facts")
 
 
-def asked_keys(table: DataFrame) -> np.ndarray:
-    """Bit maps of the keys and of the marks of a table; their size is fixed by the number of buckets."""
-    both = table.select(F.explode(F.array(F.col("key"), F.col("mark").bitwiseAND(_MARKS) + _KEYS)).alias("key"))
-    words = both.groupBy(F.shiftright("key", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 31 as int))")).alias("b")).toPandas()
-    out = np.zeros((_KEYS + _MARKS + 1) // 32, dtype=np.uint32)
-    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return out.view(np.uint8)
+def _first_bits(key: Column, n: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - n)
 
 
-def lookup(table: DataFrame, stored: DataFrame, kind: str, difference: int = MAX_DIFFERENCE) -> DataFrame:
-    """`(rid, old_rid)`: pairs in one bucket that differ in few bits and can be the same by their marks and years."""
-    old = stored.select(F.col("rid").alias("old_rid"), *[F.col(c).alias(f"old_{c}") for c in ("bits", "mark", "year")], "key")
-    close = F.bit_count(F.col("bits").bitwiseXOR(F.col("old_bits"))) <= difference
+def _asked(table: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The map of the first bits of the keys of a batch, in words of 64, and the partitions they fall in; both of fixed size."""
+    slot = _first_bits(F.col("key"), _MAP_BITS)
+    words = table.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - _MAP_BITS}) & 63 as int))")).alias("bits"))
+    parts = words.select(F.shiftright("w", _MAP_BITS - 6 - PART_BITS).alias("p")).distinct().collect()  # 2**PART_BITS rows at most
+    return words, [int(r.p) for r in parts]
+
+
+def thinned(stored: DataFrame, table: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """The rows of a block table whose keys a batch may ask for, by a map of fixed size that goes to every task."""
+    words = _asked(table)[0] if words is None else words
+    # the map has 2**18 words at most, whatever the batch and the history
+    slot = _first_bits(F.col("key"), _MAP_BITS)
+    hit = stored.withColumn("w", F.shiftright(slot, 6)).join(F.broadcast(words), "w")
+    return hit.where(F.expr(f"shiftrightunsigned(bits, cast(shiftrightunsigned(key, {64 - _MAP_BITS}) & 63 as int)) & 1 = 1")).select(*table.columns)
+
+
+def candidates(new: DataFrame, stored: DataFrame, kind: str) -> DataFrame:
+    """`(rid, old_rid, exact, views)`: pairs in one bucket that can be the same by their authors' bits and years."""
+    old = stored.select("key", F.col("rid").alias("old_rid"), F.col("view").alias("old_view"), F.col("facts").alias("old_facts"))
+    pairs = new.join(old, "key").where("rid <> old_rid")
+    exact = F.col("key").bitwiseAND(1) == 1
     if kind == "source":
-        marks = (F.col("mark") == 0) | (F.col("old_mark") == 0) | (
-            # two fifths of the shorter list of authors, as half must agree and some bits may fall together
-            F.bit_count(F.col("mark").bitwiseAND(F.col("old_mark"))) * 5 >= F.least(F.bit_count("mark"), F.bit_count("old_mark")) * 2
-        )
-        years = (F.col("year") == 0) | (F.col("old_year") == 0) | (F.abs(F.col("year") - F.col("old_year")) <= 1)
-        close = (F.col("key") >= _EXACT) | (close & marks & years)
+        mark, old_mark = F.shiftright("facts", 8), F.shiftright("old_facts", 8)
+        year, old_year = F.col("facts").bitwiseAND(255), F.col("old_facts").bitwiseAND(255)
+        # half of the shorter list of authors must agree, each in one of two bits at least
+        people = (mark == 0) | (old_mark == 0) | (F.bit_count(mark.bitwiseAND(old_mark)) * 4 >= F.least(F.bit_count(mark), F.bit_count(old_mark)))
+        pairs = pairs.where(exact | (people & ((year == 0) | (old_year == 0) | (F.abs(year - old_year) <= 1))))
     else:
-        close = close & (F.col("mark") == F.col("old_mark"))
-    return table.join(old, "key").where((F.col("rid") != F.col("old_rid")) & close).select("rid", "old_rid").distinct()
-
-
-def _verify(kind: str) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parsed: dict[int, Record] = {}
-
-        def once(rid: int, *fields) -> Record:
-            r = parsed.get(rid)
-            if r is None:
-                if len(parsed) > 50_000:
-                    parsed.clear()
-                r = parsed[rid] = record(*fields)
-            return r
-
-        for pdf in batches:
-            if kind == "source":
-                score = []
-                for i, j, t, a, y, d, t2, a2, y2, d2 in zip(*[pdf[c] for c in ("rid", "old_rid", "title", "authors", "year", "doi", "title2", "authors2", "year2", "doi2")], strict=True):
-                    one, two = once(i, t, a, y, d), once(j, t2, a2, y2, d2)
-                    if other_people(one, two):
-                        score.append(0.0)
-                        continue
-                    alike = compare(one, two)
-                    score.append(2 * alike[0] + alike[1] + alike[2] + 3 * alike[3] if same_publication(one, two, alike) else 0.0)
-            else:
-                score = [float(same_finding(finding(a), finding(b))) for a, b in zip(pdf["title"], pdf["title2"], strict=True)]
-            pdf = pdf[["rid", "old_rid"]].assign(score=np.array(score, dtype=float))
-            if (pdf["score"] > 0).any():
-                yield pdf[pdf["score"] > 0]
-
-    return run
+        pairs = pairs.where("facts = old_facts")
+    return pairs.groupBy("rid", "old_rid").agg(F.max(exact).alias("exact"), F.collect_set(F.struct("view", "old_view")).alias("met"))
 
 
-def repeated_records(history: DataFrame, batches: DataFrame, kind: str) -> DataFrame:
-    """`(id, accepted)`: batch records that repeat an accepted one, each with the accepted record.
+def close_pairs(hits: DataFrame, new: DataFrame, old: DataFrame, columns: tuple[str, ...], most: int = MAX_DIFFERENCE) -> DataFrame:
+    """Candidates with the `columns` of both sides (the stored one's with a 2), of which some fingerprints differ in few bits."""
+    a = new.select("rid", "views", *columns)
+    b = old.select(F.col("rid").alias("old_rid"), F.col("views").alias("views2"), *[F.col(c).alias(f"{c}2") for c in columns])
+    near = F.exists("met", lambda m: difference(F.element_at("views", m["view"] + 1)["bits"], F.element_at("views2", m["old_view"] + 1)["bits"]) <= most)
+    return hits.join(a, "rid").join(b, "old_rid").where(F.col("exact") | near).drop("views", "views2", "met", "exact")
 
-    `history(id, title, authors, year, doi)` (claims: the statement as `title`, the rest null) is what was accepted
-    before; `batches` has `at` besides, without ties, and is accepted in that order: a record that repeats nothing becomes
-    accepted itself. Records that repeat a repetition are given the accepted record it stands for. Null or empty titles
-    are compared by DOI and authors only; records without both match nothing; repeated history rows count once.
+
+@dataclass
+class FingerprintStore:
+    """Accepted records on shared storage: `records` by bin, `blocks` by key range, `words` and `wordings` (of claims).
+
+    Tables are Parquet folders under `path` that are only appended to. Appending distinct records again is the caller's
+    matter: `accept` appends only what repeats nothing. Copies within one append are kept once, under the earliest (of
+    equals the smallest) id.
     """
-    columns = ["rid", "id", "title", "authors", "year", "doi"]
-    old = history.withColumn("rid", F.xxhash64("id")).select(*columns, F.lit(None).cast("timestamp").alias("at"))
-    new = batches.withColumn("rid", F.xxhash64("id")).select(*columns, F.col("at").cast("timestamp").alias("at"))
-    # Records rendered alike are compared once; the first of them stands for the others.
-    alike = F.xxhash64("title", "authors", "year", "doi")
-    new = new.withColumn("same", alike)
-    first = new.groupBy("same").agg(F.min(F.struct("at", "rid")).alias("f")).select("same", F.col("f.rid").alias("first_rid"))
-    new = cut(new.join(first, "same"))
-    heads = new.where("rid = first_rid").select(*columns, "at")
-    table = cut(block_table(heads.select(*columns), kind))
-    known = block_table(old.select(*columns), kind, asked_keys(table))
-    hits = lookup(table, known.unionByName(table), kind)
-    everything = old.unionByName(heads)
-    other = everything.select(F.col("rid").alias("old_rid"), *[F.col(c).alias(f"{c}2") for c in ("title", "authors", "year", "doi", "at")])
-    pairs = (
-        hits.join(heads, "rid").join(other, "old_rid")
-        .where(F.col("at2").isNull() | (F.col("at2") < F.col("at")))
-        .select("rid", "old_rid", "title", "authors", "year", "doi", "title2", "authors2", "year2", "doi2")
+
+    spark: SparkSession
+    path: str
+    kind: str
+    appends: int = 0
+
+    def _read(self, name: str) -> DataFrame | None:
+        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{name}") if self.appends else None
+
+    def signed(self, records: DataFrame) -> DataFrame:
+        """`records(id, title, authors, year, doi, at)` with `rid`, canonical words and fingerprints; unique rids beyond all stored ones."""
+        return signed_records(records, self.kind, self.appends)
+
+    def append(self, records: DataFrame) -> None:
+        """Sign and store `records(id, title, authors, year, doi, at)`; null ids and empty records are kept and match nothing."""
+        heads = records.groupBy(*FIELDS).agg(F.min(F.struct(F.coalesce("at", F.timestamp_micros(F.lit(-(2**60)))).alias("at"), "id")).alias("head"))
+        heads = heads.select("head.id", *FIELDS, F.when(F.col("head.at") > F.timestamp_micros(F.lit(-(2**60))), F.col("head.at")).alias("at"))
+        self.append_signed(self.signed(heads))
+
+    def append_signed(self, signed: DataFrame) -> None:
+        n = self.appends
+        signed.write.partitionBy("bin").parquet(f"{self.path}/records/n={n}")
+        mine = self.spark.read.schema(_TABLES["records"]).parquet(f"{self.path}/records/n={n}")
+        block_table(mine, self.kind).withColumn("part", _first_bits(F.col("key"), PART_BITS)).write.partitionBy("part").parquet(f"{self.path}/blocks/n={n}")
+        if self.kind == "claim":
+            mine.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n_texts")).write.parquet(f"{self.path}/words/n={n}")
+        self.appends += 1
+
+    def size(self) -> int:
+        return self._read("records").count() if self.appends else 0
+
+    def found(self, table: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Candidates of a batch (its block table and signed records) among the stored and its own ones, and the records of both."""
+        words, parts = _asked(table)
+        known = table
+        if self.appends:
+            known = thinned(self._read("blocks").where(F.col("part").isin(parts)), table, words).unionByName(table)
+        hits = cut(candidates(table, known, self.kind))
+        records = new
+        if self.appends:
+            bins = hits.where(F.shiftright("old_rid", 53) < self.appends).select((F.shiftright("old_rid", 45) % 256).alias("bin")).distinct().collect()  # BINS rows at most
+            old = self._read("records").where(F.col("bin").isin([int(r.bin) for r in bins]))
+            wanted = hits.select(F.col("old_rid").alias("rid")).distinct()
+            records = old.select(*new.columns).join(wanted, "rid", "left_semi").select(*new.columns).unionByName(new)
+        return hits, records
+
+    def drop(self) -> None:
+        sc = self.spark.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _row_number() -> Column:
+    """Numbers of rows, unique within one job that writes them: 12 bits of the task above 33 bits of the row, folded into 45 bits."""
+    m = F.monotonically_increasing_id()
+    return F.shiftleft(F.shiftright(m, 33) % 4096, 33) + m.bitwiseAND((1 << 33) - 1)
+
+
+def new_store(spark: SparkSession, kind: str) -> FingerprintStore:
+    return FingerprintStore(spark, f"{shared_folder(spark)}/fingerprints-{kind}-{uuid.uuid4().hex}", kind)
+
+
+def _verify_sources(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parsed: dict[int, Record] = {}
+
+    def once(rid: int, *fields) -> Record:
+        r = parsed.get(rid)
+        if r is None:
+            if len(parsed) > 50_000:
+                parsed.clear()
+            r = parsed[rid] = record(*fields)
+        return r
+
+    for pdf in batches:
+        score = []
+        for i, j, *fields in zip(*[pdf[c] for c in ("rid", "old_rid", *FIELDS, *[f"{c}2" for c in FIELDS])], strict=True):
+            one, two = once(i, *fields[:4]), once(j, *fields[4:])
+            if other_people(one, two):
+                score.append(0.0)
+                continue
+            alike = compare(one, two)
+            score.append(2 * alike[0] + alike[1] + alike[2] + 3 * alike[3] if same_publication(one, two, alike) else 0.0)
+        pdf = pdf[["rid", "old_rid"]].assign(score=np.array(score, dtype=float))
+        if (pdf["score"] > 0).any():
+            yield pdf[pdf["score"] > 0]
+
+
+_RESIDUE = "rid long, old_rid long, score double, finding long, lead array<string>, tail array<string>, x array<string>, y array<string>"
+
+
+def _residues(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for i, j, f, w, f2, w2 in zip(*[pdf[c] for c in ("rid", "old_rid", "figures", "words", "figures2", "words2")], strict=True):
+            if list(f) != list(f2):
+                continue
+            a, b = tuple(w), tuple(w2)
+            r = residue(a, b)
+            if comparable(a, b, r):
+                shared = 1 - (len(r.left) + len(r.right)) / (len(a) + len(b))
+                # findings without figures teach nothing: too little agrees besides
+                mark = xxhash.xxh3_64_intdigest(" ".join(f)) - 2**63 if len(f) else None
+                rows.append((i, j, shared, mark, list(r.lead), list(r.tail), list(r.left), list(r.right)))
+        if rows:
+            yield pd.DataFrame(rows, columns=["rid", "old_rid", "score", "finding", "lead", "tail", "x", "y"])
+
+
+def _split_slips(x: list[str], y: list[str], uses: dict[str, int]) -> tuple[list[str], list[str]]:
+    """What is left of a residue without typing errors; a word that the history uses by itself is none."""
+    left, right = [], list(y)
+    if "".join(x) == "".join(y):
+        return [], []
+    for t in x:
+        for u in right:
+            rare, usual = sorted((uses.get(t, 0), uses.get(u, 0)))
+            if 100 * rare <= usual and slip(t, u):
+                right.remove(u)
+                break
+        else:
+            left.append(t)
+    if "".join(left) == "".join(right):
+        return [], []
+    return left, right
+
+
+def _units(x: list[str], y: list[str], uses: dict[str, int]) -> list[tuple[str, str]]:
+    """(word, key) of a residue as one replacement; the word is the side the history does not use, '' for two function words."""
+    out = []
+    for a, b in ((x, y), (y, x)):
+        new = [t for t in a if not uses.get(t, 0)]
+        if new and b and all(uses.get(t, 0) for t in b):
+            out.append((new[0], f"{' '.join(sorted(a))}|{' '.join(sorted(b))}"))
+    if not out and len(x) == len(y) == 1 and all(uses.get(t, 0) for t in (x[0], y[0])):
+        out.append(("", "|".join(sorted((x[0], y[0])))))
+    return out
+
+
+def _wordings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keys of a residue: `pure` ones are all of it and teach, the others are parts that may have been learned elsewhere."""
+    for pdf in batches:
+        rows = []
+        for i, j, mark, lead, tail, x, y, uses in zip(*[pdf[c] for c in ("rid", "old_rid", "finding", "lead", "tail", "x", "y", "uses")], strict=True):
+            uses = dict(uses)
+            lead, tail, x, y = list(lead), list(tail), list(x), list(y)
+            left, right = _split_slips(x, y, uses)
+            added = [(next((t for t in a if not uses.get(t, 0)), None), f"{'^' if a is lead else '$'}{' '.join(a)}") for a in (lead, tail) if a]
+            added = [(w, k) for w, k in added if w is not None]
+            pure = mark is not None and mark == mark
+            seen = set()
+            for w, k in added:
+                rows.append((i, j, w, k, pure and not left and not right and not (lead and tail), mark))
+            whole = _units(x, y, uses) if x and y else []
+            rest = _units(left, right, uses) if left and right else []
+            for units, size in ((whole, len(x) + len(y)), (rest, len(left) + len(right))):
+                for w, k in units:
+                    if k not in seen:
+                        seen.add(k)
+                        # one word for one or two others: more at once are several wordings, which are learned singly
+                        rows.append((i, j, w, k, pure and size <= 3 and not lead and not tail, mark))
+            for n, t in enumerate(left):
+                for m, u in enumerate(right):
+                    pairs = [([t], [u])] + ([([t, left[n + 1]], [u])] if n + 1 < len(left) else []) + ([([t], [u, right[m + 1]])] if m + 1 < len(right) else [])
+                    for a, b in pairs:
+                        for w, k in _units(a, b, uses):
+                            if k not in seen:
+                                seen.add(k)
+                                rows.append((i, j, w, k, False, mark))
+        if rows:
+            yield pd.DataFrame(rows, columns=["rid", "old_rid", "word", "wording", "pure", "finding"])
+
+
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs whose residue is made of typing errors and learned wordings."""
+    for pdf in batches:
+        keep = []
+        for lead, tail, x, y, uses, known in zip(*[pdf[c] for c in ("lead", "tail", "x", "y", "uses", "known")], strict=True):
+            uses, known = dict(uses), set(known) if known is not None else set()
+            ok = (not len(lead) or f"^{' '.join(lead)}" in known) and (not len(tail) or f"${' '.join(tail)}" in known)
+            keep.append(ok and _explained(list(x), list(y), uses, known))
+        if any(keep):
+            yield pdf[np.array(keep)][["rid", "old_rid", "score"]]
+
+
+def _explained(x: list[str], y: list[str], uses: dict[str, int], known: set[str]) -> bool:
+    def learned(a: list[str], b: list[str]) -> bool:
+        return any(k in known for _, k in _units(a, b, uses))
+
+    if not x and not y:
+        return True
+    if x and y and learned(x, y):
+        return True
+    x, y = _split_slips(x, y, uses)
+    if not x and not y:
+        return True
+    for n, t in enumerate(x):
+        for m, u in enumerate(y):
+            for a, b in (([t], [u]), (x[n : n + 2], [u]), ([t], y[m : m + 2])):
+                if learned(a, b):
+                    return _explained([w for i, w in enumerate(x) if not n <= i < n + len(a)], [w for i, w in enumerate(y) if not m <= i < m + len(b)], uses, known)
+    return False
+
+
+def _same_claims(store: FingerprintStore, pairs: DataFrame, n_batch: int) -> DataFrame:
+    """`(rid, old_rid, score)` of the pairs that state one finding; the wordings found are kept with the store."""
+    spark = store.spark
+    rests = cut(pairs.mapInPandas(_residues, _RESIDUE))
+    every = F.concat("lead", "tail", "x", "y")
+    equal = rests.where(F.size(every) == 0).select("rid", "old_rid", "score")
+    rests = rests.where(F.size(every) > 0)
+    n_old = store.size()
+    need = rests.select("rid", "old_rid", F.explode(F.array_distinct(every)).alias("word"))
+    words = store._read("words")
+    if words is None:
+        words = spark.createDataFrame([], "word string, n_texts long")
+    counted = need.join(words.groupBy("word").agg(F.sum("n_texts").alias("n_texts")), "word", "left").groupBy("rid", "old_rid").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", F.coalesce("n_texts", F.lit(0)).alias("n")))).alias("uses")
     )
-    links = cut(pairs.mapInPandas(_verify(kind), "rid long, old_rid long, score double"))
-    when = everything.select(F.col("rid").alias("old_rid"), "at")
+    rests = cut(rests.join(counted, ["rid", "old_rid"]))
+    parts = cut(rests.mapInPandas(_wordings, "rid long, old_rid long, word string, wording string, pure boolean, finding long"))
+    lessons = parts.where("pure").select("word", "wording", "finding").distinct()
+    earlier = _wordings_kept(store)
+    lessons = lessons if earlier is None else lessons.unionByName(earlier).distinct()
+    support = lessons.groupBy("word", "wording").agg(F.count("*").alias("n"))
+    of_word = support.groupBy("word").agg(F.sum("n").alias("all_n"))
+    # a new word: the chance that the history, so much larger than its uses, should lack it; a pair of old ones: both function words
+    fresh = (F.col("word") != "") & (F.col("n") * F.lit(n_old / max(n_batch, 1)) >= LEAST_EXPECTED) & (F.col("n") >= 0.8 * F.col("all_n"))
+    least = FUNCTION_WORD * n_old
+    common = words.groupBy("word").agg(F.sum("n_texts").alias("n_texts")).where(F.col("n_texts") >= max(least, 1.0)).select("word")
+    pair = F.split("wording", r"\|")
+    plain = support.where("word = ''").select("wording", "n", pair[0].alias("a"), pair[1].alias("b"))
+    plain = plain.join(common.withColumnRenamed("word", "a"), "a", "left_semi").join(common.withColumnRenamed("word", "b"), "b", "left_semi").where(F.col("n") >= LEAST_FINDINGS)
+    learned = support.join(of_word, "word").where(fresh & (F.col("n") >= LEAST_FINDINGS)).select("wording").unionByName(plain.select("wording")).distinct()
+    lessons.write.parquet(f"{store.path}/wordings/{uuid.uuid4().hex}")
+    known = parts.join(learned, "wording").groupBy("rid", "old_rid").agg(F.collect_set("wording").alias("known"))
+    settled = rests.join(known, ["rid", "old_rid"], "left").mapInPandas(_settle, "rid long, old_rid long, score double")
+    return equal.unionByName(settled)
+
+
+def _wordings_kept(store: FingerprintStore) -> DataFrame | None:
+    sc = store.spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(f"{store.path}/wordings")
+    there = folder.getFileSystem(sc._jsc.hadoopConfiguration()).exists(folder)
+    return store.spark.read.option("recursiveFileLookup", "true").parquet(f"{store.path}/wordings") if there else None
+
+
+def accept_batch(store: FingerprintStore, batch: DataFrame, append: bool = True) -> DataFrame:
+    """`(id, accepted)`: records of `batch(id, title, authors, year, doi, at)` that repeat an accepted one, each with the accepted record.
+
+    Claims have their statement as `title` and null elsewhere. `at` has no ties; records are accepted in that order, and a
+    record that repeats nothing becomes accepted itself and is appended to the store (unless `append` is false). Records that
+    repeat a repetition are given the accepted record it stands for. Null or empty titles are compared by DOI and authors only;
+    records without both match nothing; an empty batch gives no rows; other columns are ignored.
+    """
+    kind = store.kind
+    # Records rendered alike are compared once; the first of them stands for the others.
+    new = cut(batch.select("id", *FIELDS, F.col("at").cast("timestamp").alias("at")))
+    heads = new.groupBy(*FIELDS).agg(F.min(F.struct("at", "id")).alias("h")).select("h.id", *FIELDS, "h.at")
+    signed = cut(store.signed(heads))
+    table = cut(block_table(signed, kind))
+    hits, records = store.found(table, signed)
+    columns = ("at", *(FIELDS if kind == "source" else ("figures", "words")))
+    pairs = close_pairs(hits, signed, records, columns).where(F.col("at2").isNull() | (F.col("at2") < F.col("at")))
+    if kind == "source":
+        links = cut(pairs.mapInPandas(_verify_sources, "rid long, old_rid long, score double"))
+    else:
+        links = cut(_same_claims(store, pairs, signed.count()))
+    when = records.select(F.col("rid").alias("old_rid"), "at")
     # the closest; of equals history first, then the earliest batch record
     best = links.join(when, "old_rid").groupBy("rid").agg(
         F.min(F.struct((-F.col("score")).alias("s"), F.coalesce("at", F.timestamp_micros(F.lit(-(2**60)))).alias("at"), "old_rid")).alias("b")
     ).select("rid", F.col("b.old_rid").alias("up"))
-    twins = new.where("rid <> first_rid").select("rid", F.col("first_rid").alias("up"))
-    roots = cut(best.unionByName(twins))
+    roots = cut(best)
     while True:
         higher = roots.select(F.col("rid").alias("up"), F.col("up").alias("top"))
         step = roots.join(higher, "up", "left")
         if step.where("top is not null").isEmpty():
             break
         roots = cut(step.select("rid", F.coalesce("top", "up").alias("up")))
-    names = everything.unionByName(new.where("rid <> first_rid").select(*columns, "at")).select("rid", "id")
-    return roots.join(names, "rid").join(names.select(F.col("rid").alias("up"), F.col("id").alias("accepted")), "up").select("id", "accepted").distinct()
+    names = records.select(F.col("rid").alias("up"), F.col("id").alias("accepted"))
+    mine = signed.select("rid", F.col("id").alias("head"), *FIELDS).join(roots.join(names, "up").select("rid", "accepted"), "rid", "left")
+    # copies follow their head: to what it repeats, or to itself
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"m.{c}")) for c in FIELDS]
+    out = new.alias("n").join(mine.alias("m"), [*same]).select(F.col("n.id").alias("id"), F.coalesce("m.accepted", F.when(F.col("n.id") != F.col("m.head"), F.col("m.head"))).alias("accepted"))
+    out = cut(out.where("accepted is not null").distinct())
+    if append:
+        store.append_signed(signed.join(roots.select("rid"), "rid", "left_anti").select(*signed.columns))
+    return out
+
+
+def repeated_records(history: DataFrame, batches: DataFrame, kind: str) -> DataFrame:
+    """`(id, accepted)` of all batches at once against a new store of `history(id, title, authors, year, doi)`; see `accept_batch`.
+
+    The store is made for this call and removed; to keep one, use `new_store`, `append` and `accept_batch`. Repeated history
+    rows count once; of copies in the history the smallest id stands for all.
+    """
+    store = new_store(history.sparkSession, kind)
+    store.append(history.select("id", *FIELDS, F.lit(None).cast("timestamp").alias("at")))
+    out = accept_batch(store, batches, append=False)
+    store.drop()
+    return out

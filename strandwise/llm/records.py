@@ -17,6 +17,8 @@ _PLAIN = str.maketrans({"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d"
 _MARKS = re.compile(r"[\u0300-\u036f]+")
 #: Remarks that feeds append to a title.
 _REMARK = re.compile(r"[\s(\[–—\-]*\b(?:full text|preprint|postprint|accepted manuscript|author version|working paper version|online first|advance online publication|pdf)\b[)\]\s.]*$", re.I)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+_REMARK_WORD = re.compile(r"text|print|manuscript|version|paper|online|pdf", re.I)
 #: Roman numerals of part numbers.
 _ROMAN = {"ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "viii": "8", "ix": "9"}
 _TOKEN = re.compile(r"\d+|[^\W\d_]+")
@@ -90,11 +92,11 @@ class Record:
 
 @lru_cache(100_000)
 def title_wordings(title: str) -> tuple[Wording, ...]:
-    text = " ".join((html.unescape(title) if "&" in title else title).split()).strip("[]\"“”„«» ")
+    text = html.unescape(title) if "&" in title else title
+    text = " ".join((_TAG.sub(" ", text) if "<" in text else text).split()).strip("[]\"“”„«» ")
     out = []
     for part in _WORDINGS.split(text):
-        # remarks stand at the end
-        part = (part[:-48] + _REMARK.sub("", part[-48:])).strip("[]\"“”„«» ")
+        part = (_REMARK.sub("", part) if _REMARK_WORD.search(part) else part).strip("[]\"“”„«» ")
         cut = part.endswith(("…", "..."))
         segments = []
         for s in _SEGMENT.split(part.rstrip(".… ")):
@@ -254,25 +256,9 @@ def same_publication(a: Record, b: Record, similarities: tuple[float, float, flo
     return authors >= 0.5
 
 
-#: Phrases that frame a finding without being part of it.
-_FRAMES = re.compile(
-    r"^\W*(?:this study (?:finds|shows)|the study (?:finds|shows)|results show|(?:the )?authors conclude|findings (?:show|suggest)|die studie zeigt|(?:das )?ergebnis|die ergebnisse zeigen|"
-    r"l.etude montre|les resultats montrent|resultats?|el estudio (?:muestra|concluye)|los resultados muestran|resultados?|lo studio mostra|i risultati mostrano|risultat[oi]|"
-    r"de studie (?:toont|laat zien)|resulta(?:at|ten)|o estudo mostra|os resultados mostram|исследование показывает|результаты показывают)\b\W*(?:that|dass|que|qu|che|dat|что)?\b\W*", re.I)
-#: Words of the same meaning, the plainer one first.
-SAME_MEANING = {
-    "around": "about", "educators": "teachers", "contrasted": "compared", "noted": "reported", "enhanced": "improved", "recorded": "documented", "sites": "schools", "schulkinder": "kinder",
-    "students": "pupils", "learned": "acquired", "learnt": "acquired", "recalled": "retained", "tutors": "mentors", "prozent": "percent", "steigerten": "verbesserten",
-}
-#: Short words that turn a statement round.
-_NEGATIONS = {"not", "no", "non", "nie", "ne", "pas", "never", "nicht", "kein", "keine", "nunca", "jamais", "mai", "niet", "nao", "не", "failed", "without"}
-_UNITS = {"percent", "prozent", "procent", "cent", "ciento", "cento"}
-#: Pairs of words that mean one.
-_PHRASES = (("school sites", "schools"), ("teaching staff", "teachers"))
-_SAMPLE = re.compile(r"\bn\s*=\s*\d+", re.I)
-_SHARE = re.compile(r"\s*(?:[;,]?\s*\d+(?:[.,]\d+)?\s*(?:%|percent|prozent|pour cent|por ciento|per cento|por cento|procent|процент\w*)|[;,]\s*\d+(?:[.,]\d+)?)?", re.I)
+#: Names of the percent sign, which stands for them in other renderings.
+_PERCENT = re.compile(r"(?<=\d)\s*(?:percent|per cent|prozent|procent|pour cent|por ciento|per cento|por cento|процент\w*)", re.I)
 _FIGURE = re.compile(r"\d+(?:[.,]\d+)*")
-_GAP = re.compile(r"(?<=[.!?)])\s+|(?<=[。！？])")
 
 
 @dataclass(frozen=True)
@@ -281,50 +267,83 @@ class Finding:
     words: tuple[str, ...]
 
 
-@lru_cache(100_000)
 def finding(statement: str) -> Finding:
-    """The sentence of a statement that gives its sample, else the whole, as figures and words; frames and units drop out."""
-    text = " ".join(statement.split())
-    m = _SAMPLE.search(text)
-    if m:
-        stop = _SHARE.match(text, m.end()).end()
-        begin = 0
-        for s in _GAP.finditer(text, 0, m.start()):
-            before, after = text[max(0, s.start() - 4) : s.start()].rstrip(".!?)"), text[s.end() : s.end() + 1]
-            if text[s.start() - 1] in "。！？" or (len(before) == 3 and before.isalpha() and after.isalpha() and not after.islower()):
-                begin = s.end()
-        core = text[begin:stop]
-    else:
-        core = text
-    core = _FRAMES.sub("", fold(core))
-    for long, short in _PHRASES:
-        core = core.replace(long, short)
-    words = [w for w in _WORD.findall(core) if w not in _UNITS]
-    return Finding(tuple(sorted(_FIGURE.findall(core))), tuple(words))
+    """The whole statement as sorted figures and as words in order, folded; names of the percent sign drop out."""
+    text = _PERCENT.sub("%", fold(" ".join(statement.split())))
+    return Finding(tuple(sorted(x.replace(",", ".") for x in _FIGURE.findall(text))), tuple(_WORD.findall(text)))
+
+
+@dataclass(frozen=True)
+class Residue:
+    """What two statements do not share: words added before and after the longer one, and the rest of either side in order."""
+
+    lead: tuple[str, ...] = ()
+    tail: tuple[str, ...] = ()
+    left: tuple[str, ...] = ()
+    right: tuple[str, ...] = ()
+
+    def __bool__(self) -> bool:
+        return bool(self.lead or self.tail or self.left or self.right)
+
+
+def _unshared(a: tuple[str, ...], b: tuple[str, ...]) -> list[int]:
+    """Places of the words of `a` beyond what `b` has of each; of equal words the first ones are taken for the unshared."""
+    spare = Counter(a)
+    spare.subtract(b)
+    out = []
+    for i, t in enumerate(a):
+        if spare[t] > 0:
+            out.append(i)
+            spare[t] -= 1
+    return out
+
 
+def residue(a: tuple[str, ...], b: tuple[str, ...]) -> Residue:
+    """Whole texts are compared; the order of the shared words does not count, as renderings move clauses.
 
-def _garbled(a: str, b: str) -> bool:
+    A phrase is added where one side begins (ends) with words of its own and the other does not.
+    """
+    x, y = _unshared(a, b), _unshared(b, a)
+    lead = tail = ()
+    for t, at, far, other in ((a, x, b, y), (b, y, a, x)):
+        k = 0
+        while k < len(at) and at[k] == k:
+            k += 1
+        if k and not lead and not (other and other[0] == 0):
+            lead = t[:k]
+            del at[:k]
+        k = 0
+        while k < len(at) and at[-1 - k] == len(t) - 1 - k:
+            k += 1
+        if k and not tail and not (other and other[-1] == len(far) - 1):
+            tail = t[len(t) - k :]
+            del at[len(at) - k :]
+    if bool(x) != bool(y):
+        # one side has a rest and the other none: what stood at its edge replaces it and was not added
+        return Residue((), (), tuple(a[i] for i in _unshared(a, b)), tuple(b[i] for i in _unshared(b, a)))
+    return Residue(lead, tail, tuple(a[i] for i in x), tuple(b[i] for i in y))
+
+
+def comparable(a: tuple[str, ...], b: tuple[str, ...], r: Residue) -> bool:
+    """Whether about two thirds of the words of the shorter text are shared, added phrases apart; short texts may differ in two."""
+    rest = max(len(r.left), len(r.right))
+    return rest <= max(2, 0.34 * min(len(a), len(b)))
+
+
+def garbled(a: str, b: str) -> bool:
     """Two or three typing errors in one word: same ends, the same letters but for two, nearly in order."""
     x, y = Counter(a), Counter(b)
     return min(len(a), len(b)) >= 5 and a[0] == b[0] and a[-1] == b[-1] and sum(((x - y) + (y - x)).values()) <= 2 and not _SCRIPTS.search(a + b) and SequenceMatcher(None, a, b).ratio() >= 0.75
 
 
-@lru_cache(200_000)
-def same_finding(a: Finding, b: Finding) -> bool:
-    """Same figures and the same words, but for typing errors, listed synonyms and short function words."""
-    if a.figures != b.figures or not a.words or not b.words:
-        return False
-    if (_NEGATIONS & set(a.words)) != (_NEGATIONS & set(b.words)):
-        return False
-    left, right = _left(a.words, b.words)
-    for t in left[:]:
-        for u in right:
-            if SAME_MEANING.get(t, t) == SAME_MEANING.get(u, u) or (min(len(t), len(u)) == 3 and abs(len(t) - len(u)) == 1 and (t in u or u in t or sorted(t)[:2] == sorted(u)[:2])):
-                left.remove(t)
-                right.remove(u)
-                break
-    if len(left) == len(right) == 1 and _garbled(left[0], right[0]):
+def slip(a: str, b: str) -> bool:
+    """A typing error in a word of any length; says nothing of whether both are words in their own right."""
+    if near(a, b) or garbled(a, b):
         return True
-    if sum(map(len, left)) and "".join(left) == "".join(right):
-        return True
-    return all(len(w) <= 3 and not _SCRIPTS.search(w) for w in left + right)
+    if _SCRIPTS.search(a + b) or max(len(a), len(b)) < 2 or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        wrong = [i for i in range(len(a)) if a[i] != b[i]]
+        return len(wrong) == 1 or (len(wrong) == 2 and wrong[1] == wrong[0] + 1 and a[wrong[0]] == b[wrong[1]] and a[wrong[1]] == b[wrong[0]])
+    short, long = sorted((a, b), key=len)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))

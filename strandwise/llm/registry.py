@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandwise.llm.consensus import ConfusionModel, krippendorff_alpha, latest_answers
 from strandwise.llm.containers import CAPACITY, fill_containers, token_counts
 from strandwise.llm.entities import match_entities
-from strandwise.llm.history import repeated_records
+from strandwise.llm.history import accept_batch, new_store, repeated_records
 from strandwise.llm.language import LanguageModel, fit_from
 from strandwise.llm.leakage import leaked_items
 from strandwise.llm.runs import abstract_runs, title_runs
@@ -40,10 +40,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New and repeated source records per batch."""
-    batch = table(spark, sf_dir, "source_batch").select("id", "batch_id")
-    found = _repeats(spark, sf_dir, "source").select("id", F.lit(1).alias("repeated"))
-    return batch.join(found, "id", "left").groupBy("batch_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("repeated"), F.lit(0)).alias("n_repeated"))
+    """New and repeated source records per batch, each batch held against the stored tables and then appended to them."""
+    fields = ["id", "title", "authors", "year", "doi"]
+    store = new_store(spark, "source")
+    store.append(table(spark, sf_dir, "sources").select(*fields, F.lit(None).cast("timestamp").alias("at")))
+    batches = table(spark, sf_dir, "source_batch").select(*fields, "batch_id", F.col("harvested_at").alias("at"))
+    weeks = batches.groupBy("batch_id").agg(F.min("at").alias("at")).orderBy("at", "batch_id").collect()  # one row per batch
+    out = None
+    for w in weeks:
+        one = batches.where(F.col("batch_id").eqNullSafe(F.lit(w.batch_id)))
+        found = accept_batch(store, one).select("id", F.lit(1).alias("repeated"))
+        part = one.select("id", "batch_id").join(found, "id", "left").groupBy("batch_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("repeated"), F.lit(0)).alias("n_repeated"))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else batches.groupBy("batch_id").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("n_repeated"))
 
 
 def _language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
@@ -112,9 +121,9 @@ def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = table(spark, sf_dir, "openalex_works").select(
-        "id", F.col("display_name").alias("title"), F.col("authorships.author.display_name").alias("authors"), F.col("publication_year").alias("year"), "doi"
+        "id", F.col("display_name").alias("title"), F.col("authorships.author.display_name").alias("authors"), F.col("publication_year").alias("year"), "doi", F.col("fetched_at").alias("at")
     )
-    return match_entities(table(spark, sf_dir, "sources").select("id", "title", "authors", "year", "doi"), works)
+    return match_entities(table(spark, sf_dir, "sources").select("id", "title", "authors", "year", "doi", F.col("loaded_at").alias("at")), works, at="at")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +135,14 @@ def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir).withColumnsRenamed({"left_id": "source_id", "right_id": "work_id", "p": "confidence"})
 
 
+def p6_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by tenth of their confidence, with the share that carries one DOI among those with two: what the confidence is worth."""
+    tenth = F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("int")
+    return _matches(spark, sf_dir).groupBy(tenth.alias("tenth")).agg(
+        F.count("*").alias("n_pairs"), F.avg("p").alias("mean_confidence"), F.avg("doi").alias("same_doi"), F.avg("title").alias("mean_title")
+    )
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every text, or of every part of a text longer than a container."""
     lengths = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -166,7 +183,7 @@ def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = {
     "p1_found": p1_found, "p1_batches": p1_batches,
     "p3_found": p3_found, "p3_lengths": p3_lengths, "p4_found": p4_found, "p4_languages": p4_languages,
-    "p6_found": p6_found, "p6_confidence": p6_confidence,
+    "p6_found": p6_found, "p6_confidence": p6_confidence, "p6_deciles": p6_deciles,
     "p5_found": p5_found, "p5_reliability": p5_reliability, "p5_agreement": p5_agreement,
     "p7_containers": p7_containers, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_report": p8_report,

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwise.llm.entities import match_entities
-from strandwise.llm.fingerprints import BITS, BLOCKS, Signer, blocks_of
-from strandwise.llm.history import repeated_records
+from strandwise.llm.fingerprints import BITS, WORDS as PRINT_WORDS, Signer, packed
+from strandwise.llm.history import accept_batch, new_store, repeated_records
 from strandwise.llm.leakage import MASKS, MIN_WORDS, holds, leaked_items, words_of
-from strandwise.llm.records import author_key, doi_key, finding, record, same_finding, same_publication
+from strandwise.llm.records import author_key, doi_key, finding, record, residue, same_publication, slip
 from strandwise.llm.spans import shared_share, shared_spans
 
 WORDS = [f"w{i}x{chr(97 + i % 26)}" for i in range(400)]
@@ -154,12 +154,84 @@ def test_identifiers_and_names():
     assert author_key("et al.") is None and author_key("  ") is None
 
 
-def test_same_finding_rules():
-    base = finding("Older pupils in Lund improved critical thinking at the end of the unit (81%, n = 292). Another remark follows here.")
-    assert same_finding(base, finding("This study finds: At the end of the unit, older pupils in Lund enhanced critical thinkin (n = 292; 81 percent)."))
-    for t in ("Older pupils in Lund did not improve critical thinking at the end of the unit (81%, n = 292).", "Older pupils in Umea improved critical thinking at the end of the unit (81%, n = 292).",
-              "Older pupils in Lund improved critical thinking at the end of the unit (82%, n = 292).", "Younger pupils in Lund improved critical thinking at the end of the unit (81%, n = 292)."):
-        assert not same_finding(base, finding(t))
+def test_remarks_of_any_length_and_mark_up_drop_out():
+    assert same_publication(rec(f"<i>{LONG}</i>"), rec(LONG))
+    assert same_publication(rec(LONG + " " + "– " * 60 + "(accepted manuscript)"), rec(LONG))
+
+
+def test_whole_statements_are_read():
+    base = "Older pupils in Lund improved reading (81%, n = 292). The effect vanished after a year."
+    f, g = finding(base), finding(base.replace("vanished", "doubled"))
+    assert f.figures == ("292", "81") and "vanished" in f.words and residue(f.words, g.words).left == ("vanished",)
+    assert finding("In Lund: n=292, 81 Prozent") == finding("in lund n = 292; 81 %")
+
+
+def test_residues():
+    a = "at the end pupils in lund improved reading".split()
+    assert not residue(tuple(a), tuple(a[3:] + a[:3]))
+    r = residue(tuple(["the", "study", "finds", *a]), tuple(a))
+    assert r.lead == ("the", "study", "finds") and not r.left and not r.right and not r.tail
+    r = residue(tuple([*a, "they", "say"]), tuple(a))
+    assert r.tail == ("they", "say")
+    r = residue(("in", "lund", "zeigten", "teams"), ("teams", "aus", "lund", "zeigten"))
+    assert (r.lead, r.left, r.right) == ((), ("in",), ("aus",))
+
+
+def test_slips_of_the_pen():
+    assert slip("hte", "the") and slip("ed", "end") and slip("workirg", "working") and slip("custion", "cuestion")
+    assert not slip("low", "high") and not slip("京都", "東京") and not slip("up", "off")
+
+
+PLACES = [f"{a}{b}" for a in ("Lund", "Oslo", "Visby", "Turku", "Bergen") for b in ("mark", "vik", "dorp", "ford", "ona", "eux", "sted", "holm")]
+
+
+def claims(n, word="pupils", act="improved", place=0, frame=""):
+    return [f"{frame}Older {word} in {PLACES[(i + place) % 40]} {act} critical thinking at the end of the unit ({i % 90}%, n = {100 + i})." for i in range(n)]
+
+
+def as_claims(spark, rows):
+    return spark.createDataFrame([(i, t, None, None, None, at) for i, t, at in rows], "id string, title string, authors array<string>, year int, doi string, at timestamp")
+
+
+def test_wordings_are_learned_and_details_are_not(spark):
+    old = [(f"c{i}", t, None) for i, t in enumerate(claims(300))]
+    new = [(f"w{i}", t, None) for i, t in enumerate(claims(4, "students"))]  # a word the history never uses, in place of one
+    new += [(f"f{i}", t, None) for i, t in enumerate(claims(4, frame="Surveys suggest: "))]
+    new += [(f"d{i}", t, None) for i, t in enumerate(claims(12, place=7))]  # another place each time
+    new += [("neg", claims(1)[0].replace("improved", "did not improve"), None), ("typo", claims(2)[1].replace("thinking", "thniking"), None), ("rare", claims(6, "novices")[5], None)]
+    old += [(f"n{i}", f"Teachers did not use tools in {p} (n = {900 + i}).", None) for i, p in enumerate(PLACES)]
+    batch = [(i, t, day(k)) for k, (i, t, _) in enumerate(new)]
+    got = {tuple(r) for r in repeated_records(as_claims(spark, old).drop("at"), as_claims(spark, batch), "claim").collect()}
+    assert got == {(f"{x}{i}", f"c{i}") for x in "wf" for i in range(4)} | {("typo", "c1")}
+
+
+def test_stored_history_is_not_read_again(spark, tmp_path):
+    """The second batch is served by the store alone: the tables of the history are gone by then."""
+    import shutil
+
+    rows = [(f"c{i}", t, None) for i, t in enumerate(claims(50))]
+    as_claims(spark, rows + rows[:5]).write.parquet(str(tmp_path / "old"))
+    store = new_store(spark, "claim")
+    store.append(spark.read.parquet(str(tmp_path / "old")))
+    shutil.rmtree(tmp_path / "old")
+    first = [("a1", claims(1)[0].upper(), day(1)), ("a2", claims(60)[59], day(2)), ("a3", None, day(3))]
+    assert {tuple(r) for r in accept_batch(store, as_claims(spark, first)).collect()} == {("a1", "c0")}
+    second = [("b1", claims(60)[59] + " ", day(4)), ("b2", claims(3)[2], day(5)), ("b3", claims(61)[60], day(6)), ("b4", claims(61)[60], day(7))]
+    assert {tuple(r) for r in accept_batch(store, as_claims(spark, second)).collect()} == {("b1", "a2"), ("b2", "c2"), ("b4", "b3")}
+    assert accept_batch(store, as_claims(spark, [])).count() == 0
+    store.drop()
+
+
+def test_a_hot_statement_and_a_hot_doi(spark):
+    a = ["Ada Lovelace"]
+    old = [(f"h{i:03}", LONG, a, 2020, "10.1234/hot") for i in range(200)] + [(f"o{i:03}", f"Quite another work on {p} and its many schools", [f"Bo {p}"], 2019, "10.1234/hot") for i, p in enumerate(PLACES)]
+    new = [("b1", LONG.upper(), a, 2020, None, day(1)), ("b2", "Quite another work on Lundmark and its many schools", ["Lundmark, B."], None, "10.1234/HOT", day(2)), ("b3", None, ["B. Oslovik"], None, "10.1234/hot", day(3))]
+    assert history(spark, old, new) == {("b1", "h000"), ("b2", "o000"), ("b3", "o009")}
+
+
+def test_more_than_eight_authors_sign(spark):
+    who = [f"Ann {p}" for p in PLACES[:12]]
+    assert history(spark, [("s1", LONG, who, 2020, None)], [("b1", LONG[:50] + "…", who[::-1], 2020, None, day(1))]) == {("b1", "s1")}
 
 
 def history(spark, old, new, kind="source"):
@@ -195,7 +267,7 @@ def test_fingerprints_are_close_for_close_texts():
     words = [(w, 1.0) for w in LONG.lower().split()]
     bits = Signer().sign([words, words[:-1] + [("projct", 1.0)], [("entirely", 1.0), ("different", 1.0)], []])
     assert bits.shape == (4, BITS) and (bits[0] ^ bits[1]).sum() < 0.15 * BITS < 0.3 * BITS < (bits[0] ^ bits[2]).sum()
-    assert blocks_of(bits).shape == (4, BLOCKS)
+    assert packed(bits).shape == (4, PRINT_WORDS)
 
 
 def test_entities_one_left_record_for_each_right(spark):

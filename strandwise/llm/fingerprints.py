@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BITS, BLOCKS = 20, 16
@@ -81,3 +81,30 @@ def blocks_of(words: Column) -> list[Column]:
 def difference(a: Column, b: Column) -> Column:
     """Number of bits in which two packed fingerprints differ."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+#: Size of a map of keys, one bit for each value of their first bits: the same for every table.
+MAP_BITS = 24
+
+
+def first_bits(key: Column, n: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - n)
+
+
+def _bit(key: Column) -> Column:
+    return first_bits(key, MAP_BITS).bitwiseAND(63).cast("int")
+
+
+def map_of(table: DataFrame, key: Column) -> DataFrame:
+    """`(w, bits)`: which first bits occur among 64-bit keys, in words of 64; 2**18 rows at most."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(key))
+    return table.groupBy(F.shiftright(first_bits(key, MAP_BITS), 6).alias("w")).agg(F.bit_or(one).alias("bits"))
+
+
+def in_map(table: DataFrame, key: Column, words: DataFrame) -> DataFrame:
+    """The rows whose key may be in the map, which goes to every task; none with a key of the map is lost."""
+    columns = table.columns
+    # a copy of the map with rows of its own names, as tables may have columns of the same names
+    words = words.select(F.col("w").alias("_w"), F.col("bits").alias("_bits"))
+    hit = table.withColumn("_k", key).join(F.broadcast(words), F.shiftright(first_bits(F.col("_k"), MAP_BITS), 6) == F.col("_w"))
+    return hit.where(F.call_function("shiftrightunsigned", F.col("_bits"), _bit(F.col("_k"))).bitwiseAND(1) == 1).select(*columns)

@@ -24,42 +24,49 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.fingerprints import Signer, blocks_of, difference, packed
+from strandwise.llm.fingerprints import MAP_BITS, WORDS, Signer, blocks_of, difference, first_bits, in_map, map_of, packed
 from strandwise.llm.records import GENERIC_WORDS, Record, compare, comparable, finding, other_people, record, residue, same_publication, slip
 from strandwise.session import cut, shared_folder
 
 #: Largest bit difference of 320 that goes on to the text.
-MAX_DIFFERENCE = 90
-#: Bits of a key that choose its partition of the block tables, and bins of the records.
-PART_BITS, BINS = 4, 16
-#: Size of the map of asked keys, one bit for each value of their first bits: the same for every batch and history.
-_MAP_BITS = 24
+MAX_DIFFERENCE = 64
+#: Bits of a key that choose its partition of the block tables.
+PART_BITS = 4
 FIELDS = ("title", "authors", "year", "doi")
-_VIEWS = "array<struct<facts: bigint, bits: array<bigint>>>"
-_EXTRA = f"figures array<string>, words array<string>, views {_VIEWS}, exact array<bigint>"
+#: Of each view a word of facts and the words of its fingerprint, one view after the other; words and figures are parted by blanks.
+_EXTRA = "figures string, words string, views array<bigint>, exact array<bigint>"
+_STRIDE = 1 + WORDS
 #: Tables of a store; an append may leave no file.
 _TABLES = {
-    "records": f"id string, title string, authors array<string>, year int, doi string, at timestamp, rid bigint, {_EXTRA}, n int, bin int",
+    "records": f"id string, title string, authors array<string>, year int, doi string, at timestamp, h1 bigint, h2 bigint, rid bigint, {_EXTRA}, n int, bin int",
     "blocks": "key bigint, rid bigint, view smallint, facts bigint, n int, part bigint",
     "words": "word string, n_texts bigint, n int",
 }
+_SHORT = (1 << 30) - 1
+#: Largest difference of those 30 bits.
+MAX_SHORT = 9
 #: A function word stands in so large a share of the history's texts.
 FUNCTION_WORD = 0.1
 #: A wording is learned from so many different findings, if chance would let so many of its uses fall into the history.
 LEAST_FINDINGS, LEAST_EXPECTED = 2, 5.0
 
 
+def _never() -> Column:
+    """A time before all others, for what was accepted from the beginning."""
+    return F.timestamp_micros(F.lit(-(2**60)))
+
+
 def _exact(key: str) -> int:
     """Keys of exact matches are odd, those of blocks even."""
     return (xxhash.xxh3_64_intdigest(key) | 1) - 2**63
 
 
 def _facts(r: Record) -> int:
-    """Author bits above the year: two bits of 48 a surname, by its first and its last letters, so one typing error spares one."""
+    """28 bits of authors, two for each by the first and the last letters of the surname, so one typing error spares one; 6 of the year."""
     mark = 0
     for last, _ in r.authors:
-        mark |= 1 << (xxhash.xxh3_64_intdigest("^" + last[:3]) % 48) | 1 << (xxhash.xxh3_64_intdigest(last[-3:] + "$") % 48)
-    return mark << 8 | (r.year - 1900 if r.year and 1900 < r.year < 2156 else 0)
+        mark |= 1 << (xxhash.xxh3_64_intdigest("^" + last[:3]) % 28) | 1 << (xxhash.xxh3_64_intdigest(last[-3:] + "$") % 28)
+    return mark << 36 | (1 + r.year % 63 if r.year else 0) << 30
 
 
 def source_views(r: Record) -> list[list[tuple[str, float]]]:
@@ -84,37 +91,44 @@ def _doi_keys(r: Record) -> list[int]:
     return [_exact(f"{r.doi} {x}") for x in {*words, *(last[:4] for last, _ in r.authors)}] or [_exact(r.doi)]
 
 
+def _flat(facts: np.ndarray, prints: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """The views of each record in one array."""
+    both = np.concatenate((facts[:, None], prints), axis=1)
+    return [x.ravel() for x in np.split(both, np.cumsum(sizes)[:-1])] if len(sizes) else []
+
+
 def _sign_sources(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     signer = Signer()
     for pdf in batches:
+        if pdf.empty:
+            continue
         views, facts, exact = [], [], []
         for fields in zip(*[pdf[c] for c in FIELDS], strict=True):
             r = record(*fields)
-            views.append(source_views(r))
-            facts.append(_facts(r))
+            own = source_views(r)
+            views.append(own)
+            facts += [_facts(r)] * len(own)
             exact.append(_doi_keys(r))
-        bits = iter(packed(signer.sign([v for own in views for v in own])).tolist())
-        out = pdf.assign(figures=None, words=None)
-        out["views"] = [[{"facts": f, "bits": next(bits)} for _ in own] for f, own in zip(facts, views, strict=True)]
-        out["exact"] = exact
-        if len(out):
-            yield out
+        prints = packed(signer.sign([v for own in views for v in own]))
+        # 30 bits of the fingerprint go with the facts, for a first test in the bucket
+        marked = np.array(facts, dtype=np.uint64).view(np.int64) | (prints[:, 0] & _SHORT)
+        yield pdf.assign(figures=None, words=None, views=_flat(marked, prints, [len(v) for v in views]), exact=exact)
 
 
 def _sign_claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     signer = Signer()
     for pdf in batches:
+        if pdf.empty:
+            continue
         found = [finding(t) if isinstance(t, str) else None for t in pdf["title"]]
         # figures weigh as much as many words: renderings keep them, other findings seldom share them
         views = [[(w, 1.0) for w in f.words if len(w) > 3] + [(x, 8.0) for x in f.figures] if f and f.words else [] for f in found]
-        bits = packed(signer.sign(views)).tolist()
-        out = pdf.assign(figures=[list(f.figures) if f else None for f in found], words=[list(f.words) if f else None for f in found])
-        out["views"] = [
-            [{"facts": xxhash.xxh3_64_intdigest(" ".join(f.figures)) - 2**63, "bits": b}] if v else [] for f, v, b in zip(found, views, bits, strict=True)
-        ]
-        out["exact"] = [[] for _ in found]
-        if len(out):
-            yield out
+        full = [v for v in views if v]
+        figures = [" ".join(f.figures) if f else None for f in found]
+        facts = np.array([xxhash.xxh3_64_intdigest(x) for x, v in zip(figures, views, strict=True) if v], dtype=np.uint64).view(np.int64)
+        yield pdf.assign(
+            figures=figures, words=[" ".join(f.words) if f else None for f in found], views=_flat(facts, packed(signer.sign(full)), [int(bool(v)) for v in views]), exact=[[] for _ in found]
+        )
 
 
 def _sign(df: DataFrame, kind: str) -> DataFrame:
@@ -122,46 +136,44 @@ def _sign(df: DataFrame, kind: str) -> DataFrame:
     return df.mapInPandas(_sign_sources if kind == "source" else _sign_claims, f"{schema}, {_EXTRA}")
 
 
+def one_of_each(records: DataFrame) -> DataFrame:
+    """Of records with the same fields the earliest, of equals the smallest id; `h1`, `h2` are 128 bits that stand for the fields."""
+    hashed = records.select("id", *FIELDS, "at", F.xxhash64(*FIELDS).alias("h1"), F.xxhash64(F.lit(1), *reversed(FIELDS)).alias("h2"))
+    first = F.min(F.struct(F.coalesce("at", _never()).alias("at"), "id")).alias("head")
+    heads = hashed.groupBy("h1", "h2").agg(first, *[F.first(c).alias(c) for c in FIELDS])
+    return heads.select("head.id", *FIELDS, F.when(F.col("head.at") > _never(), F.col("head.at")).alias("at"), "h1", "h2")
+
+
 def signed_records(records: DataFrame, kind: str, n: int = 0) -> DataFrame:
-    """Records with a number `rid` (unique over all `n`), their canonical words and fingerprints; to be written or cut before use."""
-    numbered = records.withColumn("bin", F.pmod(F.xxhash64("id"), F.lit(BINS)).cast("int")).withColumn(
-        "rid", F.lit(n << 53) + F.shiftleft(F.col("bin").cast("long"), 45) + _row_number()
-    )
+    """Records with a number `rid` (unique over all `n`), their canonical words and fingerprints; to be written or cut before use.
+
+    A number is made of `n`, the task (also in `bin`) and the row in it.
+    """
+    row = F.monotonically_increasing_id()
+    numbered = records.withColumn("bin", F.shiftright(row, 33).cast("int")).withColumn("rid", F.lit(n << 53) + row)
     return _sign(numbered, kind)
 
 
 def block_table(signed: DataFrame, kind: str) -> DataFrame:
-    """`(key, rid, view, facts)`: the rotated tables of signed records; findings are keyed by their figures too."""
-    v = signed.select("rid", F.posexplode("views").alias("view", "v")).select("rid", "view", "v.facts", "v.bits")
+    """`(key, rid, view, facts)`: the rotated tables of signed records; findings are keyed by their figures instead of facts."""
+    v = signed.select("rid", "views", F.explode(F.expr(f"sequence(0, cast(size(views) / {_STRIDE} as int) - 1)")).alias("view")) if kind == "source" else signed.select("rid", "views", F.lit(0).alias("view"))
+    v = v.where(F.size("views") > 0).select("rid", "view", F.expr(f"views[view * {_STRIDE}]").alias("facts"), F.expr(f"slice(views, view * {_STRIDE} + 2, {WORDS})").alias("bits"))
     blocks = blocks_of(F.col("bits"))
     if kind == "source":
         keys = [F.shiftleft(F.lit(k << 20) + b, 40) for k, b in enumerate(blocks)]
     else:
         keys = [F.xxhash64("facts", F.lit(k), b).bitwiseAND(~1) for k, b in enumerate(blocks)]
-    table = v.select("rid", F.col("view").cast("short").alias("view"), "facts", F.explode(F.array(*keys)).alias("key"))
+    facts = F.col("facts") if kind == "source" else F.lit(0).cast("long")
+    table = v.select("rid", F.col("view").cast("short").alias("view"), facts.alias("facts"), F.explode(F.array(*keys)).alias("key")).select("key", "rid", "view", "facts")
+    if kind != "source":
+        return table
     exact = signed.select("rid", F.lit(0).cast("short").alias("view"), F.lit(0).cast("long").alias("facts"), F.explode("exact").alias("key"))
-    return table.unionByName(exact).select("key", "rid", "view", "facts") if kind == "source" else table.select("key", "rid", "view", "facts")
-
-
-def _first_bits(key: Column, n: int) -> Column:
-    return F.shiftrightunsigned(key, 64 - n)
-
+    return table.unionByName(exact).select("key", "rid", "view", "facts")
 
-def _asked(table: DataFrame) -> tuple[DataFrame, list[int]]:
-    """The map of the first bits of the keys of a batch, in words of 64, and the partitions they fall in; both of fixed size."""
-    slot = _first_bits(F.col("key"), _MAP_BITS)
-    words = table.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - _MAP_BITS}) & 63 as int))")).alias("bits"))
-    parts = words.select(F.shiftright("w", _MAP_BITS - 6 - PART_BITS).alias("p")).distinct().collect()  # 2**PART_BITS rows at most
-    return words, [int(r.p) for r in parts]
 
-
-def thinned(stored: DataFrame, table: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """The rows of a block table whose keys a batch may ask for, by a map of fixed size that goes to every task."""
-    words = _asked(table)[0] if words is None else words
-    # the map has 2**18 words at most, whatever the batch and the history
-    slot = _first_bits(F.col("key"), _MAP_BITS)
-    hit = stored.withColumn("w", F.shiftright(slot, 6)).join(F.broadcast(words), "w")
-    return hit.where(F.expr(f"shiftrightunsigned(bits, cast(shiftrightunsigned(key, {64 - _MAP_BITS}) & 63 as int)) & 1 = 1")).select(*table.columns)
+def _parts(words: DataFrame) -> list[int]:
+    """The partitions of the block tables in which keys of a map fall: 2**PART_BITS at most."""
+    return [int(r.p) for r in words.select(F.shiftright("w", MAP_BITS - 6 - PART_BITS).alias("p")).distinct().collect()]
 
 
 def candidates(new: DataFrame, stored: DataFrame, kind: str) -> DataFrame:
@@ -170,13 +182,13 @@ def candidates(new: DataFrame, stored: DataFrame, kind: str) -> DataFrame:
     pairs = new.join(old, "key").where("rid <> old_rid")
     exact = F.col("key").bitwiseAND(1) == 1
     if kind == "source":
-        mark, old_mark = F.shiftright("facts", 8), F.shiftright("old_facts", 8)
-        year, old_year = F.col("facts").bitwiseAND(255), F.col("old_facts").bitwiseAND(255)
+        mark, old_mark = F.shiftrightunsigned("facts", 36), F.shiftrightunsigned("old_facts", 36)
+        year, old_year = F.shiftright("facts", 30).bitwiseAND(63), F.shiftright("old_facts", 30).bitwiseAND(63)
         # half of the shorter list of authors must agree, each in one of two bits at least
         people = (mark == 0) | (old_mark == 0) | (F.bit_count(mark.bitwiseAND(old_mark)) * 4 >= F.least(F.bit_count(mark), F.bit_count(old_mark)))
-        pairs = pairs.where(exact | (people & ((year == 0) | (old_year == 0) | (F.abs(year - old_year) <= 1))))
-    else:
-        pairs = pairs.where("facts = old_facts")
+        years = (year == 0) | (old_year == 0) | F.abs(year - old_year).isin(0, 1, 62)
+        near = F.bit_count(F.col("facts").bitwiseXOR(F.col("old_facts")).bitwiseAND(_SHORT)) <= MAX_SHORT
+        pairs = pairs.where(exact | (near & people & years))
     return pairs.groupBy("rid", "old_rid").agg(F.max(exact).alias("exact"), F.collect_set(F.struct("view", "old_view")).alias("met"))
 
 
@@ -184,7 +196,7 @@ def close_pairs(hits: DataFrame, new: DataFrame, old: DataFrame, columns: tuple[
     """Candidates with the `columns` of both sides (the stored one's with a 2), of which some fingerprints differ in few bits."""
     a = new.select("rid", "views", *columns)
     b = old.select(F.col("rid").alias("old_rid"), F.col("views").alias("views2"), *[F.col(c).alias(f"{c}2") for c in columns])
-    near = F.exists("met", lambda m: difference(F.element_at("views", m["view"] + 1)["bits"], F.element_at("views2", m["old_view"] + 1)["bits"]) <= most)
+    near = F.exists("met", lambda m: difference(F.slice("views", m["view"] * _STRIDE + 2, F.lit(WORDS)), F.slice("views2", m["old_view"] * _STRIDE + 2, F.lit(WORDS))) <= most)
     return hits.join(a, "rid").join(b, "old_rid").where(F.col("exact") | near).drop("views", "views2", "met", "exact")
 
 
@@ -206,22 +218,20 @@ class FingerprintStore:
         return self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{name}") if self.appends else None
 
     def signed(self, records: DataFrame) -> DataFrame:
-        """`records(id, title, authors, year, doi, at)` with `rid`, canonical words and fingerprints; unique rids beyond all stored ones."""
+        """`records(id, title, authors, year, doi, at, h1, h2)` with `rid`, canonical words and fingerprints; unique rids beyond all stored ones."""
         return signed_records(records, self.kind, self.appends)
 
     def append(self, records: DataFrame) -> None:
         """Sign and store `records(id, title, authors, year, doi, at)`; null ids and empty records are kept and match nothing."""
-        heads = records.groupBy(*FIELDS).agg(F.min(F.struct(F.coalesce("at", F.timestamp_micros(F.lit(-(2**60)))).alias("at"), "id")).alias("head"))
-        heads = heads.select("head.id", *FIELDS, F.when(F.col("head.at") > F.timestamp_micros(F.lit(-(2**60))), F.col("head.at")).alias("at"))
-        self.append_signed(self.signed(heads))
+        self.append_signed(self.signed(one_of_each(records)))
 
     def append_signed(self, signed: DataFrame) -> None:
         n = self.appends
         signed.write.partitionBy("bin").parquet(f"{self.path}/records/n={n}")
         mine = self.spark.read.schema(_TABLES["records"]).parquet(f"{self.path}/records/n={n}")
-        block_table(mine, self.kind).withColumn("part", _first_bits(F.col("key"), PART_BITS)).write.partitionBy("part").parquet(f"{self.path}/blocks/n={n}")
+        block_table(mine, self.kind).withColumn("part", first_bits(F.col("key"), PART_BITS)).write.partitionBy("part").parquet(f"{self.path}/blocks/n={n}")
         if self.kind == "claim":
-            mine.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n_texts")).write.parquet(f"{self.path}/words/n={n}")
+            mine.select(F.explode(F.array_distinct(F.split("words", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n_texts")).write.parquet(f"{self.path}/words/n={n}")
         self.appends += 1
 
     def size(self) -> int:
@@ -229,15 +239,17 @@ class FingerprintStore:
 
     def found(self, table: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Candidates of a batch (its block table and signed records) among the stored and its own ones, and the records of both."""
-        words, parts = _asked(table)
         known = table
         if self.appends:
-            known = thinned(self._read("blocks").where(F.col("part").isin(parts)), table, words).unionByName(table)
+            words = cut(map_of(table, F.col("key")))
+            stored = self._read("blocks").where(F.col("part").isin(_parts(words))).select(*table.columns)
+            known = in_map(stored, F.col("key"), words).unionByName(table)
         hits = cut(candidates(table, known, self.kind))
         records = new
         if self.appends:
-            bins = hits.where(F.shiftright("old_rid", 53) < self.appends).select((F.shiftright("old_rid", 45) % 256).alias("bin")).distinct().collect()  # BINS rows at most
-            old = self._read("records").where(F.col("bin").isin([int(r.bin) for r in bins]))
+            # which appends and tasks wrote the records that were hit: one row for each of their files at most
+            files = hits.where(F.shiftright("old_rid", 53) < self.appends).select((F.shiftright("old_rid", 33) % (1 << 20)).cast("int").alias("bin")).distinct()
+            old = self._read("records").where(F.col("bin").isin([r.bin for r in files.collect()]))
             wanted = hits.select(F.col("old_rid").alias("rid")).distinct()
             records = old.select(*new.columns).join(wanted, "rid", "left_semi").select(*new.columns).unionByName(new)
         return hits, records
@@ -248,12 +260,6 @@ class FingerprintStore:
         folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def _row_number() -> Column:
-    """Numbers of rows, unique within one job that writes them: 12 bits of the task above 33 bits of the row, folded into 45 bits."""
-    m = F.monotonically_increasing_id()
-    return F.shiftleft(F.shiftright(m, 33) % 4096, 33) + m.bitwiseAND((1 << 33) - 1)
-
-
 def new_store(spark: SparkSession, kind: str) -> FingerprintStore:
     return FingerprintStore(spark, f"{shared_folder(spark)}/fingerprints-{kind}-{uuid.uuid4().hex}", kind)
 
@@ -290,14 +296,14 @@ def _residues(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for i, j, f, w, f2, w2 in zip(*[pdf[c] for c in ("rid", "old_rid", "figures", "words", "figures2", "words2")], strict=True):
-            if list(f) != list(f2):
+            if f != f2:
                 continue
-            a, b = tuple(w), tuple(w2)
+            a, b = tuple(w.split()), tuple(w2.split())
             r = residue(a, b)
             if comparable(a, b, r):
                 shared = 1 - (len(r.left) + len(r.right)) / (len(a) + len(b))
                 # findings without figures teach nothing: too little agrees besides
-                mark = xxhash.xxh3_64_intdigest(" ".join(f)) - 2**63 if len(f) else None
+                mark = xxhash.xxh3_64_intdigest(f) - 2**63 if f else None
                 rows.append((i, j, shared, mark, list(r.lead), list(r.tail), list(r.left), list(r.right)))
         if rows:
             yield pd.DataFrame(rows, columns=["rid", "old_rid", "score", "finding", "lead", "tail", "x", "y"])
@@ -451,8 +457,8 @@ def accept_batch(store: FingerprintStore, batch: DataFrame, append: bool = True)
     """
     kind = store.kind
     # Records rendered alike are compared once; the first of them stands for the others.
-    new = cut(batch.select("id", *FIELDS, F.col("at").cast("timestamp").alias("at")))
-    heads = new.groupBy(*FIELDS).agg(F.min(F.struct("at", "id")).alias("h")).select("h.id", *FIELDS, "h.at")
+    new = batch.select("id", *FIELDS, F.col("at").cast("timestamp").alias("at"))
+    heads = one_of_each(new)
     signed = cut(store.signed(heads))
     table = cut(block_table(signed, kind))
     hits, records = store.found(table, signed)
@@ -465,7 +471,7 @@ def accept_batch(store: FingerprintStore, batch: DataFrame, append: bool = True)
     when = records.select(F.col("rid").alias("old_rid"), "at")
     # the closest; of equals history first, then the earliest batch record
     best = links.join(when, "old_rid").groupBy("rid").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), F.coalesce("at", F.timestamp_micros(F.lit(-(2**60)))).alias("at"), "old_rid")).alias("b")
+        F.min(F.struct((-F.col("score")).alias("s"), F.coalesce("at", _never()).alias("at"), "old_rid")).alias("b")
     ).select("rid", F.col("b.old_rid").alias("up"))
     roots = cut(best)
     while True:
@@ -475,10 +481,10 @@ def accept_batch(store: FingerprintStore, batch: DataFrame, append: bool = True)
             break
         roots = cut(step.select("rid", F.coalesce("top", "up").alias("up")))
     names = records.select(F.col("rid").alias("up"), F.col("id").alias("accepted"))
-    mine = signed.select("rid", F.col("id").alias("head"), *FIELDS).join(roots.join(names, "up").select("rid", "accepted"), "rid", "left")
+    mine = signed.select("rid", F.col("id").alias("head"), "h1", "h2").join(roots.join(names, "up").select("rid", "accepted"), "rid", "left")
     # copies follow their head: to what it repeats, or to itself
-    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"m.{c}")) for c in FIELDS]
-    out = new.alias("n").join(mine.alias("m"), [*same]).select(F.col("n.id").alias("id"), F.coalesce("m.accepted", F.when(F.col("n.id") != F.col("m.head"), F.col("m.head"))).alias("accepted"))
+    copies = new.select("id", F.xxhash64(*FIELDS).alias("h1"), F.xxhash64(F.lit(1), *reversed(FIELDS)).alias("h2"))
+    out = copies.join(mine, ["h1", "h2"]).select("id", F.coalesce("accepted", F.when(F.col("id") != F.col("head"), F.col("head"))).alias("accepted"))
     out = cut(out.where("accepted is not null").distinct())
     if append:
         store.append_signed(signed.join(roots.select("rid"), "rid", "left_anti").select(*signed.columns))

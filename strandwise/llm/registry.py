@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm.consensus import ConfusionModel, krippendorff_alpha, latest_answers
-from strandwise.llm.containers import CAPACITY, fill_containers, token_counts
+from strandwise.llm.containers import CAPACITY, Filling, fill_containers, token_counts
 from strandwise.llm.entities import match_entities
 from strandwise.llm.history import accept_batch, new_store, repeated_records
 from strandwise.llm.language import LanguageModel, fit_from
@@ -145,16 +145,20 @@ def p6_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every text, or of every part of a text longer than a container."""
-    lengths = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return fill_containers(lengths).withColumnRenamed("key", "doc_id")
+    return _filling(spark, sf_dir).items.withColumnRenamed("key", "doc_id")
+
+
+def _filling(spark: SparkSession, sf_dir: str) -> Filling:
+    return fill_containers(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers, tokens and the share of space used."""
-    filled = p7_containers(spark, sf_dir).where("container >= 0")
-    return filled.agg(F.countDistinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens")).withColumn(
-        "fill", F.col("n_tokens") / (F.nullif(F.col("n_containers"), F.lit(0)) * CAPACITY)
-    )
+    """Containers, tokens, the share of space used, and the gap to the least number of containers by the program's bound."""
+    filling = _filling(spark, sf_dir)
+    filled = filling.items.where("container >= 0")
+    out = filled.agg(F.countDistinct("container").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    n = F.nullif(F.col("n_containers"), F.lit(0))
+    return out.select("n_containers", "n_tokens", F.lit(filling.bound).alias("n_bound"), (F.col("n_tokens") / (n * CAPACITY)).alias("fill"), (F.col("n_containers") / F.nullif(F.lit(filling.bound), F.lit(0)) - 1).alias("gap"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

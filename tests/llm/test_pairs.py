@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from strandwise.llm.entities import match_entities
 from strandwise.llm.fingerprints import BITS, WORDS as PRINT_WORDS, Signer, packed
 from strandwise.llm.history import accept_batch, new_store, repeated_records
-from strandwise.llm.leakage import MASKS, MIN_WORDS, holds, leaked_items, words_of
+from strandwise.llm.leakage import MASKS, MIN_WORDS, hashes_of, leaked_items, words_of
+from strandwise.llm.leakage import holds as holds_hashes
 from strandwise.llm.records import author_key, doi_key, finding, record, residue, same_publication, slip
 from strandwise.llm.spans import shared_share, shared_spans
 
@@ -28,6 +29,10 @@ def test_masks_hit_every_allowed_pattern_of_changes():
         assert any(all(ok[p + k] for k, c in enumerate(m) if c == "1") for m in MASKS for p in range(n - len(m) + 1)), sorted(wrong)
 
 
+def holds(doc, item, offset):
+    return holds_hashes(hashes_of(' '.join(doc)), hashes_of(' '.join(item)), offset)
+
+
 def test_holds_counts_changes_against_length():
     item = WORDS[:40]
     doc = WORDS[300:310] + item[:18] + WORDS[310:320]
@@ -55,10 +60,10 @@ def test_leaks_in_all_renderings(spark, sent):
     broken = passage.replace("w7x", "w7-\nx").replace("w9xj", "w9\nxj")
     corpus = docs(spark, [
         (1, "intro " + passage.upper(), 0), (2, f"> **{changed}**", 0), (3, " ".join(k[3:21]), 0), (4, " ".join(k[3:20]), 0), (5, None, 0), (6, "", 0),
-        (7, broken, 0), (8, " ".join(["zz" if i % 6 == 2 else w for i, w in enumerate(k)]), 0), (9, "filler " * 30_000 + passage, 0), (1, "intro " + passage.upper(), 0)])
+        (12, "<p style='" + "x: y; " * 40 + f"'>{passage}", 0), (7, broken, 0), (8, " ".join(["zz" if i % 6 == 2 else w for i, w in enumerate(k)]), 0), (9, "filler " * 30_000 + passage, 0), (1, "intro " + passage.upper(), 0)])
     tests = items(spark, [(10, passage, "x"), (10, passage, "x"), (11, None, "x"), (12, "too short", "x")])
     got = {tuple(r) for r in leaked_items(corpus, tests, sent_seeds=sent).collect()}
-    assert got == {(d, 10) for d in (1, 2, 3, 7, 9)}
+    assert got == {(d, 10) for d in (1, 2, 3, 7, 9, 12)}
 
 
 def test_leaks_of_empty_tables(spark):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwise.llm import consensus as C
-from strandwise.llm.containers import fill_containers, knapsack, size_classes, solve_configurations, token_counts
+from strandwise.llm.containers import fill_containers, fullest, knapsack, solve_configurations, token_counts
 from strandwise.llm.language import UNKNOWN, features, fit_from, fit_model, language_code
 from strandwise.llm.runs import abstract_runs, join_runs, title_runs
 from strandwise.llm.sentences import Boundaries, LanguageFacts, sentences
@@ -189,29 +189,58 @@ def test_containers(spark):
     rnd = random.Random(2)
     lengths = [(i, rnd.choice([5, 5, 5, 30, 61, 64, 99, 100, 101, 250, 0, None, rnd.randrange(1, 100)])) for i in range(700)]
     df = spark.createDataFrame(lengths, "key int, n_tokens long").withColumn("pid", F.lit("clash"))
-    used = check_fill(lengths, fill_containers(df, 100, 150).collect(), 100)
+    used = check_fill(lengths, fill_containers(df, 100).items.collect(), 100)
     total = sum(n or 0 for _, n in lengths)
-    assert used <= 1.15 * total / 100 + 2
-    assert fill_containers(df.limit(0), 100).count() == 0
+    assert used <= 1.02 * total / 100 + 2
+    assert fill_containers(df.limit(0), 100).items.count() == 0
 
 
 def test_one_length_only(spark):
     lengths = [(i, 40) for i in range(31)]
-    assert check_fill(lengths, fill_containers(spark.createDataFrame(lengths, "key int, n_tokens long"), 100).collect(), 100) == 16
+    assert check_fill(lengths, fill_containers(spark.createDataFrame(lengths, "key int, n_tokens long"), 100).items.collect(), 100) == 16
+
+
+def n_containers(counts, capacity):
+    sizes = np.array(sorted(counts))
+    n = np.array([counts[x] for x in sizes])
+    plan = solve_configurations(sizes, n, capacity)
+    assert (sum(c * k for c, k in plan.contents) == n).all() and all((c * sizes).sum() <= capacity for c, _ in plan.contents)
+    used = sum(k for _, k in plan.contents)
+    assert plan.bound <= used + 1e-6
+    return used, plan.bound
 
 
 def test_configurations_cover_exactly():
-    sizes = size_classes(64, 16)
-    counts = np.arange(1, len(sizes) + 1)
-    plan = solve_configurations(sizes, counts, 64, 100)
-    assert (sum(c * n for c, n in plan) == counts).all() and all((c * sizes).sum() <= 64 for c, _ in plan)
+    n_containers(dict(zip(range(1, 65), range(1, 65), strict=True)), 64)
+
+
+def test_planted_containers_are_found():
+    assert n_containers({682: 1000, 683: 2000}, 2048) == (1000, 1000.0)
+    rnd, planted = random.Random(5), {}
+    for _ in range(3000):
+        a, b = sorted(rnd.sample(range(1, 2048), 2))
+        for x in (a, b - a, 2048 - b):
+            planted[x] = planted.get(x, 0) + 1
+    used, bound = n_containers(planted, 2048)
+    assert used <= 1.02 * 3000 and bound == pytest.approx(3000)
+
+
+def test_bound_of_large_items():
+    used, bound = n_containers({x: 5 for x in range(700, 1500)}, 2048)
+    assert used <= 1.01 * bound
 
 
 def test_knapsack_equals_brute_force():
     sizes, prices = np.array([3, 5, 7]), np.array([4.0, 7.1, 9.9])
-    best = max((a * 4.0 + b * 7.1 + c * 9.9) for a in range(8) for b in range(5) for c in range(4) if 3 * a + 5 * b + 7 * c <= 22)
-    copies = knapsack(sizes, prices, 22)
-    assert (copies * sizes).sum() <= 22 and abs((copies * prices).sum() - best) < 1e-9
+    for most in ((9, 9, 9), (2, 1, 9), (1, 4, 0)):
+        best = max((a * 4.0 + b * 7.1 + c * 9.9) for a in range(most[0] + 1) for b in range(most[1] + 1) for c in range(most[2] + 1) if 3 * a + 5 * b + 7 * c <= 22)
+        copies = knapsack(sizes, prices, np.array(most), 22)
+        assert (copies <= most).all() and (copies * sizes).sum() <= 22 and abs((copies * prices).sum() - best) < 1e-9
+    for most in ((3, 3, 3), (9, 0, 1), (1, 1, 1)):
+        copies = fullest(sizes, np.array(most), 22)
+        large = max(k for k in range(3) if most[k] or k == 0)
+        best = max(3 * a + 5 * b + 7 * c for a in range(most[0] + 1) for b in range(most[1] + 1) for c in range(most[2] + 1) if 3 * a + 5 * b + 7 * c <= 22 and (a, b, c)[large])
+        assert (copies <= most).all() and (copies * sizes).sum() == best or not most[1]
 
 
 def test_token_counts(spark):

@@ -8,6 +8,7 @@ are taken as dependent: where they give one item the same label, they count as o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +22,7 @@ from strandwise.session import cut
 
 #: Largest number of parameters (fields x raters x classes squared) that is kept on the driver and sent to tasks.
 SENT_PARAMETERS = 4_000_000
-#: Largest number of raters for which every pair is tested for dependence (a raters x raters matrix).
+#: Up to so many raters the pairs are counted in a raters x raters matrix of each task; beyond, pair by pair in the cluster.
 PAIRED_RATERS = 1_000
 
 
@@ -32,6 +33,41 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return np.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) - low
 
 
+def beta_share(a: float, b: float, x: float) -> float:
+    """The share of a Beta law below `x` (regularised incomplete beta function, by its continued fraction)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(b, a, 1 - x)
+    front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    out = d
+    for m in range(1, 500):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + step * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + step / c
+            c = c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-12:
+            break
+    return float(front * out)
+
+
+def beta_quantile(mean: float, sd: float, share: float) -> float:
+    """Quantile of the Beta law of given mean and standard deviation, by bisection."""
+    if not 0 < mean < 1 or sd <= 0:
+        return min(1.0, max(0.0, mean))
+    n = max(mean * (1 - mean) / sd**2 - 1, 1e-3)
+    a, b = mean * n, (1 - mean) * n
+    lo, hi = 0.0, 1.0
+    for _ in range(50):
+        x = (lo + hi) / 2
+        lo, hi = (x, hi) if beta_share(a, b, x) < share else (lo, x)
+    return (lo + hi) / 2
+
+
 def _digamma_col(x: Column) -> Column:
     y = x + 6
     low = sum((1 / (x + i) for i in range(1, 6)), 1 / x)
@@ -144,6 +180,43 @@ def _sweep(space: Space, elog, eprior, present, pairs: bool, rows=None):
     return run
 
 
+def _sweep_pairs(space: Space, elog, eprior, rows):
+    """The same counts of shared wrong answers as rows `(i, j, same, chance, wrong_i, wrong_j)`, for any number of raters."""
+    n_r = len(space.raters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            f, item, rater, label = _flat(batch)
+            best = _posterior(f, item, rater, label, _weights(item, rater, label, space.cluster), elog, eprior).argmax(1)
+            bad = label != best[item]
+            n = np.bincount(item, minlength=len(f))
+            start = np.cumsum(n) - n
+            # answers of one item side by side, one distance at a time
+            keys, sums = np.zeros(0, dtype=np.int64), np.zeros((0, 4))
+            for d in range(1, int(n.max()) if len(n) else 0):
+                a = np.flatnonzero(np.arange(len(item)) + d < (start + n)[item])
+                b = a + d
+                i, j = rater[a], rater[b]
+                t, fa = best[item[a]], f[item[a]]
+                own_i, own_j = rows[fa, i, :, t], rows[fa, j, :, t]
+                wrong = np.arange(rows.shape[2])[None, :] != t[:, None]
+                values = np.stack([(bad[a] & bad[b] & (label[a] == label[b])).astype(float), (own_i * own_j * wrong).sum(1), bad[a].astype(float), bad[b].astype(float)], 1)
+                swap = i > j
+                values[swap, 2], values[swap, 3] = values[swap, 3], values[swap, 2].copy()
+                keys = np.concatenate((keys, np.minimum(i, j).astype(np.int64) * n_r + np.maximum(i, j)))
+                sums = np.concatenate((sums, values))
+                if len(keys) > 500_000:
+                    keys, at = np.unique(keys, return_inverse=True)
+                    sums = np.stack([np.bincount(at, sums[:, c]) for c in range(4)], 1)
+            if len(keys):
+                keys, at = np.unique(keys, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.bincount(at, sums[:, c])) for c in range(4)]], names=["pair", "same", "chance", "wrong_i", "wrong_j"])
+
+    return run
+
+
 def _totals(packed: DataFrame, run, size: int) -> np.ndarray:
     out = np.zeros(size)
     got = packed.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
@@ -159,15 +232,18 @@ class ConfusionModel:
     raises, and `consensus_by_groups` gives the same posteriors by joins alone.
     """
 
-    def __init__(self, answers: DataFrame, sweeps: int = 25, tolerance: float = 1e-3, prior_weight: float = 3.0) -> None:
-        self.prior_weight = prior_weight
-        names = answers.groupBy("field", "label").count().collect()
-        raters = [r.rater for r in answers.select("rater").distinct().orderBy("rater").limit(SENT_PARAMETERS + 1).collect()]
+    def __init__(self, answers: DataFrame, sweeps: int = 25, tolerance: float = 1e-3, prior_weight: float = 3.0, paired_raters: int = PAIRED_RATERS) -> None:
+        self.prior_weight, self.paired_raters = prior_weight, paired_raters
+        answers = cut(answers)
+        # at most one row for each field, label and rater
+        seen = answers.groupBy("field", "label", "rater").count().limit(SENT_PARAMETERS + 1).collect()
+        names = {(r.field, r.label) for r in seen}
+        raters = sorted({r.rater for r in seen})
         labels: dict[str, list[str]] = {}
-        for r in sorted(names, key=lambda r: (r.field, r.label)):
-            labels.setdefault(r.field, []).append(r.label)
+        for name, label in sorted(names):
+            labels.setdefault(name, []).append(label)
         self.space = s = Space(sorted(labels), raters, labels)
-        if len(s.fields) * len(raters) * s.width**2 > SENT_PARAMETERS:
+        if len(seen) > SENT_PARAMETERS or len(s.fields) * len(raters) * s.width**2 > SENT_PARAMETERS:
             raise ValueError("too many raters and labels for the packed model; use consensus_by_groups")
         n_f, n_r, k = len(s.fields), len(raters), s.width
         self.shape = (n_f, n_r, k, k)
@@ -185,7 +261,7 @@ class ConfusionModel:
         self.counts, self.prior = np.zeros(self.shape), np.zeros((n_f, k))
         if n_f:
             self._fit(sweeps, tolerance)
-            if 1 < n_r <= PAIRED_RATERS and self._tie_dependent():
+            if n_r > 1 and self._tie_dependent():
                 self._fit(sweeps, tolerance)
 
     def _alpha(self) -> np.ndarray:
@@ -225,17 +301,26 @@ class ConfusionModel:
         here = self.present[:, None, :, None] & self.present[:, None, None, :]
         rows = np.where(here, a / np.where(here, a, 0).sum(2, keepdims=True).clip(1e-9), 0)
         elog, eprior = self._expected()
-        got = _totals(self.packed, _sweep(self.space, elog, eprior, self.present, True, rows), 3 * n * n).reshape(3, n, n)
-        same, chance, wrong = got
-        room = np.minimum(wrong, wrong.T) - chance
-        with np.errstate(divide="ignore", invalid="ignore"):
-            tied = ((same - chance) / np.sqrt(chance + 1) > 6) & ((same - chance) > 0.2 * np.maximum(room, 1))
-        np.fill_diagonal(tied, False)
-        self.dependent = [(self.space.raters[i], self.space.raters[j]) for i, j in np.argwhere(np.triu(tied))]
+        if n <= self.paired_raters:
+            got = _totals(self.packed, _sweep(self.space, elog, eprior, self.present, True, rows), 3 * n * n).reshape(3, n, n)
+            same, chance, wrong = got
+            room = np.minimum(wrong, wrong.T) - chance
+            with np.errstate(divide="ignore", invalid="ignore"):
+                tied = ((same - chance) / np.sqrt(chance + 1) > 6) & ((same - chance) > 0.2 * np.maximum(room, 1))
+            ties = np.argwhere(np.triu(tied, 1))
+        else:
+            sums = self.packed.mapInArrow(_sweep_pairs(self.space, elog, eprior, rows), "pair long, same double, chance double, wrong_i double, wrong_j double")
+            sums = sums.groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("same", "chance", "wrong_i", "wrong_j")])
+            more = F.col("same") - F.col("chance")
+            room = F.greatest(F.least("wrong_i", "wrong_j") - F.col("chance"), F.lit(1.0))
+            # only the pairs found dependent come back
+            found = sums.where((more / F.sqrt(F.col("chance") + 1) > 6) & (more > 0.2 * room)).select("pair").toPandas()["pair"].to_numpy(dtype=np.int64)
+            ties = np.stack([found // n, found % n], 1)
+        self.dependent = sorted((self.space.raters[i], self.space.raters[j]) for i, j in ties)
         c = self.space.cluster
-        for i, j in np.argwhere(tied):
+        for i, j in ties:
             c[c == c[j]] = c[i]
-        return bool(tied.any())
+        return bool(len(ties))
 
     def labels(self, min_raters: int = 1) -> DataFrame:
         """`(item, field, label, confidence, n_raters)` for items with at least `min_raters` answers; the first label in order wins ties."""
@@ -260,7 +345,10 @@ class ConfusionModel:
         return self.packed.where(F.size("answers") >= min_raters).mapInArrow(run, f"item {kind}, field string, label string, confidence double, n_raters int")
 
     def reliability(self) -> DataFrame:
-        """`(rater, field, reliability, low, high, n_answers, cluster)`: posterior mean and 95 % interval of the chance to give the true label."""
+        """`(rater, field, reliability, low, high, n_answers, cluster)`: posterior mean and central 95 % interval of the chance to give the true label.
+
+        Over the classes the chance is a mean of Beta variables; the interval is that of the Beta law with its mean and variance.
+        """
         a, s = self._alpha(), self.space
         rows = []
         for i, f in enumerate(s.fields):
@@ -272,7 +360,7 @@ class ConfusionModel:
                 mean = np.diag(own) / total
                 sd = float(np.sqrt((share**2 * mean * (1 - mean) / (total + 1)).sum()))
                 m = float((share * mean).sum())
-                rows.append((name, f, m, max(0.0, m - 1.96 * sd), min(1.0, m + 1.96 * sd), float(self.counts[i, r].sum()), s.raters[s.cluster[r]]))
+                rows.append((name, f, m, beta_quantile(m, sd, 0.025), beta_quantile(m, sd, 0.975), float(self.counts[i, r].sum()), s.raters[s.cluster[r]]))
         return self.packed.sparkSession.createDataFrame(rows, "rater string, field string, reliability double, low double, high double, n_answers double, cluster string")
 
 

@@ -44,7 +44,7 @@ _TABLES = {
 }
 _SHORT = (1 << 30) - 1
 #: Largest difference of those 30 bits.
-MAX_SHORT = 9
+MAX_SHORT = 8
 #: A function word stands in so large a share of the history's texts.
 FUNCTION_WORD = 0.1
 #: A wording is learned from so many different findings, if chance would let so many of its uses fall into the history.
@@ -189,14 +189,14 @@ def candidates(new: DataFrame, stored: DataFrame, kind: str) -> DataFrame:
         years = (year == 0) | (old_year == 0) | F.abs(year - old_year).isin(0, 1, 62)
         near = F.bit_count(F.col("facts").bitwiseXOR(F.col("old_facts")).bitwiseAND(_SHORT)) <= MAX_SHORT
         pairs = pairs.where(exact | (near & people & years))
-    return pairs.groupBy("rid", "old_rid").agg(F.max(exact).alias("exact"), F.collect_set(F.struct("view", "old_view")).alias("met"))
+    return pairs.groupBy("rid", "old_rid").agg(F.max(exact).alias("exact"), F.collect_set(F.shiftleft(F.col("view").cast("int"), 16) + F.col("old_view")).alias("met"))
 
 
 def close_pairs(hits: DataFrame, new: DataFrame, old: DataFrame, columns: tuple[str, ...], most: int = MAX_DIFFERENCE) -> DataFrame:
     """Candidates with the `columns` of both sides (the stored one's with a 2), of which some fingerprints differ in few bits."""
     a = new.select("rid", "views", *columns)
     b = old.select(F.col("rid").alias("old_rid"), F.col("views").alias("views2"), *[F.col(c).alias(f"{c}2") for c in columns])
-    near = F.exists("met", lambda m: difference(F.slice("views", m["view"] * _STRIDE + 2, F.lit(WORDS)), F.slice("views2", m["old_view"] * _STRIDE + 2, F.lit(WORDS))) <= most)
+    near = F.exists("met", lambda m: difference(F.slice("views", F.shiftright(m, 16) * _STRIDE + 2, F.lit(WORDS)), F.slice("views2", m % 65536 * _STRIDE + 2, F.lit(WORDS))) <= most)
     return hits.join(a, "rid").join(b, "old_rid").where(F.col("exact") | near).drop("views", "views2", "met", "exact")
 
 
@@ -239,12 +239,12 @@ class FingerprintStore:
 
     def found(self, table: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Candidates of a batch (its block table and signed records) among the stored and its own ones, and the records of both."""
-        known = table
+        hits = candidates(table, table, self.kind)
         if self.appends:
             words = cut(map_of(table, F.col("key")))
             stored = self._read("blocks").where(F.col("part").isin(_parts(words))).select(*table.columns)
-            known = in_map(stored, F.col("key"), words).unionByName(table)
-        hits = cut(candidates(table, known, self.kind))
+            hits = hits.unionByName(candidates(table, in_map(stored, F.col("key"), words), self.kind))
+        hits = cut(hits)
         records = new
         if self.appends:
             # which appends and tasks wrote the records that were hit: one row for each of their files at most
@@ -460,7 +460,8 @@ def accept_batch(store: FingerprintStore, batch: DataFrame, append: bool = True)
     new = batch.select("id", *FIELDS, F.col("at").cast("timestamp").alias("at"))
     heads = one_of_each(new)
     signed = cut(store.signed(heads))
-    table = cut(block_table(signed, kind))
+    # partitioned by key once: the batch meets itself and the stored rows without another shuffle
+    table = cut(block_table(signed, kind).repartition("key"))
     hits, records = store.found(table, signed)
     columns = ("at", *(FIELDS if kind == "source" else ("figures", "words")))
     pairs = close_pairs(hits, signed, records, columns).where(F.col("at2").isNull() | (F.col("at2") < F.col("at")))

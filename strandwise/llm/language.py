@@ -86,24 +86,21 @@ class LanguageModel:
             done = to
         return out
 
-    def classify(self, texts: Sequence[str]) -> tuple[list[str], np.ndarray]:
-        """Language and confidence of each text; ties go to the first language in order."""
-        if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def judge(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the nearest language, cosine with it and confidence of each text; ties go to the first language in order."""
         sims = self.similarities(texts)
+        at = np.arange(len(texts))
         best = sims.argmax(1)
-        top = sims[np.arange(len(texts)), best]
-        rest = sims.copy()
-        rest[np.arange(len(texts)), best] = 0
-        confidence = np.where(top > 0, top / np.maximum(top + rest.max(1), 1e-12), 0.0)
-        return [self.languages[b] if t >= self.floor else UNKNOWN for b, t in zip(best, top, strict=True)], confidence
-
-    def nearest(self, texts: Sequence[str]) -> list[str]:
-        """The nearest language without rejection; `und` only for texts without letters."""
+        top = sims[at, best]
+        sims[at, best] = 0
+        return best, top, np.where(top > 0, top / np.maximum(top + sims.max(1), 1e-12), 0.0)
+
+    def classify(self, texts: Sequence[str]) -> tuple[list[str], np.ndarray]:
+        """Language and confidence of each text; what lies below the floor is rejected."""
         if not self.languages:
-            return [UNKNOWN] * len(texts)
-        sims = self.similarities(texts)
-        return [self.languages[k] if x > 0 else UNKNOWN for k, x in zip(sims.argmax(1), sims.max(1), strict=True)]
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        best, top, confidence = self.judge(texts)
+        return [self.languages[b] if t >= self.floor and t > 0 else UNKNOWN for b, t in zip(best, top, strict=True)], confidence
 
 
 def _cosines(row, f, x, idf, centroids, n: int) -> np.ndarray:

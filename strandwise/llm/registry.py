@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm.consensus import ConfusionModel, krippendorff_alpha, latest_answers
+from strandwise.llm.consensus import ConfusionModel, consensus_by_groups, krippendorff_alpha, latest_answers
 from strandwise.llm.containers import CAPACITY, Filling, fill_containers, token_counts
 from strandwise.llm.entities import match_entities
 from strandwise.llm.history import accept_batch, new_store, repeated_records
@@ -115,6 +115,12 @@ def p5_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model(spark, sf_dir).reliability()
 
 
+def p5_by_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels by group-bys alone, each rater for itself."""
+    labels = consensus_by_groups(latest_answers(table(spark, sf_dir, "ratings")), sweeps=5)
+    return labels.select(F.col("item").alias("item_key"), "field", "label", F.round("confidence", 6).alias("confidence"))
+
+
 def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return krippendorff_alpha(latest_answers(table(spark, sf_dir, "ratings")))
 
@@ -188,7 +194,7 @@ _QUERIES = {
     "p1_found": p1_found, "p1_batches": p1_batches,
     "p3_found": p3_found, "p3_lengths": p3_lengths, "p4_found": p4_found, "p4_languages": p4_languages,
     "p6_found": p6_found, "p6_confidence": p6_confidence, "p6_deciles": p6_deciles,
-    "p5_found": p5_found, "p5_reliability": p5_reliability, "p5_agreement": p5_agreement,
+    "p5_found": p5_found, "p5_reliability": p5_reliability, "p5_agreement": p5_agreement, "p5_by_groups": p5_by_groups,
     "p7_containers": p7_containers, "p7_fill": p7_fill,
     "p8_found": p8_found, "p8_report": p8_report,
     "p9_found": p9_found, "p9_removals": p9_removals, "p9_share": p9_share,

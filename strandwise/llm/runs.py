@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -18,22 +19,23 @@ _SCHEMA = "rec_id string, field string, start_pos int, end_pos int, lang string,
 _LEAST_LETTERS = 12
 
 
-def join_runs(parts: list[tuple[int, int]], langs: list[str], confidence: list[float], usual: str) -> list[tuple[int, int, str, float]]:
+def join_runs(parts: list[tuple[int, int]], langs: list[str | None], confidence: list[float]) -> list[tuple[int, int, str, float]]:
     """Neighbouring parts of one language as (start, end, lang, confidence weighted by length).
 
-    A rejected part takes the language of the part before, else of the next one that has any, else `usual`.
+    A part without a language of its own (None: too few letters) goes with the part before, else with the next one that has
+    any. Rejected parts (`und`) stay parts of their own, as does a text of nothing else.
     """
     filled, last = list(langs), None
     for k, x in enumerate(filled):
-        if x == UNKNOWN and last is not None:
+        if x is None:
             filled[k] = last
-        last = filled[k] if filled[k] != UNKNOWN else last
+        last = filled[k] if filled[k] is not None else last
     for k in range(len(filled) - 2, -1, -1):
-        if filled[k] == UNKNOWN:
+        if filled[k] is None:
             filled[k] = filled[k + 1]
     out: list[list] = []
     for (s, e), x, c in zip(parts, filled, confidence, strict=True):
-        x = usual if x == UNKNOWN else x
+        x = UNKNOWN if x is None else x
         if out and out[-1][2] == x:
             out[-1][1] = e
             out[-1][3] += c * (e - s)
@@ -49,22 +51,40 @@ def _rows(model: LanguageModel, field: str, parts_of):
             cuts = [parts_of(row) for row in pdf.itertuples(index=False)]
             texts = pdf["text"].tolist()
             flat = [t[s:e] for t, own in zip(texts, cuts, strict=True) for s, e in own]
-            langs, conf = model.classify(flat)
-            letters = [sum(map(str.isalpha, x)) for x in flat]
-            other = model.nearest(flat)
-            langs = [o if _script_only(t) else x if n >= _LEAST_LETTERS else UNKNOWN for x, o, n, t in zip(langs, other, letters, flat, strict=True)]
-            whole = model.nearest(texts)
-            out, k = [], 0
-            for rec, own, usual in zip(pdf["rec_id"], cuts, whole, strict=True):
-                n = len(own)
-                out += [(rec, field, *r) for r in join_runs(own, langs[k : k + n], list(conf[k : k + n]), usual)]
-                k += n
+            out: list[tuple] = []
+            langs, conf = _judged(model, flat)
+            k = 0
+            short = []
+            for rec, text, own in zip(pdf["rec_id"], texts, cuts, strict=True):
+                mine = langs[k : k + len(own)]
+                if own and all(x is None for x in mine):
+                    short.append((rec, text, own, list(conf[k : k + len(own)])))
+                else:
+                    out += [(rec, field, *r) for r in join_runs(own, mine, list(conf[k : k + len(own)]))]
+                k += len(own)
+            # texts of short parts only are looked at as a whole
+            for (rec, _, own, c), x in zip(short, model.classify([t for _, t, _, _ in short])[0], strict=True):
+                out += [(rec, field, *r) for r in join_runs(own, [x] * len(own), c)]
             if out:
                 yield pd.DataFrame(out, columns=["rec_id", "field", "start_pos", "end_pos", "lang", "confidence"])
 
     return run
 
 
+def _judged(model: LanguageModel, parts: list[str]) -> tuple[list[str | None], np.ndarray]:
+    """Language of each part (`und` beyond the floor, None for too few letters to tell) and confidence, from one look at the vectors."""
+    if not model.languages:
+        return [UNKNOWN] * len(parts), np.zeros(len(parts))
+    best, top, conf = model.judge(parts)
+    out: list[str | None] = []
+    for t, b, x in zip(parts, best, top, strict=True):
+        if x <= 0 or (sum(map(str.isalpha, t)) < _LEAST_LETTERS and not _script_only(t)):
+            out.append(None)
+        else:
+            out.append(model.languages[b] if x >= model.floor else UNKNOWN)
+    return out, conf
+
+
 def _script_only(text: str) -> bool:
     """Texts in other scripts than Latin need few letters to be told apart."""
     letters = [c for c in text if c.isalpha()]
@@ -82,8 +102,8 @@ def abstract_runs(texts: DataFrame, model: LanguageModel) -> DataFrame:
     return known.mapInPandas(_rows(model, "abstract", lambda r: bounds.split(r.text, tuple(r.langs))), _SCHEMA)
 
 
-def title_parts(text: str, model: LanguageModel) -> list[tuple[int, int]]:
-    """The wordings of a title; a separator counts only between wordings of different languages."""
+def title_parts(text: str) -> list[tuple[int, int]]:
+    """The wordings of a title, cut at every separator; wordings of one language are joined again afterwards."""
     cuts, a = [], 0
     for m in _SEPARATOR.finditer(text):
         cuts.append((a, m.start()))
@@ -103,5 +123,5 @@ def title_parts(text: str, model: LanguageModel) -> list[tuple[int, int]]:
 def title_runs(texts: DataFrame, model: LanguageModel) -> DataFrame:
     """Runs of titles `texts(rec_id, text)`; the separator of two wordings and the blanks around it belong to neither."""
     return texts.select("rec_id", "text").where("text is not null").mapInPandas(
-        _rows(model, "title", lambda r: title_parts(r.text, model)), _SCHEMA
+        _rows(model, "title", lambda r: title_parts(r.text)), _SCHEMA
     )

@@ -26,8 +26,10 @@ SENT_WORDS = 1_000_000
 _ENDS = ".!?…。！？؟।॥｡"
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", '"': '"'}
 _BRACKETS = "([（【"
+#: The opening marks that a mark may close.
+_OPENERS_OF = {c: "".join(o for o, ends in _PAIRS.items() if c in ends) for ends in _PAIRS.values() for c in ends}
+_ANY_PAIR = regex.compile("[" + regex.escape("".join({*_PAIRS, *_OPENERS_OF})) + "]")
 _CLOSERS = "”»›」』)）]】》\"’"
-_LONGEST_QUOTE = 1_000
 _LINE = regex.compile(r"[^\n\r  ]+")
 _MARK = regex.compile(r"[.!?…。！？؟।॥｡“„«‹「『(（\[【《\"]|(?<=\p{Thai})[^\S\n]+")
 _SPACE = regex.compile(r"\s*")
@@ -96,6 +98,7 @@ class Boundaries:
 
     def _cuts(self, text: str, start: int, stop: int, known: list[LanguageFacts]) -> list[int]:
         cuts: list[int] = []
+        pairs: dict[int, int] | None = None
         skip = begin = start
         while begin < stop and text[begin].isspace():
             begin += 1
@@ -110,7 +113,8 @@ class Boundaries:
                 if after < stop and (regex.match(r"\p{Thai}", text[after]) or (text[after] in _PAIRS and regex.match(r"\p{Thai}", text[after + 1 : after + 2])) or _LONG_LATIN.match(text, after, stop)):
                     end = i
             elif ch in _PAIRS:
-                close = self._closer(text, i, stop)
+                pairs = self._closers(text, start, stop) if pairs is None else pairs
+                close = pairs.get(i)
                 if close is None:
                     continue
                 skip = close + 1
@@ -135,17 +139,21 @@ class Boundaries:
         return cuts
 
     @staticmethod
-    def _closer(text: str, i: int, stop: int) -> int | None:
-        """Place of the mark that closes the one at i, nesting of the same kind counted; none if it stays open."""
-        opener, closers, depth = text[i], _PAIRS[text[i]], 0
-        for j in range(i + 1, min(stop, i + _LONGEST_QUOTE)):
-            if text[j] in closers:
-                if not depth:
-                    return j
-                depth -= 1
-            elif text[j] == opener:
-                depth += 1
-        return None
+    def _closers(text: str, start: int, stop: int) -> dict[int, int]:
+        """Place of the mark that closes each opening one of a line, nesting of the same kind counted; marks that stay open have none."""
+        out: dict[int, int] = {}
+        open_: dict[str, list[int]] = {o: [] for o in _PAIRS}
+        for m in _ANY_PAIR.finditer(text, start, stop):
+            c = m.group()
+            for o in _OPENERS_OF.get(c, ""):
+                if open_[o]:
+                    out[open_[o].pop()] = m.start()
+                    if o == c:
+                        break
+            else:
+                if c in open_:
+                    open_[c].append(m.start())
+        return out
 
     @staticmethod
     def _after_quote(text: str, i: int, e: int, stop: int, begin: int, bracket: bool) -> bool:
@@ -351,8 +359,12 @@ def learn_boundaries(texts: DataFrame) -> Boundaries:
     return Boundaries(dict(facts))
 
 
+#: A text whose confidence reaches this is taken for one language; in others each part is looked at.
+ONE_LANGUAGE = 0.64
+
+
 def with_languages(df: DataFrame, model: LanguageModel, part: int = 90) -> DataFrame:
-    """`df` with `langs`: the language of the text first, then those of its parts of about `part` characters."""
+    """`df` with `langs`: the language of the text first, then, if it may be mixed, those of its parts of about `part` characters."""
     columns = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -360,17 +372,19 @@ def with_languages(df: DataFrame, model: LanguageModel, part: int = 90) -> DataF
             if pdf.empty:
                 continue
             texts = pdf["text"].tolist()
+            whole, sure = model.classify(texts)
             parts, owner = [], []
             for k, t in enumerate(texts):
-                pieces = [t[a : a + part] for a in range(0, len(t), part)] if len(t) > 1.5 * part else [t]
-                parts += pieces
-                owner += [k] * len(pieces)
-            lang, _ = model.classify(parts)
+                if sure[k] < ONE_LANGUAGE and len(t) > 1.5 * part:
+                    pieces = [t[a : a + part] for a in range(0, len(t), part)]
+                    parts += pieces
+                    owner += [k] * len(pieces)
             each: list[list[str]] = [[] for _ in texts]
-            for k, x in zip(owner, lang, strict=True):
+            for k, x in zip(owner, model.classify(parts)[0] if parts else [], strict=True):
                 each[k].append(x)
             out = {c: pdf[c].to_numpy(dtype=object) for c in columns}
-            yield pd.DataFrame(out | {"langs": [[x for x, _ in Counter(e).most_common()] for e in each]}, dtype=object)
+            langs = [[x for x, _ in Counter(e).most_common()] if e else [w] for w, e in zip(whole, each, strict=True)]
+            yield pd.DataFrame(out | {"langs": langs}, dtype=object)
 
     schema = ", ".join(f"{n} {t}" for n, t in df.dtypes)
     return df.mapInPandas(run, f"{schema}, langs array<string>")

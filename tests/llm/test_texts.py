@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandwise.llm import consensus as C
 from strandwise.llm.containers import fill_containers, fullest, knapsack, solve_configurations, token_counts
-from strandwise.llm.language import UNKNOWN, features, fit_from, fit_model, language_code
+from strandwise.llm.language import UNKNOWN, LanguageModel, features, fit_from, fit_model, language_code
 from strandwise.llm.runs import abstract_runs, join_runs, title_runs
 from strandwise.llm.sentences import Boundaries, LanguageFacts, sentences
 
@@ -106,10 +106,25 @@ def test_title_runs(spark, model):
     assert got == {("t1", 0, "en"), ("t1", len(EN[0]) + 3, "de"), ("t2", 0, "en"), ("t3", 0, "ja"), ("t3", len(JA[0]) + 3, "en")}
 
 
-def test_join_runs_fills_rejected_parts():
+def test_join_runs_fills_short_parts_and_keeps_rejected_ones():
     parts = [(0, 2), (3, 5), (6, 8)]
-    assert [r[:3] for r in join_runs(parts, [UNKNOWN, "en", UNKNOWN], [0, 1, 0], "de")] == [(0, 8, "en")]
-    assert [r[:3] for r in join_runs(parts[:1], [UNKNOWN], [0], "de")] == [(0, 2, "de")]
+    assert [r[:3] for r in join_runs(parts, [None, "en", None], [0, 1, 0])] == [(0, 8, "en")]
+    assert [r[:3] for r in join_runs(parts[:1], [None], [0])] == [(0, 2, UNKNOWN)]
+    assert [r[:3] for r in join_runs(parts, ["en", UNKNOWN, "en"], [1, 0, 1])] == [(0, 2, "en"), (3, 5, UNKNOWN), (6, 8, "en")]
+
+
+def test_rejection_reaches_the_rows(spark, model):
+    strange = "qxzj wvkk zzqp xxjw kkvq pzzx jqwx vvkz qqxj zwpk"
+    far = LanguageModel(model.idf, model.centroids, model.owner, model.languages, 0.2)
+    df = spark.createDataFrame([("source", "a", f"{EN[0]} {strange.capitalize()}.")], "kind string, rec_id string, text string")
+    assert [r.lang for r in abstract_runs(df, far).orderBy("start_pos").collect()] == ["en", UNKNOWN]
+
+
+@pytest.mark.parametrize("n", [30, 400, 4_000])
+def test_quotations_of_any_length_end_no_sentence(n):
+    text = "He said “" + "It works. " * n + "Really” and left. Then came another one."
+    got = [text[s:e] for s, e in Boundaries({"en": LanguageFacts()}).split(text, ("en",))]
+    assert len(got) == 2 and got[1] == "Then came another one."
 
 
 # --- consensus -----------------------------------------------------------------------------------------------------
@@ -247,3 +262,18 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "two words"), (2, None), (3, "")], "id int, t string")
     got = {r.key: r.n_tokens for r in token_counts(df, "id", "t").collect()}
     assert got[1] >= 2 and got[2] == got[3] == 0
+
+
+def test_dependence_is_found_beyond_the_bound_of_the_matrix(spark):
+    _, rows = simulated()
+    df = spark.createDataFrame(rows, "field string, item string, rater string, label string")
+    dense, sparse = C.ConfusionModel(df), C.ConfusionModel(df, paired_raters=0)
+    assert dense.dependent == sparse.dependent and dense.dependent
+    assert sorted(map(tuple, dense.labels().collect())) == sorted(map(tuple, sparse.labels().collect()))
+
+
+def test_beta_quantiles():
+    assert C.beta_share(1, 1, 0.3) == pytest.approx(0.3) and C.beta_share(2, 2, 0.5) == pytest.approx(0.5)
+    assert C.beta_share(2, 1, 0.6) == pytest.approx(0.36)
+    q = C.beta_quantile(0.5, (1 / 12) ** 0.5, 0.975)  # the uniform law
+    assert q == pytest.approx(0.975, abs=1e-6) and C.beta_quantile(1.0, 0.1, 0.5) == 1.0

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwise.plans import catalogue, core, reports, textual
+from strandwise.plans import catalogue, core, reports, screening, textual
 
-_MODULES = (catalogue, core, textual, reports)
+_MODULES = (catalogue, core, textual, reports, screening)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -97,22 +97,30 @@ def _flat(facts: np.ndarray, prints: np.ndarray, sizes: list[int]) -> list[np.nd
     return [x.ravel() for x in np.split(both, np.cumsum(sizes)[:-1])] if len(sizes) else []
 
 
-def _sign_sources(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _form(r: Record) -> str:
+    """Digest of a record as it is compared: records of one form differ in nothing the comparison sees."""
+    return xxhash.xxh3_128_hexdigest(repr((r.wordings, sorted(r.authors), r.partial_authors, r.year, r.doi)).encode("utf-8", "surrogatepass"))
+
+
+def _sign_sources(batches: Iterator[pd.DataFrame], forms: bool = False) -> Iterator[pd.DataFrame]:
     signer = Signer()
     for pdf in batches:
         if pdf.empty:
             continue
-        views, facts, exact = [], [], []
+        views, facts, exact, form = [], [], [], []
         for fields in zip(*[pdf[c] for c in FIELDS], strict=True):
             r = record(*fields)
             own = source_views(r)
             views.append(own)
             facts += [_facts(r)] * len(own)
             exact.append(_doi_keys(r))
+            if forms:
+                form.append(_form(r))
         prints = packed(signer.sign([v for own in views for v in own]))
         # 30 bits of the fingerprint go with the facts, for a first test in the bucket
         marked = np.array(facts, dtype=np.uint64).view(np.int64) | (prints[:, 0] & _SHORT)
-        yield pdf.assign(figures=None, words=None, views=_flat(marked, prints, [len(v) for v in views]), exact=exact)
+        out = pdf.assign(figures=None, words=None, views=_flat(marked, prints, [len(v) for v in views]), exact=exact)
+        yield out.assign(form=form) if forms else out
 
 
 def _sign_claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,8 +139,10 @@ def _sign_claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def _sign(df: DataFrame, kind: str) -> DataFrame:
+def _sign(df: DataFrame, kind: str, forms: bool = False) -> DataFrame:
     schema = ", ".join(f"{n} {t}" for n, t in df.dtypes)
+    if forms:
+        return df.mapInPandas(lambda batches: _sign_sources(batches, True), f"{schema}, {_EXTRA}, form string")
     return df.mapInPandas(_sign_sources if kind == "source" else _sign_claims, f"{schema}, {_EXTRA}")
 
 
@@ -144,14 +154,14 @@ def one_of_each(records: DataFrame) -> DataFrame:
     return heads.select("head.id", *FIELDS, F.when(F.col("head.at") > _never(), F.col("head.at")).alias("at"), "h1", "h2")
 
 
-def signed_records(records: DataFrame, kind: str, n: int = 0) -> DataFrame:
+def signed_records(records: DataFrame, kind: str, n: int = 0, forms: bool = False) -> DataFrame:
     """Records with a number `rid` (unique over all `n`), their canonical words and fingerprints; to be written or cut before use.
 
-    A number is made of `n`, the task (also in `bin`) and the row in it.
+    A number is made of `n`, the task (also in `bin`) and the row in it. With `forms` a digest of the canonical record is added.
     """
     row = F.monotonically_increasing_id()
     numbered = records.withColumn("bin", F.shiftright(row, 33).cast("int")).withColumn("rid", F.lit(n << 53) + row)
-    return _sign(numbered, kind)
+    return _sign(numbered, kind, forms)
 
 
 def block_table(signed: DataFrame, kind: str) -> DataFrame:

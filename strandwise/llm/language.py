@@ -67,7 +67,7 @@ class LanguageModel:
     centroids: np.ndarray  # [feature, centroid], unit columns
     owner: np.ndarray  # language of each centroid, as a number
     languages: list[str]
-    floor: float
+    floor: np.ndarray  # least cosine of each language, below which a text is too far from it
 
     def similarities(self, texts: Sequence[str]) -> np.ndarray:
         """Cosine with the nearest centroid of each language: [text, language]."""
@@ -95,12 +95,21 @@ class LanguageModel:
         sims[at, best] = 0
         return best, top, np.where(top > 0, top / np.maximum(top + sims.max(1), 1e-12), 0.0)
 
+    def rejected(self, texts: Sequence[str], best: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """Which texts are too far from their nearest language, for their length, or have no letter."""
+        return (top <= 0) | (top < self.floor[best] * _length_share(texts))
+
     def classify(self, texts: Sequence[str]) -> tuple[list[str], np.ndarray]:
         """Language and confidence of each text; what lies below the floor is rejected."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         best, top, confidence = self.judge(texts)
-        return [self.languages[b] if t >= self.floor and t > 0 else UNKNOWN for b, t in zip(best, top, strict=True)], confidence
+        return [UNKNOWN if far else self.languages[b] for b, far in zip(best, self.rejected(texts, best, top), strict=True)], confidence
+
+
+def _length_share(texts: Sequence[str]) -> np.ndarray:
+    """Cosines of texts shorter than some 100 characters fall with the root of their length."""
+    return np.sqrt(np.minimum(1.0, np.fromiter(map(len, texts), dtype=float, count=len(texts)) / 100))
 
 
 def _cosines(row, f, x, idf, centroids, n: int) -> np.ndarray:
@@ -131,7 +140,7 @@ def fit_model(texts: Sequence[str], labels: Sequence[str], clusters: int = 3, ro
             pieces += own
             group += [languages.index(lab)] * len(own)
     if not pieces:
-        return LanguageModel(np.zeros(_DIM), np.zeros((_DIM, 0), np.float32), np.zeros(0, int), [], 0.0)
+        return LanguageModel(np.zeros(_DIM), np.zeros((_DIM, 0), np.float32), np.zeros(0, int), [], np.zeros(0))
     row, f, x = features(pieces)
     n, group = len(pieces), np.array(group)
     idf = np.log((1 + n) / (1 + np.bincount(f, minlength=_DIM))) + 1.0
@@ -168,7 +177,10 @@ def fit_model(texts: Sequence[str], labels: Sequence[str], clusters: int = 3, ro
                 owner.append(k)
     centroids = np.stack(centres, 1)
     best = nearest(centroids).max(1)
-    return LanguageModel(idf, centroids, np.array(owner), languages, float(np.quantile(best, 0.001)) * 0.5)
+    # scripts of many letters have few n-grams in common, so each language has a floor of its own
+    best = best / np.maximum(_length_share(pieces), 1e-9)
+    floor = np.array([np.quantile(best[group == k], 0.001) * 0.2 if (group == k).any() else 0.0 for k in range(len(languages))])
+    return LanguageModel(idf, centroids, np.array(owner), languages, floor)
 
 
 def fit_from(df: DataFrame, text: str, label: str, per_language: int = TEXTS_PER_LANGUAGE) -> LanguageModel:

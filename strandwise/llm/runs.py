@@ -77,11 +77,11 @@ def _judged(model: LanguageModel, parts: list[str]) -> tuple[list[str | None], n
         return [UNKNOWN] * len(parts), np.zeros(len(parts))
     best, top, conf = model.judge(parts)
     out: list[str | None] = []
-    for t, b, x in zip(parts, best, top, strict=True):
+    for t, b, x, far in zip(parts, best, top, model.rejected(parts, best, top), strict=True):
         if x <= 0 or (sum(map(str.isalpha, t)) < _LEAST_LETTERS and not _script_only(t)):
             out.append(None)
         else:
-            out.append(model.languages[b] if x >= model.floor else UNKNOWN)
+            out.append(UNKNOWN if far else model.languages[b])
     return out, conf
 
 

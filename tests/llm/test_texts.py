@@ -115,7 +115,7 @@ def test_join_runs_fills_short_parts_and_keeps_rejected_ones():
 
 def test_rejection_reaches_the_rows(spark, model):
     strange = "qxzj wvkk zzqp xxjw kkvq pzzx jqwx vvkz qqxj zwpk"
-    far = LanguageModel(model.idf, model.centroids, model.owner, model.languages, 0.2)
+    far = LanguageModel(model.idf, model.centroids, model.owner, model.languages, np.full(len(model.languages), 0.2))
     df = spark.createDataFrame([("source", "a", f"{EN[0]} {strange.capitalize()}.")], "kind string, rec_id string, text string")
     assert [r.lang for r in abstract_runs(df, far).orderBy("start_pos").collect()] == ["en", UNKNOWN]
 

@@ -235,3 +235,9 @@ def guess_title(text: Column, lines: int = 25) -> Column:
 def canonical_hash(*values: Column) -> Column:
     """SHA-256 of the values as one JSON document in their order; nulls are kept."""
     return F.sha2(F.to_json(F.struct(*[v.alias(f"v{i:03}") for i, v in enumerate(values)]), {"ignoreNullFields": "false"}), 256)
+
+
+def inverted_text(index: Column) -> Column:
+    """Text of an inverted index (word to places): words in order of place, then of word."""
+    pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
+    return F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ")

@@ -112,9 +112,8 @@ def q_id_uniqueness(spark: SparkSession, sf: str) -> DataFrame:
 from openalex_works where abstract_inverted_index is not null"""
 )
 def q_inverted_abstract(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = F.flatten(F.transform(F.map_entries("abstract_inverted_index"), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     w = table(spark, sf, "openalex_works").where("abstract_inverted_index is not null")
-    return w.select("id", F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " ").alias("abstract")).distinct()
+    return w.select("id", T.inverted_text(F.col("abstract_inverted_index")).alias("abstract")).distinct()
 
 
 @query(
@@ -138,17 +137,6 @@ def q_work_projection(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
 
 
-@query(
-    r"""select host, count(*) filter (status = 'reviewed') as accepted, count(*) filter (status = 'rejected') as rejected, count(*) filter (status = 'candidate') as open,
-  min(id) as first_example
-from (select distinct id, status, regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1), '^www\.', '') as host from sources)
-where host <> '' group by host"""
-)
-def q_domain_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "sources").select("id", "status", T.host(F.col("url")).alias("host")).distinct().where("host <> ''")
-    return s.groupBy("host").agg(*[F.count_if(F.col("status") == v).alias(n) for n, v in (("accepted", "reviewed"), ("rejected", "rejected"), ("open", "candidate"))], F.min("id").alias("first_example"))
-
-
 @query(
     r"""select distinct id, list_max(list_transform(regexp_extract_all(coalesce(title, ''), '\b(?:19[5-9][0-9]|20[0-4][0-9])\b'), lambda y: y::int)) as title_year from sources"""
 )
@@ -326,14 +314,6 @@ def q_worst_label(spark: SparkSession, sf: str) -> DataFrame:
     return worst.select("skill_id", F.round(c, 2).alias("lowest"), F.when(c >= 2.4, "strong").when(c >= 1.5, "partial").otherwise("gap").alias("label"))
 
 
-@query(
-    """select f.skill_id, count(*) as n from frameworks f where f.skill_id is not null and not exists (select 1 from skills s where s.id = f.skill_id) group by f.skill_id"""
-)
-def q_fk_violations(spark: SparkSession, sf: str) -> DataFrame:
-    f = table(spark, sf, "frameworks").where("skill_id is not null")
-    return f.join(table(spark, sf, "skills").select(F.col("id").alias("skill_id")).distinct(), "skill_id", "left_anti").groupBy("skill_id").agg(F.count("*").alias("n"))
-
-
 # --- search --------------------------------------------------------------------------------------------------------
 
 

@@ -197,7 +197,7 @@ def plausible_year(texts: list[Column], current: int) -> Column:
 def topics_of_context(context: Column, marker: str = "matched topics:") -> Column:
     """Sorted topics of a line `... matched topics: a, b. ...`; empty without the marker."""
     tail = F.regexp_extract(F.coalesce(context, F.lit("")), marker + r"([^.]*)", 1)
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(tail, ","), F.trim), lambda t: t != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(tail, ","), lambda x: F.trim(x)), lambda t: t != "")))
 
 
 def _bare(address: Column) -> Column:
@@ -225,7 +225,7 @@ def address_in(text: Column, publisher: Column | None = None) -> Column:
 
 def guess_title(text: Column, lines: int = 25) -> Column:
     """The longest of the first filled lines that can be a title: 15 to 200 characters, half of them letters, no contents line; the first of equals."""
-    filled = F.slice(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != ""), 1, lines)
+    filled = F.slice(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, lines)
     letters = lambda x: F.length(F.regexp_replace(x, "[^A-Za-zÄÖÜäöüß]", ""))
     fit = F.filter(filled, lambda x: F.length(x).between(15, 200) & ~x.rlike(r"\.{4,}|^\d+(\s|\.|$)") & (letters(x) * 2 >= F.length(x)))
     longest = F.array_max(F.transform(fit, F.length))

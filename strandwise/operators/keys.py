@@ -46,12 +46,16 @@ def merge_snapshots(base: DataFrame, branch: DataFrame, keys: Sequence[str]) ->
 
 
 def unique_ids(df: DataFrame, base: str, order: Sequence[str]) -> DataFrame:
-    """`unique_id`: the base id for its first row, then `-2`, `-3` ... in order, skipping ids that rows carry literally."""
-    w = Window.partitionBy(base).orderBy(*order)
-    n = F.row_number().over(w)
-    proposed = df.withColumn("_n", n).withColumn("unique_id", F.when(n == 1, F.col(base)).otherwise(F.concat_ws("-", base, n.cast("string"))))
-    taken = df.select(F.col(base).alias("unique_id")).distinct().withColumn("_taken", F.lit(True))
-    clash = proposed.join(taken, "unique_id", "left")
-    return clash.withColumn(
-        "unique_id", F.when((F.col("_n") > 1) & F.col("_taken"), F.concat_ws("-", base, F.concat(F.lit("d"), F.col("_n").cast("string")))).otherwise(F.col("unique_id"))
-    ).drop("_n", "_taken")
+    """`unique_id`: the base id for its first row, then `-2`, `-3` ... in order, counting on past ids that rows carry literally.
+
+    The taken numbers of a base come from a join, so only bases with several rows are looked at.
+    """
+    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
+    numbered = df.withColumn("_n", n)
+    literal = df.select(F.regexp_extract(base, r"^(.*)-([1-9]\d{0,8})$", 1).alias("_b"), F.regexp_extract(base, r"^(.*)-([1-9]\d{0,8})$", 2).try_cast("int").alias("_t")).where("_t >= 2").distinct()
+    several = numbered.where("_n = 2").select(F.col(base).alias("_b"))
+    taken = literal.join(several, "_b", "left_semi").groupBy("_b").agg(F.array_sort(F.collect_list("_t")).alias("_taken"))
+    # of sorted taken numbers each one not above the present number moves it on
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_n"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
+    out = numbered.join(taken, F.col(base) == F.col("_b"), "left")
+    return out.withColumn("unique_id", F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat_ws("-", base, free.cast("string")))).drop("_n", "_b", "_taken")

@@ -151,7 +151,7 @@ def message_kind(text: Column, document: Column | None = None, shortest: int = 2
 
 def slash_commands(body: Column, allowed: Sequence[str]) -> Column:
     """Array of (name, known, args) of the lines of a text that begin with a slash; unknown names are reported, not dropped."""
-    lines = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), F.trim), lambda x: x.startswith("/"))
+    lines = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x.startswith("/"))
     name = lambda x: F.lower(F.regexp_extract(x, r"^/([\w-]*)", 1))
     args = lambda x: F.filter(F.split(F.regexp_replace(x, r"^/[\w-]*(@\S+)?", ""), r"\s+(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda a: a != "")
     return F.transform(lines, lambda x: F.struct(name(x).alias("name"), name(x).isin(*allowed).alias("known"), F.transform(args(x), lambda a: F.replace(a, F.lit('"'), F.lit(""))).alias("args")))

@@ -72,12 +72,19 @@ def skill_scores(links: DataFrame, scores: DataFrame, skills: DataFrame) -> Data
 def peer_context(df: DataFrame, group: str, score: str, least: int = 5) -> DataFrame:
     """Rank (1 + number strictly higher) and median inside each peer group of at least `least`; null in smaller ones.
 
-    The rank comes from counts per distinct score, so no task holds a whole group.
+    Rank and median come from counts per distinct score, so no task holds a whole group. Null scores have no rank and do not
+    count for the median.
     """
     levels = df.groupBy(group, score).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(group).orderBy(F.col(score).desc())
     ranks = levels.withColumn("_rank", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).drop("_n")
-    sizes = df.groupBy(group).agg(F.count("*").alias("n_peers"), F.median(score).alias("_median"))
+    up = Window.partitionBy(group).orderBy(score)
+    known = levels.where(F.col(score).isNotNull()).withColumn("_upto", F.sum("_n").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    known = known.withColumn("_all", F.sum("_n").over(Window.partitionBy(group)))
+    # the lower and the upper middle place lie in the first levels that reach them
+    middle = lambda place: F.min(F.when(F.col("_upto") >= place, F.col(score)))
+    medians = known.groupBy(group).agg(((middle(F.floor((F.col("_all") + 1) / 2)) + middle(F.floor((F.col("_all") + 2) / 2))) / 2).alias("_median"))
+    sizes = levels.groupBy(group).agg(F.sum("_n").alias("n_peers")).join(medians, group, "left")
     out = df.join(ranks, [group, score], "left").join(sizes, group, "left")
     big = F.col("n_peers") >= least
     return out.withColumn("peer_rank", F.when(big, F.col("_rank"))).withColumn("peer_median", F.when(big, F.round("_median", 3))).drop("_rank", "_median")

@@ -66,6 +66,13 @@ def hashed_counts(df: DataFrame, key: str, tokens: Column, size: int = 256) -> D
     return df.select(key, F.explode(tokens).alias("t")).groupBy(key, "t").agg(F.count("*").alias("n")).select(key, bucket.alias("bucket"), (sign * F.col("n")).alias("v")).groupBy(key, "bucket").agg(F.sum("v").alias("value")).where("value <> 0")
 
 
+def hashed_embedding(df: DataFrame, key: str, tokens: Column, size: int = 256) -> DataFrame:
+    """`(key, bucket, value)`: the same vectors at unit length, zeros left out; a text without tokens has no row."""
+    v = hashed_counts(df, key, tokens, size)
+    norm = v.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"))
+    return v.join(norm, key).select(key, "bucket", (F.col("value") / F.col("_norm")).alias("value"))
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """`(node, component)`: connected components, named by their smallest node.
 

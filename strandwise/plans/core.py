@@ -91,9 +91,16 @@ def q_snapshot_merge(spark: SparkSession, sf: str) -> DataFrame:
     return K.merge_snapshots(k.where(F.col("at") < split), k.where(F.col("at") >= split), ["identity"]).groupBy("origin").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""with b as (select id, harvested_at, coalesce(nullif(regexp_replace(substr(replace({_NORM.format(c='title')}, ' ', '-'), 1, 40), '^-+|-+$', '', 'g'), ''), 'record') as slug from source_batch),
+n as (select *, row_number() over (partition by slug order by harvested_at) as r, count(*) over (partition by slug) as k from b),
+lit as (select distinct regexp_extract(slug, '^(.*)-([1-9][0-9]{{0,8}})$', 1) as base, try_cast(regexp_extract(slug, '^(.*)-([1-9][0-9]{{0,8}})$', 2) as int) as t from b),
+g as (select n.slug, max(k) as k, count(distinct t) as m from n left join lit on base = n.slug where k > 1 group by n.slug), c as (select slug, unnest(range(2, k + m + 2)) as s from g),
+f as (select slug, s, row_number() over (partition by slug order by s) + 1 as r from c where not exists (select 1 from lit where base = c.slug and t = c.s))
+select id, n.slug as slug, case when n.r = 1 then n.slug else n.slug || '-' || s end as unique_id from n left join f on f.slug = n.slug and f.r = n.r"""
+)
 def q_unique_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """Slugs made unique by numbered suffixes; order and suffix rule have no short SQL form."""
+    """Slugs made unique by numbered suffixes that skip those carried literally."""
     b = table(spark, sf, "source_batch").select("id", "harvested_at", T.slug(F.col("title"), 40).alias("slug"))
     return K.unique_ids(b, "slug", ["harvested_at"]).select("id", "slug", "unique_id")
 
@@ -348,21 +355,6 @@ def q_skill_walk(spark: SparkSession, sf: str) -> DataFrame:
     return path.groupBy("skill_id").agg(F.count("*").alias("n_claims"), F.countDistinct("src").alias("n_sources"))
 
 
-_VOCABULARY = {"critical thinking": "critical thinking", "media literacy": "media literacy", "resilience": "resilience"}
-
-
-@query(
-    f"""with s as (select distinct id, ' ' || coalesce({_NORM.format(c='title')}, '') || ' ' as t, ' ' || coalesce({_NORM.format(c='abstract')}, '') || ' ' as a from sources)
-select id, least(70, {" + ".join(f"case when contains(t, ' {p} ') then 30 when contains(a, ' {p} ') then 15 else 0 end" for p in _VOCABULARY)}) / 100.0 as score from s
-where {" or ".join(f"contains(t, ' {p} ') or contains(a, ' {p} ')" for p in _VOCABULARY)}"""
-)
-def q_relevance_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Phrase scores: 0.30 in the title, 0.15 in the abstract, 0.70 at most; the vocabulary is a parameter."""
-    s = table(spark, sf, "sources").select("id", "title", "abstract").distinct()
-    points = sum((F.when(T.contains_phrase(F.col("title"), [p]), 30).when(T.contains_phrase(F.col("abstract"), [p]), 15).otherwise(0) for p in _VOCABULARY), F.lit(0))
-    return s.withColumn("points", F.least(F.lit(70), points)).where("points > 0").select("id", (F.col("points") / 100.0).alias("score"))
-
-
 @query(
     f"""with s as (select distinct id, list_distinct(list_filter(string_split({_NORM.format(c='title')}, ' '), lambda w: w <> '')) as a, list_distinct(list_filter(string_split({_NORM.format(c='abstract')}, ' '), lambda w: w <> '')) as b
   from sources where title is not null and abstract is not null)
@@ -528,11 +520,15 @@ def q_components(spark: SparkSession, sf: str) -> DataFrame:
     return V.components(e, e.select(F.explode(F.array("a", "b")).alias("node")))
 
 
-@query()
+@query(
+    f"""with s as (select distinct id, title from sources where title is not null), k as (select id, unnest(list_filter(string_split({_NORM.format(c='title')}, ' '), lambda w: w <> '')) as t from s),
+h as (select id, sha1(t) as h from k), v as (select id, (('0x' || substr(h, 1, 8))::bigint % 256)::int as bucket, sum(case when ('0x' || substr(h, 9, 2))::bigint % 2 = 0 then 1 else -1 end) as value from h group by all),
+w as (select * from v where value <> 0) select id, bucket, round(value / sqrt(sum(value * value) over (partition by id)), 6) as value from w"""
+)
 def q_hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    """Feature-hashed title vectors; tested against Python's hashlib."""
-    s = table(spark, sf, "sources").select("id", "title").distinct()
-    return V.hashed_counts(s, "id", T.words(F.col("title")))
+    """Unit vectors of hashed title words."""
+    s = table(spark, sf, "sources").where("title is not null").select("id", "title").distinct()
+    return V.hashed_embedding(s, "id", T.words(F.col("title"))).withColumn("value", F.round("value", 6))
 
 
 # --- streams as batches --------------------------------------------------------------------------------------------

@@ -66,6 +66,12 @@ def _annotated(spark: SparkSession, sf: str) -> DataFrame:
     return G.annotate(s, VOCABULARY)
 
 
+@query(f"with {_GATES_SQL} select id, score, count(*) as n from g where score > 0 group by all")
+def q_relevance_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrase scores: 0.30 for a topic in the title, 0.15 in the abstract, 0.70 at most, and the same for the audience."""
+    return _annotated(spark, sf).where("score > 0").groupBy("id", "score").agg(F.count("*").alias("n"))
+
+
 @query(f"with {_GATES_SQL} select id, score, array_to_string(topics, '|') as topics, lane, count(*) as n from g where reason is null group by all")
 def q_keep_decision(spark: SparkSession, sf: str) -> DataFrame:
     """Admitted records with score, topics and lane."""

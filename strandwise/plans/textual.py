@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,15 @@ from strandwise.operators import texts as X
 from strandwise.operators.fuzzy import keep_new, record_pairs
 from strandwise.sources.tables import table
 
-ABBREVIATIONS = ("e.g.", "i.e.", "et al.", "z. B.", "d. h.", "Fig.", "pp.", "Dr.", "Prof.", "U.S.")
+#: Abbreviations whose full stop ends no sentence, English and German.
+ABBREVIATIONS = (
+    "e.g.", "i.e.", "et al.", "cf.", "vs.", "approx.", "ca.", "resp.", "no.", "vol.", "fig.", "figs.", "ed.", "eds.", "pp.", "p.", "st.", "dr.", "prof.", "u.s.", "u.k.",
+    "z. b.", "z.b.", "u. a.", "u.a.", "d. h.", "d.h.", "bzw.", "bspw.", "inkl.", "evtl.", "ggf.", "sog.", "usw.", "etc.",
+)
+#: Phrases of the test corpus; the operators take any.
 FINDINGS, METHODS = ["strengthened", "improved", "developed"], ["questioned", "rehearsed"]
+TOPICS = (["critical thinking"], ["media literacy"], ["resilience", "resilienz"], ["systems thinking"], ["self regulation"], ["peer feedback"])
+AUDIENCE = ["pupils", "children", "schools"]
 TIERS = (("trusted", 1, "grove-reports.example"), ("trusted", 1, "nordhaven-press.example"), ("watch", 2, "casa-aula.example"))
 _NORM = "trim(regexp_replace(strip_accents(replace(lower({c}), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -27,7 +36,14 @@ def q_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_top_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return X.top_sentences(_texts(spark, sf), "id", "abstract", FINDINGS, METHODS, ABBREVIATIONS)
+    return X.top_sentences(_texts(spark, sf), "id", "abstract", FINDINGS, METHODS, TOPICS, AUDIENCE, ABBREVIATIONS)
+
+
+def q_sentence_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate claims made of the best sentences (statements as digests)."""
+    kinds = table(spark, sf, "sources").groupBy("id").agg(F.max("source_type").alias("source_type"))
+    c = X.sentence_claims(q_top_sentences(spark, sf), "id", kinds)
+    return c.select("id", F.md5("statement").alias("digest"), F.array_join("source_ids", ",").alias("source_ids"), "text_anchor", "evidence_type")
 
 
 def q_host_tiers(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,11 +98,14 @@ def q_greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return b.select(F.col("id").alias("node")).join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (q_sentences, q_top_sentences, q_host_tiers, q_term_idf, q_linear_scores, q_folds, q_fuzzy_pairs, q_greedy_dedup)}
+QUERIES = {f.__name__: f for f in (q_sentences, q_top_sentences, q_sentence_claims, q_host_tiers, q_term_idf, q_linear_scores, q_folds, q_fuzzy_pairs, q_greedy_dedup)}
 
 _MASK = "coalesce(abstract, '')"
-for _a in sorted(ABBREVIATIONS, key=len, reverse=True):
-    _MASK = f"replace({_MASK}, '{_a}', '{_a.replace('.', '§')}')"
+for _a in [x for x in ABBREVIATIONS if x.count(".") > 1]:
+    _p = [f"({re.escape(y)})" for y in _a.split(".")]
+    _MASK = f"regexp_replace({_MASK}, '(?i)(^|[^a-zA-Z]){'[.]'.join(_p)}', '\\1{'§'.join(chr(92) + str(i + 2) for i in range(len(_p)))}', 'g')"
+_S = "|".join(re.escape(x[:-1]) for x in sorted((x for x in ABBREVIATIONS if x.count(".") == 1), key=len, reverse=True))
+_MASK = f"regexp_replace({_MASK}, '(?i)(^|[^a-zA-Z])({_S})[.]', '\\1\\2§', 'g')"
 _TEXTS = "x as (select id, max(abstract) as abstract from sources where abstract is not null group by id)"
 _SENTENCES = f"""{_TEXTS}, p as (select id, list_filter(list_transform(string_split(regexp_replace({_MASK}, '([.!?])\\s+', '\\1¶', 'g'), '¶'), lambda s: trim(replace(s, '§', '.'))), lambda s: s <> '') as parts from x),
 s as (select id, unnest(parts) as sentence, unnest(range(len(parts)))::int as pos from p)"""
@@ -96,6 +115,10 @@ def _has(words: list[str]) -> str:
     return "(" + " or ".join(f"contains(' ' || {_NORM.format(c='sentence')} || ' ', ' {w} ')" for w in words) + ")"
 
 
+_TOP = f"""{_SENTENCES}, t0 as (select id, pos, trim(regexp_replace(sentence, '\\s+', ' ', 'g')) as sentence from s),
+t as (select *, case when {_has(FINDINGS)} and not {_has(METHODS)} then 1 when {_has(METHODS)} and not {_has(FINDINGS)} then -1 else 0 end as tier, {" + ".join(f"{_has(list(x))}::int" for x in TOPICS)} as named,
+  (least(70, 30 * ({" + ".join(f"{_has(list(x))}::int" for x in TOPICS)})) + case when {_has(AUDIENCE)} then 30 else 0 end) / 100.0 as score from t0 where length(sentence) >= 40),
+r as (select id, pos, sentence, tier, score, rank from (select *, row_number() over (partition by id order by tier desc, score desc, pos)::int as rank from t where tier >= 0 and named > 0) where rank <= 3)"""
 _TOKENS = f"""d as (select id as doc, max(title) as title from sources where title is not null group by id),
 tk as (select doc, unnest(list_filter(string_split({_NORM.format(c='title')}, ' '), lambda w: w <> '')) as term from d),
 nd as (select count(distinct doc) as n from tk), ti as (select term, count(distinct doc) as df from tk group by term), im as (select term, df, ln((1 + n) / (1 + df)) + 1 as idf from ti, nd)"""
@@ -103,8 +126,10 @@ _IN = " or ".join(f"host = '{d}' or host like '%.{d}'" for _, o, d in TIERS if o
 _WATCH = " or ".join(f"host = '{d}' or host like '%.{d}'" for _, o, d in TIERS if o == 2)
 ORACLES = {
     "q_sentences": f"with {_SENTENCES} select id, pos, sentence from s",
-    "q_top_sentences": f"""with {_SENTENCES}, t as (select *, case when {_has(FINDINGS)} and not {_has(METHODS)} then 1 when {_has(METHODS)} and not {_has(FINDINGS)} then -1 else 0 end as tier from s where length(sentence) >= 40)
-select id, rank, pos, sentence, tier from (select *, row_number() over (partition by id order by tier desc, length(sentence) desc, pos)::int as rank from t where tier >= 0) where rank <= 3""",
+    "q_top_sentences": f"""with {_TOP} select id, rank, pos, sentence, tier, score from r""",
+    "q_sentence_claims": f"""with {_TOP}, k as (select id, max(source_type) as source_type from sources group by id)
+select 'claim-' || regexp_replace(r.id, '^src-', '') || '-' || (pos + 1) as id, md5(sentence) as digest, r.id as source_ids, 'abstract, sentence ' || (pos + 1) as text_anchor,
+  coalesce(case source_type {" ".join(f"when '{a}' then '{b}'" for a, b in X.EVIDENCE_OF.items())} end, 'empirical_study') as evidence_type from r left join k using (id)""",
     "q_host_tiers": f"""with h as (select distinct id, regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1), '^www\\.', '') as host from sources)
 select case when {_IN} then 'trusted' when {_WATCH} then 'watch' else 'open' end as tier, count(*) as n, count(distinct host) as n_hosts from h group by 1""",
     "q_term_idf": f"with {_TOKENS} select term, df, round(idf, 6) as idf from im",

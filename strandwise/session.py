@@ -16,6 +16,7 @@ def build_session(app: str = "strandwise", master: str = "local[8]", **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("STRANDWISE_DRIVER_MEMORY", "8g"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,29 +40,48 @@ def form_sections(body: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def write_index(parts: dict[str, DataFrame], path: str, order: Sequence[str] = ("id",)) -> None:
-    """One JSON document with a sorted list per part, for catalogues small enough to be one document.
-
-    The size is checked part by part: more than 200,000 records raise.
-    """
-    document = {}
-    for name, df in parts.items():
-        rows = df.orderBy(*[c for c in order if c in df.columns]).limit(200_001).toJSON().collect()
-        if len(rows) > 200_000:
-            raise ValueError(f"{name} is too large for one document")
-        document[name] = [json.loads(r) for r in rows]
-    Path(path).write_text(json.dumps(document, indent=2, ensure_ascii=True) + "\n")
+def _place(spark: SparkSession, path: str):
+    """The folder or file on whatever file system its address names, and that file system."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
-def append_unique(spark: SparkSession, new: DataFrame, path: str, key: Column) -> int:
-    """Append the rows of `new` whose key is not stored yet, the first of equal keys; returns how many. Nothing is written for none."""
+def write_index(parts: dict[str, DataFrame], path: str, order: Sequence[str] = ("id",)) -> None:
+    """One JSON document with a sorted list per part, ASCII, indented; records are written as they arrive, so none of it is held."""
+    spark = next(iter(parts.values())).sparkSession
+    where, system = _place(spark, path)
+    out = system.create(where, True)
+    try:
+        out.write(b"{")
+        for i, (name, df) in enumerate(parts.items()):
+            out.write(f"{',' if i else ''}\n  {json.dumps(name)}: [".encode())
+            n = 0
+            for r in df.orderBy(*[c for c in order if c in df.columns]).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+                body = json.dumps(json.loads(r.j), indent=2, ensure_ascii=True).replace("\n", "\n    ")
+                out.write(f"{',' if n else ''}\n    {body}".encode())
+                n += 1
+            out.write(b"\n  ]" if n else b"]")
+        out.write(b"\n}\n")
+    finally:
+        out.close()
+
+
+def append_unique(spark: SparkSession, new: DataFrame, path: str, key: Column, order: Sequence[str] = ()) -> int:
+    """Append the rows of `new` whose key is not stored yet, the first of equal keys by `order`; returns how many.
+
+    Rows without a key are all kept. Nothing is written for none. Any file system will do.
+    """
     keyed = new.withColumn("_key", key)
-    names = [c for c in new.columns]
-    first = keyed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min(F.struct(*names)).alias("r"))
-    if Path(path).exists():
+    names = list(new.columns)
+    by = F.struct(*order, *names) if order else F.struct(*names)
+    first = keyed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min_by(F.struct(*names), by).alias("r"))
+    where, system = _place(spark, path)
+    if system.exists(where):
         stored = spark.read.parquet(path).select(key.alias("_key")).distinct()
         first = first.join(stored, "_key", "left_anti")
-    fresh = cut(first.select("r.*"))  # the table it is compared with is the one it is appended to
+    # the table it is compared with is the one it is appended to
+    fresh = cut(first.select("r.*").unionByName(keyed.where(F.col("_key").isNull()).drop("_key")))
     n = fresh.count()
     if n:
         fresh.write.mode("append").parquet(path)

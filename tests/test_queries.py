@@ -12,5 +12,7 @@ def test_query_equals_sql(spark, duck, sf, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(Q) - set(O)))
-def test_query_runs(spark, sf, name):
-    assert Q[name](spark, sf).count() >= 0
+def test_query_without_sql_has_rows(spark, sf, name):
+    """Those are held against brute force elsewhere; here they must give something and no row twice."""
+    rows = Q[name](spark, sf).collect()
+    assert rows and len({repr(r) for r in rows}) == len(rows)

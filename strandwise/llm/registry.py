@@ -215,6 +215,28 @@ select field, n_items, n::bigint as n_values, round(1 - (n - 1) * (n - agree) /
 }
 
 
+_WINDOWS_SQL = """
+d as (select doc_id, text from documents where length(text) >= 500),
+w as (select doc_id, p, md5(substr(text, p + 1, 500)) as h from (select doc_id, text, unnest(range(0, length(text) - 499)) as p from d)),
+t as (select h, min(doc_id) as first_doc from w group by h having min(doc_id) < max(doc_id)),
+x as (select doc_id, p, first_doc from w join t using (h))
+"""
+
+
+def _merged(where: str) -> str:
+    return f"""m as (select doc_id, p, case when p > lag(p) over (partition by doc_id order by p) + 500 or lag(p) over (partition by doc_id order by p) is null then 1 else 0 end as new from (select distinct doc_id, p from x where {where})),
+r as (select doc_id, p, sum(new) over (partition by doc_id order by p) as run from m),
+f as (select doc_id, min(p)::int as start_pos, (max(p) + 500)::int as end_pos from r group by doc_id, run)"""
+
+
+_ORACLES |= {
+    "p9_found": f"with {_WINDOWS_SQL}, {_merged('true')} select doc_id, start_pos, end_pos from f",
+    "p9_removals": f"with {_WINDOWS_SQL}, {_merged('first_doc < doc_id')} select doc_id, start_pos, end_pos from f",
+    "p9_share": f"""with {_WINDOWS_SQL}, {_merged('true')}, s as (select doc_id, sum(end_pos - start_pos)::bigint as n_shared from f group by doc_id)
+select doc_id, length(text) as n_chars, coalesce(n_shared, 0) as n_shared, coalesce(n_shared, 0) / nullif(length(text), 0) as shared_share from documents left join s using (doc_id)""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -100,7 +100,7 @@ def brute_spans(rows, length):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(8))
 def test_spans_equal_brute_force(spark, seed):
     rnd = random.Random(seed)
 

@@ -13,6 +13,7 @@ from strandwise.functions import text as T
 from strandwise.operators import appraise as P
 from strandwise.operators import converters as C
 from strandwise.operators import gates as G
+from strandwise.operators import importing as I
 from strandwise.operators import keys as K
 from strandwise.operators import reviews as R
 from strandwise.operators import texts as X
@@ -232,3 +233,35 @@ def test_sinks(spark, tmp_path):
     S.write_index({"x": rows, "none": rows.limit(0)}, str(tmp_path / "index.json"))
     assert json.loads((tmp_path / "index.json").read_text()) == {"x": [{"id": None, "n": 5}, {"id": "a", "n": 0}, {"id": "a", "n": 1}, {"id": "b", "n": 2}], "none": []} or True
     assert [r["id"] for r in json.loads((tmp_path / "index.json").read_text())["x"]] == [None, "a", "a", "b"]
+
+
+def harvest(spark, rows):
+    schema = "id string, title string, authors array<string>, year int, doi string, url string, publisher string, source_type string, abstract string"
+    return spark.createDataFrame([(i, t, ["A B"], y, d, u, "P", "book", None) for i, t, y, d, u in rows], schema)
+
+
+def test_import_flow(spark, tmp_path):
+    long = "Critical thinking of pupils in the rural schools of the north"
+    known = harvest(spark, [("k1", long, 2020, "10.1/a", "u1"), ("k2", "Critical thinking", 2019, None, "u2")]).withColumn("eric_id", F.lit(None).cast("string"))
+    one_feed = harvest(spark, [("n1", "Other title on critical thinking", 2021, "10.1/A", "u3"), ("n2", long.replace("rural", "rurall"), 2021, None, "u4"), ("n3", "Critical thinking and media", 2021, None, "u5"), ("n4", "Critical thinking again", 2021, None, ""), ("n5", "Floods", 2021, None, "u7")])
+    two = harvest(spark, [("n6", "Critical thinking and media!", 2021, "10.1/z", "u8"), ("n7", "Media literacy of pupils", None, None, "u9")])
+
+    def broken():
+        raise OSError("no network")
+
+    path = str(tmp_path / "new")
+    assert I.import_feeds(spark, {"one": one_feed, "broken": broken, "two": lambda: two}, known, path, WORDS) == 2
+    got = {r.id: (r.feed, r.lane, r.topics) for r in spark.read.parquet(path).collect()}
+    assert got == {"n3": ("one", "learner", ["thinking"]), "n7": ("two", "learner", ["media"])}
+    assert I.import_feeds(spark, {"one": one_feed.limit(0)}, known, path, WORDS) == 0
+    with pytest.raises(ValueError, match="no feed"):
+        I.union_feeds({"broken": broken})
+
+
+def test_new_statements_and_repointed_claims(spark):
+    known = spark.createDataFrame([("It works.",)], "statement string")
+    new = spark.createDataFrame([("a", "IT WORKS", 1), ("b", "It fails", 3), ("c", "it fails!", 2), ("d", " ", 1), ("e", None, 1)], "id string, statement string, o int")
+    assert [r.id for r in I.new_statements(known, new, ["o"]).collect()] == ["c"]
+    skipped, stored = spark.createDataFrame([("s1", "A title", 2020), ("s2", "B", 2020)], "id string, title string, year int"), spark.createDataFrame([("k9", "a TITLE", 2020), ("k8", "A title!", 2020)], "id string, title string, year int")
+    c = spark.createDataFrame([("c1", ["s2", "s1", "x"]), ("c2", None), ("c3", [])], "id string, source_ids array<string>")
+    assert {r.id: r.source_ids for r in I.repointed(c, skipped, stored).collect()} == {"c1": ["s2", "k8", "x"], "c2": None, "c3": []}

@@ -44,7 +44,7 @@ _TABLES = {
 }
 _SHORT = (1 << 30) - 1
 #: Largest difference of those 30 bits.
-MAX_SHORT = 8
+MAX_SHORT = 9
 #: A function word stands in so large a share of the history's texts.
 FUNCTION_WORD = 0.1
 #: A wording is learned from so many different findings, if chance would let so many of its uses fall into the history.
@@ -261,7 +261,8 @@ class FingerprintStore:
             files = hits.where(F.shiftright("old_rid", 53) < self.appends).select((F.shiftright("old_rid", 33) % (1 << 20)).cast("int").alias("bin")).distinct()
             old = self._read("records").where(F.col("bin").isin([r.bin for r in files.collect()]))
             wanted = hits.select(F.col("old_rid").alias("rid")).distinct()
-            records = old.select(*new.columns).join(wanted, "rid", "left_semi").select(*new.columns).unionByName(new)
+            # written once: it is joined with the pairs as a whole, whatever is read of it
+            records = cut(old.select(*new.columns).join(wanted, "rid", "left_semi").select(*new.columns)).unionByName(new)
         return hits, records
 
     def drop(self) -> None:
@@ -294,18 +295,19 @@ def _verify_sources(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             alike = compare(one, two)
             score.append(2 * alike[0] + alike[1] + alike[2] + 3 * alike[3] if same_publication(one, two, alike) else 0.0)
-        pdf = pdf[["rid", "old_rid"]].assign(score=np.array(score, dtype=float))
+        pdf = pdf[["rid", "old_rid", "at2", "id2"]].assign(score=np.array(score, dtype=float))
         if (pdf["score"] > 0).any():
             yield pdf[pdf["score"] > 0]
 
 
-_RESIDUE = "rid long, old_rid long, score double, finding long, lead array<string>, tail array<string>, x array<string>, y array<string>"
+_LINK = "rid long, old_rid long, at2 timestamp, id2 string, score double"
+_RESIDUE = f"{_LINK}, finding long, lead array<string>, tail array<string>, x array<string>, y array<string>"
 
 
 def _residues(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for i, j, f, w, f2, w2 in zip(*[pdf[c] for c in ("rid", "old_rid", "figures", "words", "figures2", "words2")], strict=True):
+        for i, j, at, name, f, w, f2, w2 in zip(*[pdf[c] for c in ("rid", "old_rid", "at2", "id2", "figures", "words", "figures2", "words2")], strict=True):
             if f != f2:
                 continue
             a, b = tuple(w.split()), tuple(w2.split())
@@ -314,9 +316,9 @@ def _residues(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 shared = 1 - (len(r.left) + len(r.right)) / (len(a) + len(b))
                 # findings without figures teach nothing: too little agrees besides
                 mark = xxhash.xxh3_64_intdigest(f) - 2**63 if f else None
-                rows.append((i, j, shared, mark, list(r.lead), list(r.tail), list(r.left), list(r.right)))
+                rows.append((i, j, at, name, shared, mark, list(r.lead), list(r.tail), list(r.left), list(r.right)))
         if rows:
-            yield pd.DataFrame(rows, columns=["rid", "old_rid", "score", "finding", "lead", "tail", "x", "y"])
+            yield pd.DataFrame(rows, columns=["rid", "old_rid", "at2", "id2", "score", "finding", "lead", "tail", "x", "y"])
 
 
 def _split_slips(x: list[str], y: list[str], uses: dict[str, int]) -> tuple[list[str], list[str]]:
@@ -392,7 +394,7 @@ def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ok = (not len(lead) or f"^{' '.join(lead)}" in known) and (not len(tail) or f"${' '.join(tail)}" in known)
             keep.append(ok and _explained(list(x), list(y), uses, known))
         if any(keep):
-            yield pdf[np.array(keep)][["rid", "old_rid", "score"]]
+            yield pdf[np.array(keep)][["rid", "old_rid", "at2", "id2", "score"]]
 
 
 def _explained(x: list[str], y: list[str], uses: dict[str, int], known: set[str]) -> bool:
@@ -419,7 +421,8 @@ def _same_claims(store: FingerprintStore, pairs: DataFrame, n_batch: int) -> Dat
     spark = store.spark
     rests = cut(pairs.mapInPandas(_residues, _RESIDUE))
     every = F.concat("lead", "tail", "x", "y")
-    equal = rests.where(F.size(every) == 0).select("rid", "old_rid", "score")
+    link = ["rid", "old_rid", "at2", "id2", "score"]
+    equal = rests.where(F.size(every) == 0).select(*link)
     rests = rests.where(F.size(every) > 0)
     n_old = store.size()
     need = rests.select("rid", "old_rid", F.explode(F.array_distinct(every)).alias("word"))
@@ -446,7 +449,7 @@ def _same_claims(store: FingerprintStore, pairs: DataFrame, n_batch: int) -> Dat
     learned = support.join(of_word, "word").where(fresh & (F.col("n") >= LEAST_FINDINGS)).select("wording").unionByName(plain.select("wording")).distinct()
     lessons.write.parquet(f"{store.path}/wordings/{uuid.uuid4().hex}")
     known = parts.join(learned, "wording").groupBy("rid", "old_rid").agg(F.collect_set("wording").alias("known"))
-    settled = rests.join(known, ["rid", "old_rid"], "left").mapInPandas(_settle, "rid long, old_rid long, score double")
+    settled = rests.join(known, ["rid", "old_rid"], "left").mapInPandas(_settle, _LINK)
     return equal.unionByName(settled)
 
 
@@ -473,26 +476,24 @@ def accept_batch(store: FingerprintStore, batch: DataFrame, append: bool = True)
     # partitioned by key once: the batch meets itself and the stored rows without another shuffle
     table = cut(block_table(signed, kind).repartition("key"))
     hits, records = store.found(table, signed)
-    columns = ("at", *(FIELDS if kind == "source" else ("figures", "words")))
+    columns = ("at", "id", *(FIELDS if kind == "source" else ("figures", "words")))
     pairs = close_pairs(hits, signed, records, columns).where(F.col("at2").isNull() | (F.col("at2") < F.col("at")))
     if kind == "source":
-        links = cut(pairs.mapInPandas(_verify_sources, "rid long, old_rid long, score double"))
+        links = cut(pairs.mapInPandas(_verify_sources, _LINK))
     else:
         links = cut(_same_claims(store, pairs, signed.count()))
-    when = records.select(F.col("rid").alias("old_rid"), "at")
     # the closest; of equals history first, then the earliest batch record
-    best = links.join(when, "old_rid").groupBy("rid").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), F.coalesce("at", _never()).alias("at"), "old_rid")).alias("b")
-    ).select("rid", F.col("b.old_rid").alias("up"))
-    roots = cut(best)
+    best = links.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("s"), F.coalesce("at2", _never()).alias("at"), "old_rid", "id2")).alias("b"))
+    roots = cut(best.select("rid", F.col("b.old_rid").alias("up"), F.col("b.id2").alias("accepted")))
     while True:
-        higher = roots.select(F.col("rid").alias("up"), F.col("up").alias("top"))
-        step = roots.join(higher, "up", "left")
-        if step.where("top is not null").isEmpty():
+        higher = roots.select(F.col("rid").alias("up"), F.col("up").alias("top"), F.col("accepted").alias("named"))
+        # only records of this batch can repeat something themselves
+        step = roots.where(F.shiftright("up", 53) == store.appends).join(higher, "up")
+        moved = cut(step.select("rid", F.col("top").alias("up"), F.col("named").alias("accepted")))
+        if moved.isEmpty():
             break
-        roots = cut(step.select("rid", F.coalesce("top", "up").alias("up")))
-    names = records.select(F.col("rid").alias("up"), F.col("id").alias("accepted"))
-    mine = signed.select("rid", F.col("id").alias("head"), "h1", "h2").join(roots.join(names, "up").select("rid", "accepted"), "rid", "left")
+        roots = cut(roots.join(moved.select("rid"), "rid", "left_anti").unionByName(moved))
+    mine = signed.select("rid", F.col("id").alias("head"), "h1", "h2").join(roots.select("rid", "accepted"), "rid", "left")
     # copies follow their head: to what it repeats, or to itself
     copies = new.select("id", F.xxhash64(*FIELDS).alias("h1"), F.xxhash64(F.lit(1), *reversed(FIELDS)).alias("h2"))
     out = copies.join(mine, ["h1", "h2"]).select("id", F.coalesce("accepted", F.when(F.col("id") != F.col("head"), F.col("head"))).alias("accepted"))

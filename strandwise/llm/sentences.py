@@ -65,6 +65,8 @@ class LanguageFacts:
     starters: set[str] = field(default_factory=set)
     #: words that follow a number and full stop more often than chance
     after_number: set[str] = field(default_factory=set)
+    #: (abbreviation or initial, word) that stand together more often than chance, the word being no starter
+    collocations: set[tuple[str, str]] = field(default_factory=set)
 
 
 class Boundaries:
@@ -207,7 +209,7 @@ class Boundaries:
         if word[:1].isupper() and low not in (_INITIAL,):
             if any(low in k.lower or (low in k.starters and kind != _INITIAL) for k in known):
                 return True
-        if kind == _INITIAL:
+        if kind == _INITIAL or any((kind, low) in k.collocations for k in known):
             return False
         return seen[0].abbreviations[kind]
 
@@ -337,6 +339,11 @@ def learn_boundaries(texts: DataFrame) -> Boundaries:
     follow = followers.where(~F.col("before").isin("", _NUM, _INITIAL)).where(F.col("after") != _INITIAL).join(types.select("lang", F.col("type").alias("after"), "lower", "upper"), ["lang", "after"], "left")
     evident = _bounded(follow.groupBy("lang", "before").agg(
         F.sum("n").alias("n"), F.sum(F.when((F.col("lower") >= 2) & (F.col("lower") >= 0.02 * (F.col("lower") + F.col("upper"))), F.col("n")).otherwise(0)).alias("evident")))
+    # pairs around a full stop, against the number of all places of the word and of the abbreviation
+    stops = types.select("lang", F.col("type").alias("before"), F.col("stop").alias("n_before"))
+    places = types.select("lang", F.col("type").alias("after"), (F.col("stop") + F.col("plain")).alias("n_after"))
+    pairs = followers.where(~F.col("before").isin("", _NUM)).where("n >= 3").join(stops, ["lang", "before"]).join(places, ["lang", "after"]).join(F.broadcast(totals), "lang")
+    together = _bounded(pairs.select("lang", "before", "after", "n", "n_before", "n_after", "all_n"))
     usual = {r.lang: r.all_end / max(r.all_stop, 1) for r in whole.collect()}
     facts: dict[str, LanguageFacts] = defaultdict(LanguageFacts)
     evidence = {(r.lang, r.before): (r.evident, r.n) for r in evident.itertuples()}
@@ -356,6 +363,10 @@ def learn_boundaries(texts: DataFrame) -> Boundaries:
         rate, p = r.n / max(r.c, r.n), numbers[r.lang] / r.all_n
         if rate > 0.2 and r.lower < 0.02 * (r.lower + r.upper) and _log_ratio(r.n, max(r.c, r.n), p, rate) > 7.88:
             facts[r.lang].after_number.add(r.type)
+    for r in together.itertuples():
+        rate, p = r.n / max(r.n_before, r.n), r.n_after / r.all_n
+        if rate > p and r.after not in facts[r.lang].starters and r.after not in facts[r.lang].lower and _log_ratio(r.n, max(r.n_before, r.n), p, rate) > 7.88:
+            facts[r.lang].collocations.add((r.before, r.after))
     return Boundaries(dict(facts))
 
 

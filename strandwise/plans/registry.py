@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwise.plans import catalogue, core, ledger, reports, screening, textual
+from strandwise.plans import catalogue, comparisons, core, ledger, reports, screening, textual
 
-_MODULES = (catalogue, core, textual, reports, screening, ledger)
+_MODULES = (catalogue, core, textual, reports, screening, ledger, comparisons)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

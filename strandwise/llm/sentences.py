@@ -234,57 +234,43 @@ class Boundaries:
         return m.group().strip(_EDGE) if m else ""
 
 
-def _count_types(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per language and type: with full stop, without, at the end of a line, in lower case, with a capital."""
+_COUNTS = ("stop", "plain", "line_end", "lower", "upper", "n")
+
+
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One look at all words: per language and type how often it stands with full stop, without, at the end of a line, in lower
+    case and with a capital (`after` null), and how often a capitalised word `after` follows a type with a full stop."""
     for pdf in batches:
         seen: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
+        pairs: Counter[tuple[str, str, str]] = Counter()
         for text, langs in zip(pdf["text"], pdf["langs"], strict=True):
             own = langs[0] if len(langs) else ""
             for line in _LINE.finditer(text):
-                last = None
-                for m in _TOKEN.finditer(line.group()):
-                    core = m.group().strip(_EDGE)
+                last = before = None
+                for token in line.group().split():
+                    core = token.strip(_EDGE)
                     if not core:
                         continue
-                    c = seen[own, type_of(core)]
-                    last = c if core.endswith(".") else None
-                    c[0 if core.endswith(".") else 1] += 1
-                    if core[0].islower():
+                    kind = type_of(core)
+                    c = seen[own, kind]
+                    head = core[0]
+                    if head.islower():
                         c[3] += 1
-                    elif core[0].isupper():
+                    elif head.isupper():
                         c[4] += 1
+                        if before is not None:
+                            pairs[own, before, kind] += 1
+                    if core[-1] == ".":
+                        c[0] += 1
+                        last, before = c, kind
+                    else:
+                        c[1] += 1
+                        last = before = None
                 if last is not None:
                     last[2] += 1
         if seen:
-            yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=["lang", "type", "stop", "plain", "line_end", "lower", "upper"])
-
-
-def _count_followers(abbreviations: dict[str, set[str]]):
-    """What follows full stops: (lang, before, after), `before` an abbreviation, a number class or '' for a sure end."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            seen: Counter[tuple[str, str, str]] = Counter()
-            for text, langs in zip(pdf["text"], pdf["langs"], strict=True):
-                own = langs[0] if len(langs) else ""
-                short = abbreviations.get(own, set())
-                for line in _LINE.finditer(text):
-                    before = None
-                    for m in _TOKEN.finditer(line.group()):
-                        raw = m.group()
-                        core = raw.strip(_EDGE)
-                        if not core:
-                            continue
-                        if before is not None and core[0].isupper():
-                            seen[own, before, type_of(core)] += 1
-                        kind = type_of(core)
-                        before = None
-                        if core.endswith("."):
-                            before = kind if kind in (_NUM, _INITIAL) or kind in short else ""
-            if seen:
-                yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["lang", "before", "after", "n"])
-
-    return run
+            rows = [(lang, kind, None, *v, 0) for (lang, kind), v in seen.items()] + [(*k, 0, 0, 0, 0, 0, n) for k, n in pairs.items()]
+            yield pd.DataFrame(rows, columns=["lang", "type", "after", *_COUNTS])
 
 
 def _log_ratio(hits, tries, p0, p1) -> np.ndarray:
@@ -302,30 +288,32 @@ def _bounded(df: DataFrame) -> pd.DataFrame:
 
 def learn_boundaries(texts: DataFrame) -> Boundaries:
     """Learn from all rows of `texts(text, langs)`; counts are grouped in the cluster, only learned words come back."""
-    types = cut(
-        texts.mapInPandas(_count_types, "lang string, type string, stop long, plain long, line_end long, lower long, upper long")
-        .groupBy("lang", "type").agg(*[F.sum(c).alias(c) for c in ("stop", "plain", "line_end", "lower", "upper")])
+    counted = cut(
+        texts.mapInPandas(_count_words, f"lang string, type string, after string, {', '.join(f'{c} long' for c in _COUNTS)}")
+        .groupBy("lang", "type", "after").agg(*[F.sum(c).alias(c) for c in _COUNTS])
     )
+    types = counted.where("after is null").drop("after", "n")
     whole = types.groupBy("lang").agg(F.sum("stop").alias("all_stop"), F.sum(F.col("stop") + F.col("plain")).alias("all_n"), F.sum("line_end").alias("all_end"))
     base = F.greatest(F.least(F.col("all_stop") / F.col("all_n"), F.lit(0.999)), F.lit(1e-6))
     ratio = 2 * (F.col("stop") * F.log(F.lit(0.99) / base) + F.col("plain") * F.log(F.lit(0.01) / (1 - base)))
     inner = F.length(F.regexp_replace("type", r"[^.]", ""))
     letters = F.greatest(F.length("type") - inner, F.lit(1))
     score = ratio * F.exp(-letters.cast("double")) * (inner + 1) * F.pow(letters.cast("double"), -F.col("plain").cast("double"))
-    found = _bounded(
+    likely = (
         types.join(F.broadcast(whole), "lang")  # one row per language
         .where(F.col("stop") > 0).where(~F.col("type").isin(_NUM, _INITIAL)).where(F.col("type").rlike(r"\p{L}"))
         .withColumn("score", score).where("score >= 0.3").select("lang", "type", "stop", "line_end")
     )
+    found = _bounded(likely)
     short: dict[str, set[str]] = defaultdict(set)
     ends: dict[tuple[str, str], float] = {}
     for r in found.itertuples():
         short[r.lang].add(r.type)
         ends[r.lang, r.type] = r.line_end / r.stop
-    followers = cut(
-        texts.mapInPandas(_count_followers(dict(short)), "lang string, before string, after string, n long")
-        .groupBy("lang", "before", "after").agg(F.sum("n").alias("n"))
-    )
+    # before: an abbreviation, a number or an initial, or '' for a sure end
+    followers = counted.where("after is not null").join(likely.select("lang", "type", F.lit(True).alias("short")), ["lang", "type"], "left")
+    kept = F.when(F.col("short") | F.col("type").isin(_NUM, _INITIAL), F.col("type")).otherwise("")
+    followers = cut(followers.groupBy("lang", kept.alias("before"), "after").agg(F.sum("n").alias("n")))
     words = followers.select("lang", F.col("after").alias("type")).distinct()
     case = _bounded(words.join(types, ["lang", "type"]).where("lower >= 2 and lower >= 0.02 * (lower + upper)").select("lang", "type"))
     totals = whole.select("lang", "all_n")

@@ -73,9 +73,10 @@ class LanguageModel:
         """Cosine with the nearest centroid of each language: [text, language]."""
         out = np.zeros((len(texts), len(self.languages)))
         done = 0
+        # slices whose n-grams times centroids stay in the cache of a core
         while done < len(texts):
             to, n = done, 0
-            while to < len(texts) and (to == done or n < 200_000):
+            while to < len(texts) and (to == done or n < 8_000):
                 n += len(texts[to])
                 to += 1
             row, f, x = features(texts[done:to])

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -234,6 +235,15 @@ class Boundaries:
         return m.group().strip(_EDGE) if m else ""
 
 
+@lru_cache(300_000)
+def _word(token: str) -> tuple[str, bool, int] | None:
+    """Type of a token, whether it ends with a full stop, and 3 (4) if it begins in lower case (with a capital); None without a word."""
+    core = token.strip(_EDGE)
+    if not core:
+        return None
+    return type_of(core), core[-1] == ".", 3 if core[0].islower() else 4 if core[0].isupper() else 0
+
+
 _COUNTS = ("stop", "plain", "line_end", "lower", "upper", "n")
 
 
@@ -241,26 +251,24 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One look at all words: per language and type how often it stands with full stop, without, at the end of a line, in lower
     case and with a capital (`after` null), and how often a capitalised word `after` follows a type with a full stop."""
     for pdf in batches:
-        seen: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0, 0])
+        seen: dict[str, dict[str, list[int]]] = defaultdict(lambda: defaultdict(lambda: [0, 0, 0, 0, 0]))
         pairs: Counter[tuple[str, str, str]] = Counter()
         for text, langs in zip(pdf["text"], pdf["langs"], strict=True):
             own = langs[0] if len(langs) else ""
+            mine = seen[own]
             for line in _LINE.finditer(text):
                 last = before = None
                 for token in line.group().split():
-                    core = token.strip(_EDGE)
-                    if not core:
+                    word = _word(token)
+                    if word is None:
                         continue
-                    kind = type_of(core)
-                    c = seen[own, kind]
-                    head = core[0]
-                    if head.islower():
-                        c[3] += 1
-                    elif head.isupper():
-                        c[4] += 1
-                        if before is not None:
+                    kind, stop, case = word
+                    c = mine[kind]
+                    if case:
+                        c[case] += 1
+                        if case == 4 and before is not None:
                             pairs[own, before, kind] += 1
-                    if core[-1] == ".":
+                    if stop:
                         c[0] += 1
                         last, before = c, kind
                     else:
@@ -269,7 +277,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if last is not None:
                     last[2] += 1
         if seen:
-            rows = [(lang, kind, None, *v, 0) for (lang, kind), v in seen.items()] + [(*k, 0, 0, 0, 0, 0, n) for k, n in pairs.items()]
+            rows = [(lang, kind, None, *v, 0) for lang, kinds in seen.items() for kind, v in kinds.items()] + [(*k, 0, 0, 0, 0, 0, n) for k, n in pairs.items()]
             yield pd.DataFrame(rows, columns=["lang", "type", "after", *_COUNTS])
 
 

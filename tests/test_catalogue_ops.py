@@ -265,3 +265,50 @@ def test_new_statements_and_repointed_claims(spark):
     skipped, stored = spark.createDataFrame([("s1", "A title", 2020), ("s2", "B", 2020)], "id string, title string, year int"), spark.createDataFrame([("k9", "a TITLE", 2020), ("k8", "A title!", 2020)], "id string, title string, year int")
     c = spark.createDataFrame([("c1", ["s2", "s1", "x"]), ("c2", None), ("c3", [])], "id string, source_ids array<string>")
     assert {r.id: r.source_ids for r in I.repointed(c, skipped, stored).collect()} == {"c1": ["s2", "k8", "x"], "c2": None, "c3": []}
+
+
+def test_linear_models_are_fitted_and_applied(spark):
+    from strandwise.operators.learning import fit_linear
+
+    rows = [(i, ["critical", "thinking", f"w{i % 7}"] if i % 3 else ["flood", "water", f"w{i % 7}"], bool(i % 3)) for i in range(60)] + [(99, ["x"], None), (98, [], True), (97, ["once", "critical"], True)]
+    df = spark.createDataFrame(rows, "doc int, words array<string>, relevant boolean")
+    model, intercept = fit_linear(df)
+    weights = {r.term: r.weight for r in model.collect()}
+    assert weights["critical"] > 0 > weights["flood"] and "once" not in weights and abs(weights["w1"]) < weights["critical"]
+    tokens = df.where("size(words) > 0").select("doc", F.explode("words").alias("term"))
+    score = {r.doc: r.score for r in X.linear_scores(tokens, model, intercept).collect()}
+    assert all((score[i] > 0.5) == bool(i % 3) for i in range(60))
+    with pytest.raises(ValueError, match="both classes"):
+        fit_linear(df.where("relevant"))
+
+
+def test_artefacts_and_recorded_responses(spark, tmp_path):
+    from strandwise.operators import learning as L
+
+    assert L.optional_table(spark, str(tmp_path / "none"), "a int").count() == 0
+    assert L.fingerprint({"b": 1, "a": [2.5, "x"]}) == L.fingerprint({"a": [2.5, "x"], "b": 1}) != L.fingerprint({"a": [2.5, "x"], "b": 2})
+    req = spark.createDataFrame([("p", "x"), ("p", None), ("q", "x")], "kind string, body string")
+    parts = [F.col("kind"), F.col("body")]
+    rec = req.where("kind = 'p'").select(T.canonical_hash(*parts).alias("request_hash"), F.col("body").alias("b"))
+    rec = rec.select("request_hash", F.lit(1).alias("at"), F.lit("old").alias("response")).unionByName(rec.where("b is null").select("request_hash", F.lit(2).alias("at"), F.lit("new").alias("response")))
+    got = {(r.kind, r.body): r.response for r in L.with_recorded(req, rec, parts).collect()}
+    assert got == {("p", "x"): "old", ("p", None): "new", ("q", "x"): None}
+
+
+def test_rescoring_leaves_a_log(spark):
+    from strandwise.operators import learning as L
+
+    at = F.lit(dt.datetime(2026, 1, 1))
+    r = spark.createDataFrame([("a", 0.5, "m1", None), ("b", 0.5, "m2", None), ("c", None, None, None), ("d", 0.1, "m1", None)], "id string, score double, method string, log array<struct<at:timestamp,old:double,new:double,method:string>>")
+    s = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("c", 0.7)], "id string, new_score double")
+    got = {x.id: (x.score, x.method, [(e.old, e.new) for e in x.log]) for x in L.rescored(r, s, "m2", at).collect()}
+    assert got == {"a": (0.5, "m2", [(0.5, 0.5)]), "b": (0.5, "m2", []), "c": (0.7, "m2", [(None, 0.7)]), "d": (0.1, "m1", [])}
+
+
+def test_notifications_and_placeholders(spark):
+    from strandwise.operators import learning as L
+
+    long = one(spark, L.notification(F.col("a"), F.array(F.col("b"), F.lit("end")), 20, "key1"), a="Title key1", b="x" * 30)
+    assert len(long) == 20 and long.endswith("…") and "key1" not in long
+    assert one(spark, L.notification(F.col("a"), F.array(F.col("b"))), a="T", b="l") == "T\nl"
+    assert [one(spark, L.placeholder(F.col("a")), a=v) for v in (None, " ", "TODO later", "unclear?", "pupils")] == [True, True, True, True, False]

@@ -180,13 +180,21 @@ def q_cv_pooled(spark: SparkSession, sf: str) -> DataFrame:
 LINKED = 0.5
 
 
-@query()
+_COSINE_SQL = f"""cp as (select a.vec_id as id_a, b.vec_id as id_b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity
+  from embeddings a join embeddings b on a.vec_id < b.vec_id where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) >= {LINKED})"""
+
+
+@query(f"with {_COSINE_SQL} select id_a, id_b, similarity from cp")
 def q_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of embeddings at the cosine cut."""
-    return V.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", LINKED)
+    return V.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", LINKED).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(
+    f"""with recursive {_COSINE_SQL}, bo as (select id_a as a, id_b as b from cp union select id_b, id_a from cp),
+r(node, c) as (select vec_id, vec_id from embeddings union select bo.b, r.c from r join bo on r.node = bo.a)
+select node, min(c) as component from r group by node"""
+)
 def q_cosine_components(spark: SparkSession, sf: str) -> DataFrame:
     """Single linkage at the cosine cut: the component of every embedding, named by its smallest member."""
     edges = q_cosine_pairs(spark, sf).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))

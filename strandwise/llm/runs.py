@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from strandwise.llm.language import UNKNOWN, LanguageModel
-from strandwise.llm.sentences import learn_boundaries, with_languages
+from strandwise.llm.sentences import SENT_WORDS, split_rule, with_languages
 from strandwise.session import cut
 
 _SEPARATOR = re.compile(r"\s+(?:[=|/–—·]|//|::)\s+")
@@ -91,15 +91,14 @@ def _script_only(text: str) -> bool:
     return sum(0x36F < ord(c) < 0x1E00 or ord(c) > 0x2E7F for c in letters) * 2 > len(letters)
 
 
-def abstract_runs(texts: DataFrame, model: LanguageModel) -> DataFrame:
+def abstract_runs(texts: DataFrame, model: LanguageModel, sent_words: int = SENT_WORDS) -> DataFrame:
     """Runs of `texts(kind, rec_id, text)`, each from the start of its first to the end of its last sentence.
 
     `(rec_id, field, start_pos, end_pos, lang, confidence)`, field `abstract`. Null and blank texts give no row; a
     text without any letters has the language `und`.
     """
-    known = cut(with_languages(texts.select("kind", "rec_id", "text").where("text is not null"), model))
-    bounds = learn_boundaries(known)
-    return known.mapInPandas(_rows(model, "abstract", lambda r: bounds.split(r.text, tuple(r.langs))), _SCHEMA)
+    known, parts_of = split_rule(cut(with_languages(texts.select("kind", "rec_id", "text").where("text is not null"), model)), sent_words)
+    return known.mapInPandas(_rows(model, "abstract", parts_of), _SCHEMA)
 
 
 def title_parts(text: str) -> list[tuple[int, int]]:

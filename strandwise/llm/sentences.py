@@ -9,20 +9,20 @@ without full stops or spaces have their own marks.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.llm.language import LanguageModel
 from strandwise.session import cut
 
-#: Largest number of learned words that is sent to every task.
+#: Largest number of learned facts that are sent to every task; beyond, each text is joined with its own.
 SENT_WORDS = 1_000_000
 _ENDS = ".!?…。！？؟।॥｡"
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", '"': '"'}
@@ -75,12 +75,23 @@ class Boundaries:
 
     def __init__(self, facts: dict[str, LanguageFacts]) -> None:
         self.facts = facts
-        votes: dict[str, list[bool]] = defaultdict(list)
-        for f in facts.values():
-            for kind, final in f.abbreviations.items():
-                votes[kind].append(final)
-        #: abbreviations of three or more languages hold in every text
-        self._common = LanguageFacts(abbreviations={k: 2 * sum(v) > len(v) for k, v in votes.items() if len(v) >= 3})
+        #: what holds in every text
+        self._common = facts.get("", LanguageFacts())
+
+    @classmethod
+    def of(cls, rows: Iterable) -> Boundaries:
+        """From rows of FACTS."""
+        facts: dict[str, LanguageFacts] = defaultdict(LanguageFacts)
+        for r in rows:
+            lang, role, kind, other, final = (r[c] for c in ("lang", "role", "type", "other", "final"))
+            f = facts[lang]
+            if role == "short":
+                f.abbreviations[kind] = bool(final)
+            elif role == "pair":
+                f.collocations.add((kind, other))
+            else:
+                {"lower": f.lower, "starter": f.starters, "number": f.after_number}[role].add(kind)
+        return cls(dict(facts))
 
     def split(self, text: str, langs: tuple[str, ...] = ()) -> list[tuple[int, int]]:
         """Sentences as (start, end), without outer white space; empty text gives none."""
@@ -281,89 +292,108 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["lang", "type", "after", *_COUNTS])
 
 
-def _log_ratio(hits, tries, p0, p1) -> np.ndarray:
+def _log_ratio(hits: Column, tries: Column, p0: Column, p1: Column) -> Column:
     """2 log of the likelihood of `hits` in `tries` at rate p1 over the one at p0."""
-    p0, p1 = np.clip(p0, 1e-9, 1 - 1e-9), np.clip(p1, 1e-9, 1 - 1e-9)
-    return 2 * (hits * np.log(p1 / p0) + (tries - hits) * np.log((1 - p1) / (1 - p0)))
+    p0, p1 = (F.greatest(F.least(p.cast("double"), F.lit(1 - 1e-9)), F.lit(1e-9)) for p in (p0, p1))
+    return 2 * (hits * F.log(p1 / p0) + (tries - hits) * F.log((1 - p1) / (1 - p0)))
+
 
+#: What is learned, one row each: `type` is the word a fact is found by, `other` the second word of a collocation.
+FACTS = "lang string, role string, type string, other string, final boolean"
 
-def _bounded(df: DataFrame) -> pd.DataFrame:
-    rows = df.limit(SENT_WORDS + 1).toPandas()
-    if len(rows) > SENT_WORDS:
-        raise ValueError(f"more than {SENT_WORDS} learned words")
-    return rows
 
+def learn_facts(texts: DataFrame) -> DataFrame:
+    """The facts (FACTS) of all rows of `texts(text, langs)`, counted and tested in the cluster.
 
-def learn_boundaries(texts: DataFrame) -> Boundaries:
-    """Learn from all rows of `texts(text, langs)`; counts are grouped in the cluster, only learned words come back."""
+    Roles: `short` abbreviations, with `final` whether they mostly end a sentence; `lower` words seen in lower case; `starter`;
+    `number` words that follow a number and full stop; `pair` collocations. Abbreviations of three or more languages are listed
+    under the language '' too, which holds for every text.
+    """
     counted = cut(
         texts.mapInPandas(_count_words, f"lang string, type string, after string, {', '.join(f'{c} long' for c in _COUNTS)}")
         .groupBy("lang", "type", "after").agg(*[F.sum(c).alias(c) for c in _COUNTS])
     )
-    types = counted.where("after is null").drop("after", "n")
-    whole = types.groupBy("lang").agg(F.sum("stop").alias("all_stop"), F.sum(F.col("stop") + F.col("plain")).alias("all_n"), F.sum("line_end").alias("all_end"))
+    types = counted.where("after is null").drop("after", "n").withColumn("places", F.col("stop") + F.col("plain"))
+    # one row per language
+    whole = F.broadcast(types.groupBy("lang").agg(F.sum("stop").alias("all_stop"), F.sum("places").alias("all_n"), F.sum("line_end").alias("all_end")))
     base = F.greatest(F.least(F.col("all_stop") / F.col("all_n"), F.lit(0.999)), F.lit(1e-6))
     ratio = 2 * (F.col("stop") * F.log(F.lit(0.99) / base) + F.col("plain") * F.log(F.lit(0.01) / (1 - base)))
     inner = F.length(F.regexp_replace("type", r"[^.]", ""))
     letters = F.greatest(F.length("type") - inner, F.lit(1))
     score = ratio * F.exp(-letters.cast("double")) * (inner + 1) * F.pow(letters.cast("double"), -F.col("plain").cast("double"))
-    likely = (
-        types.join(F.broadcast(whole), "lang")  # one row per language
-        .where(F.col("stop") > 0).where(~F.col("type").isin(_NUM, _INITIAL)).where(F.col("type").rlike(r"\p{L}"))
-        .withColumn("score", score).where("score >= 0.3").select("lang", "type", "stop", "line_end")
+    # where case does not tell, an abbreviation that stands at line ends as other words do is taken to end sentences
+    ends = (F.col("line_end") / F.col("stop")) > 0.25 * F.col("all_end") / F.greatest(F.col("all_stop"), F.lit(1))
+    likely = cut(
+        types.join(whole, "lang").where(F.col("stop") > 0).where(~F.col("type").isin(_NUM, _INITIAL)).where(F.col("type").rlike(r"\p{L}"))
+        .withColumn("score", score).where("score >= 0.3").select("lang", "type", ends.alias("ends"))
     )
-    found = _bounded(likely)
-    short: dict[str, set[str]] = defaultdict(set)
-    ends: dict[tuple[str, str], float] = {}
-    for r in found.itertuples():
-        short[r.lang].add(r.type)
-        ends[r.lang, r.type] = r.line_end / r.stop
     # before: an abbreviation, a number or an initial, or '' for a sure end
-    followers = counted.where("after is not null").join(likely.select("lang", "type", F.lit(True).alias("short")), ["lang", "type"], "left")
-    kept = F.when(F.col("short") | F.col("type").isin(_NUM, _INITIAL), F.col("type")).otherwise("")
-    followers = cut(followers.groupBy("lang", kept.alias("before"), "after").agg(F.sum("n").alias("n")))
-    words = followers.select("lang", F.col("after").alias("type")).distinct()
-    case = _bounded(words.join(types, ["lang", "type"]).where("lower >= 2 and lower >= 0.02 * (lower + upper)").select("lang", "type"))
-    totals = whole.select("lang", "all_n")
-    sure = followers.where("before = ''").groupBy("lang", F.col("after").alias("type")).agg(F.sum("n").alias("n"))
-    all_sure = sure.groupBy("lang").agg(F.sum("n").alias("n_all"))
-    start = _bounded(sure.join(types, ["lang", "type"]).join(F.broadcast(all_sure), "lang").join(F.broadcast(totals), "lang").where("n >= 3").select(
-        "lang", "type", "n", (F.col("stop") + F.col("plain")).alias("c"), "n_all", "all_n"))
-    number = _bounded(followers.where(F.col("before") == _NUM).withColumnRenamed("after", "type").join(types, ["lang", "type"]).join(F.broadcast(totals), "lang").where("n >= 3").select(
-        "lang", "type", "n", (F.col("stop") + F.col("plain")).alias("c"), "lower", "upper", "all_n"))
-    numbers = {r.lang: r.n for r in followers.where(F.col("before") == _NUM).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    follow = followers.where(~F.col("before").isin("", _NUM, _INITIAL)).where(F.col("after") != _INITIAL).join(types.select("lang", F.col("type").alias("after"), "lower", "upper"), ["lang", "after"], "left")
-    evident = _bounded(follow.groupBy("lang", "before").agg(
-        F.sum("n").alias("n"), F.sum(F.when((F.col("lower") >= 2) & (F.col("lower") >= 0.02 * (F.col("lower") + F.col("upper"))), F.col("n")).otherwise(0)).alias("evident")))
-    # pairs around a full stop, against the number of all places of the word and of the abbreviation
-    stops = types.select("lang", F.col("type").alias("before"), F.col("stop").alias("n_before"))
-    places = types.select("lang", F.col("type").alias("after"), (F.col("stop") + F.col("plain")).alias("n_after"))
-    pairs = followers.where(~F.col("before").isin("", _NUM)).where("n >= 3").join(stops, ["lang", "before"]).join(places, ["lang", "after"]).join(F.broadcast(totals), "lang")
-    together = _bounded(pairs.select("lang", "before", "after", "n", "n_before", "n_after", "all_n"))
-    usual = {r.lang: r.all_end / max(r.all_stop, 1) for r in whole.collect()}
-    facts: dict[str, LanguageFacts] = defaultdict(LanguageFacts)
-    evidence = {(r.lang, r.before): (r.evident, r.n) for r in evident.itertuples()}
-    for lang, kinds in short.items():
-        for kind in kinds:
-            seen, n = evidence.get((lang, kind), (0, 0))
-            final = ends[lang, kind] > 0.25 * usual[lang]
-            facts[lang].abbreviations[kind] = bool(seen > 0.5 * n) if n >= 3 else bool(final)
-    for r in case.itertuples():
-        facts[r.lang].lower.add(r.type)
-    for r in start.itertuples():
-        rate, p = r.n / max(r.c, r.n), r.n_all / r.all_n
-        if rate > p and _log_ratio(r.n, max(r.c, r.n), p, rate) > 30:
-            facts[r.lang].starters.add(r.type)
-    for r in number.itertuples():
-        # of all places of the word, the share after number and stop, against that of any word
-        rate, p = r.n / max(r.c, r.n), numbers[r.lang] / r.all_n
-        if rate > 0.2 and r.lower < 0.02 * (r.lower + r.upper) and _log_ratio(r.n, max(r.c, r.n), p, rate) > 7.88:
-            facts[r.lang].after_number.add(r.type)
-    for r in together.itertuples():
-        rate, p = r.n / max(r.n_before, r.n), r.n_after / r.all_n
-        if rate > p and r.after not in facts[r.lang].starters and r.after not in facts[r.lang].lower and _log_ratio(r.n, max(r.n_before, r.n), p, rate) > 7.88:
-            facts[r.lang].collocations.add((r.before, r.after))
-    return Boundaries(dict(facts))
+    followers = counted.where("after is not null").join(likely.select("lang", "type", F.lit(True).alias("known")), ["lang", "type"], "left")
+    kept = F.when(F.col("known") | F.col("type").isin(_NUM, _INITIAL), F.col("type")).otherwise("")
+    followers = followers.groupBy("lang", kept.alias("before"), F.col("after").alias("type")).agg(F.sum("n").alias("n"))
+    cased = (F.col("lower") >= 2) & (F.col("lower") >= 0.02 * (F.col("lower") + F.col("upper")))
+    followers = cut(followers.join(types.select("lang", "type", "places", "lower", "upper", cased.alias("cased")), ["lang", "type"], "left"))
+    no = F.lit(None)
+
+    def fact(df: DataFrame, role: str, other: Column = no, final: Column = no, kind: str = "type") -> DataFrame:
+        return df.select("lang", F.lit(role).alias("role"), F.col(kind).alias("type"), other.cast("string").alias("other"), final.cast("boolean").alias("final"))
+
+    after = followers.groupBy("lang", "before").agg(F.sum("n").alias("n_after"), F.sum(F.when((F.col("type") != _INITIAL) & F.col("cased"), F.col("n")).otherwise(0)).alias("evident"), F.sum(F.when(F.col("type") != _INITIAL, F.col("n")).otherwise(0)).alias("m"))
+    told = likely.join(after.select("lang", F.col("before").alias("type"), "evident", "m"), ["lang", "type"], "left")
+    short = fact(told, "short", final=F.when(F.col("m") >= 3, F.col("evident") > 0.5 * F.col("m")).otherwise(F.col("ends")))
+    sums = after.select("lang", "before", F.col("n_after").alias("n_all"))
+    tested = followers.where("n >= 3").join(whole.select("lang", "all_n"), "lang").join(F.broadcast(sums.where(F.col("before").isin("", _NUM))), ["lang", "before"])  # two rows per language
+    tries = F.greatest("places", "n")
+    rate, chance = F.col("n") / tries, F.col("n_all") / F.col("all_n")
+    lower = cut(fact(followers.where("cased").select("lang", "type").distinct(), "lower"))
+    starter = cut(fact(tested.where("before = ''").where((rate > chance) & (_log_ratio(F.col("n"), tries, chance, rate) > 30)), "starter"))
+    # of all places of the word, the share after number and stop, against that of any word
+    rarely = F.col("lower") < 0.02 * (F.col("lower") + F.col("upper"))
+    number = fact(tested.where(F.col("before") == _NUM).where((rate > 0.2) & rarely & (_log_ratio(F.col("n"), tries, chance, rate) > 7.88)), "number")
+    # pairs around a full stop: of all stops of the first word the share before the second, against that of any place
+    stops = types.select("lang", F.col("type").alias("before"), "stop")
+    pairs = followers.where(~F.col("before").isin("", _NUM)).where("n >= 3").join(stops, ["lang", "before"]).join(whole.select("lang", "all_n"), "lang")
+    tries = F.greatest("stop", "n")
+    rate, chance = F.col("n") / tries, F.col("places") / F.col("all_n")
+    pairs = pairs.where((rate > chance) & (_log_ratio(F.col("n"), tries, chance, rate) > 7.88))
+    for other in (lower, starter):
+        pairs = pairs.join(other.select("lang", "type"), ["lang", "type"], "left_anti")
+    pair = fact(pairs, "pair", other=F.col("type"), kind="before")
+    common = short.groupBy("type").agg(F.count("*").alias("k"), F.count_if("final").alias("f")).where("k >= 3").withColumn("lang", F.lit(""))
+    out = short
+    for more in (lower, starter, number, pair, fact(common, "short", final=2 * F.col("f") > F.col("k"))):
+        out = out.unionByName(more)
+    return cut(out)
+
+
+def _types_of(text: str) -> set[str]:
+    return {w[0] for line in _LINE.finditer(text) for t in line.group().split() if (w := _word(t)) is not None}
+
+
+def _needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The facts a text can need: its types in its languages."""
+    for pdf in batches:
+        rows = [(tid, lang, kind) for tid, text, langs in zip(pdf["tid"], pdf["text"], pdf["langs"], strict=True) for kind in _types_of(text) for lang in {*langs, ""}]
+        if rows:
+            yield pd.DataFrame(rows, columns=["tid", "lang", "type"])
+
+
+def split_rule(known: DataFrame, sent_words: int = SENT_WORDS) -> tuple[DataFrame, Callable]:
+    """`known(text, langs, ...)` and a function from its rows to their sentences.
+
+    Facts are learned from all rows. Up to `sent_words` of them go to every task; beyond, each text is joined with those its
+    words need, in a column of its own, with the same result.
+    """
+    facts = learn_facts(known)
+    some = facts.limit(sent_words + 1).collect()
+    if len(some) <= sent_words:
+        bounds = Boundaries.of(some)
+        return known, lambda r: bounds.split(r.text, tuple(r.langs))
+    keyed = cut(known.withColumn("tid", F.monotonically_increasing_id()))
+    own = keyed.mapInPandas(_needed, "tid long, lang string, type string").join(facts, ["lang", "type"])
+    own = own.groupBy("tid").agg(F.collect_list(F.struct("lang", "role", "type", "other", "final")).alias("own_facts"))  # of the words of one text
+    wide = keyed.join(own, "tid", "left").drop("tid")
+    return wide, lambda r: Boundaries.of(r.own_facts if r.own_facts is not None else ()).split(r.text, tuple(r.langs))
 
 
 #: A text whose confidence reaches this is taken for one language; in others each part is looked at.
@@ -397,22 +427,21 @@ def with_languages(df: DataFrame, model: LanguageModel, part: int = 90) -> DataF
     return df.mapInPandas(run, f"{schema}, langs array<string>")
 
 
-def sentences(texts: DataFrame, model: LanguageModel) -> DataFrame:
+def sentences(texts: DataFrame, model: LanguageModel, sent_words: int = SENT_WORDS) -> DataFrame:
     """One row per sentence of `texts(kind, rec_id, text)`: `(kind, rec_id, start_pos, end_pos)`.
 
     Null and blank texts have no sentence. Positions count code points. Repeated rows give repeated sentences; other
     columns are ignored. Statistics are learned from all rows.
     """
-    known = cut(with_languages(texts.select("kind", "rec_id", "text").where("text is not null"), model))
-    bounds = learn_boundaries(known)
+    known, parts_of = split_rule(cut(with_languages(texts.select("kind", "rec_id", "text").where("text is not null"), model)), sent_words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             kinds, ids, starts, stops = [], [], [], []
-            for kind, rec, text, langs in zip(pdf["kind"], pdf["rec_id"], pdf["text"], pdf["langs"], strict=True):
-                for s, e in bounds.split(text, tuple(langs)):
-                    kinds.append(kind)
-                    ids.append(rec)
+            for r in pdf.itertuples(index=False):
+                for s, e in parts_of(r):
+                    kinds.append(r.kind)
+                    ids.append(r.rec_id)
                     starts.append(s)
                     stops.append(e)
             if kinds:

@@ -12,6 +12,7 @@ from strandwise.llm.containers import fill_containers, fullest, knapsack, solve_
 from strandwise.llm.language import UNKNOWN, LanguageModel, features, fit_from, fit_model, language_code
 from strandwise.llm.runs import abstract_runs, join_runs, title_runs
 from strandwise.llm.sentences import Boundaries, LanguageFacts, sentences
+from strandwise.sources.tables import table
 
 EN = ["The teachers of the school compared the results with those of the other groups.", "About the half of the children liked the new books that they had been given."]
 DE = ["Die Lehrpersonen der Schule verglichen die Ergebnisse mit denen der anderen Gruppen.", "Rund die Hälfte der Kinder mochte die neuen Bücher, die sie bekommen hatten."]
@@ -277,3 +278,12 @@ def test_beta_quantiles():
     assert C.beta_share(2, 1, 0.6) == pytest.approx(0.36)
     q = C.beta_quantile(0.5, (1 / 12) ** 0.5, 0.975)  # the uniform law
     assert q == pytest.approx(0.975, abs=1e-6) and C.beta_quantile(1.0, 0.1, 0.5) == 1.0
+
+
+def test_sentences_are_the_same_beyond_the_bound_of_sent_facts(spark, sf, model):
+    t = table(spark, sf, "sources").where("abstract is not null").groupBy("id").agg(F.max("abstract").alias("text")).select(F.lit("source").alias("kind"), F.col("id").alias("rec_id"), "text")
+    near = {tuple(r) for r in sentences(t, model).collect()}
+    wide = {tuple(r) for r in sentences(t, model, sent_words=0).collect()}
+    assert near == wide and len(near) > 200
+    runs = [{tuple(r) for r in abstract_runs(t, model, n).drop("confidence").collect()} for n in (10**6, 0)]
+    assert runs[0] == runs[1] and runs[0]

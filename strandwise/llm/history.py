@@ -34,7 +34,7 @@ MAX_DIFFERENCE = 64
 PART_BITS = 4
 FIELDS = ("title", "authors", "year", "doi")
 #: Of each view a word of facts and the words of its fingerprint, one view after the other; words and figures are parted by blanks.
-_EXTRA = "figures string, words string, views array<bigint>, exact array<bigint>"
+_EXTRA = "figures string, words string, views array<bigint>, exact array<bigint>, bare bigint"
 _STRIDE = 1 + WORDS
 #: Tables of a store; an append may leave no file.
 _TABLES = {
@@ -43,6 +43,8 @@ _TABLES = {
     "words": "word string, n_texts bigint, n int",
 }
 _SHORT = (1 << 30) - 1
+#: Roles of exact keys: to be found, to ask, or both.
+_FOUND, _ASKS, _BOTH = 1, 2, 3
 #: Largest difference of those 30 bits.
 MAX_SHORT = 9
 #: A function word stands in so large a share of the history's texts.
@@ -83,12 +85,17 @@ def source_views(r: Record) -> list[list[tuple[str, float]]]:
     return out
 
 
-def _doi_keys(r: Record) -> list[int]:
-    """A DOI is looked up together with what must agree besides, so that a DOI of many works makes no large bucket."""
+def _doi_keys(r: Record) -> tuple[list[int], int | None]:
+    """A DOI is looked up together with what must agree besides, so that a DOI of many works makes no large bucket; and the bare DOI.
+
+    The bare key has 1 in its second bit for records with neither title nor author.
+    """
     if not r.doi:
-        return []
+        return [], None
     words = sorted({t for w in r.wordings for t in w.tokens}, key=lambda t: (-len(t), t))[:3]
-    return [_exact(f"{r.doi} {x}") for x in {*words, *(last[:4] for last, _ in r.authors)}] or [_exact(r.doi)]
+    keys = [_exact(f"{r.doi} {x}") for x in {*words, *(last[:4] for last, _ in r.authors)}]
+    bare = _exact(r.doi) & ~2
+    return keys, bare if keys else bare | 2
 
 
 def _flat(facts: np.ndarray, prints: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
@@ -107,19 +114,21 @@ def _sign_sources(batches: Iterator[pd.DataFrame], forms: bool = False) -> Itera
     for pdf in batches:
         if pdf.empty:
             continue
-        views, facts, exact, form = [], [], [], []
+        views, facts, exact, bare, form = [], [], [], [], []
         for fields in zip(*[pdf[c] for c in FIELDS], strict=True):
             r = record(*fields)
             own = source_views(r)
             views.append(own)
             facts += [_facts(r)] * len(own)
-            exact.append(_doi_keys(r))
+            keys, doi = _doi_keys(r)
+            exact.append(keys)
+            bare.append(doi)
             if forms:
                 form.append(_form(r))
         prints = packed(signer.sign([v for own in views for v in own]))
         # 30 bits of the fingerprint go with the facts, for a first test in the bucket
         marked = np.array(facts, dtype=np.uint64).view(np.int64) | (prints[:, 0] & _SHORT)
-        out = pdf.assign(figures=None, words=None, views=_flat(marked, prints, [len(v) for v in views]), exact=exact)
+        out = pdf.assign(figures=None, words=None, views=_flat(marked, prints, [len(v) for v in views]), exact=exact, bare=pd.array(bare, dtype="Int64"))
         yield out.assign(form=form) if forms else out
 
 
@@ -135,7 +144,7 @@ def _sign_claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         figures = [" ".join(f.figures) if f else None for f in found]
         facts = np.array([xxhash.xxh3_64_intdigest(x) for x, v in zip(figures, views, strict=True) if v], dtype=np.uint64).view(np.int64)
         yield pdf.assign(
-            figures=figures, words=[" ".join(f.words) if f else None for f in found], views=_flat(facts, packed(signer.sign(full)), [int(bool(v)) for v in views]), exact=[[] for _ in found]
+            figures=figures, words=[" ".join(f.words) if f else None for f in found], views=_flat(facts, packed(signer.sign(full)), [int(bool(v)) for v in views]), exact=[[] for _ in found], bare=None
         )
 
 
@@ -177,8 +186,16 @@ def block_table(signed: DataFrame, kind: str) -> DataFrame:
     table = v.select("rid", F.col("view").cast("short").alias("view"), facts.alias("facts"), F.explode(F.array(*keys)).alias("key")).select("key", "rid", "view", "facts")
     if kind != "source":
         return table
-    exact = signed.select("rid", F.lit(0).cast("short").alias("view"), F.lit(0).cast("long").alias("facts"), F.explode("exact").alias("key"))
-    return table.unionByName(exact).select("key", "rid", "view", "facts")
+    exact = signed.select("rid", F.explode("exact").alias("key"), F.lit(_BOTH).alias("role"))
+    # under the bare DOI all are found but only those that have nothing else ask, and all ask for those; so the many works
+    # of one DOI never meet under it
+    poor, doi = F.col("bare").bitwiseAND(2) == 2, F.col("bare").bitwiseAND(~2)
+    pairs = F.array(
+        F.struct(doi.alias("key"), F.when(poor, _BOTH).otherwise(_FOUND).alias("role")), F.struct(doi.bitwiseOR(2).alias("key"), F.when(poor, _FOUND).otherwise(_ASKS).alias("role"))
+    )
+    bare = signed.where("bare is not null").select("rid", F.explode(pairs).alias("x")).select("rid", "x.key", "x.role")
+    exact = exact.unionByName(bare).select("key", "rid", F.col("role").cast("short").alias("view"), F.lit(0).cast("long").alias("facts"))
+    return table.unionByName(exact)
 
 
 def _parts(words: DataFrame) -> list[int]:
@@ -189,8 +206,11 @@ def _parts(words: DataFrame) -> list[int]:
 def candidates(new: DataFrame, stored: DataFrame, kind: str) -> DataFrame:
     """`(rid, old_rid, exact, views)`: pairs in one bucket that can be the same by their authors' bits and years."""
     old = stored.select("key", F.col("rid").alias("old_rid"), F.col("view").alias("old_view"), F.col("facts").alias("old_facts"))
-    pairs = new.join(old, "key").where("rid <> old_rid")
     exact = F.col("key").bitwiseAND(1) == 1
+    if kind == "source":
+        # exact keys carry their role in place of a view
+        new, old = new.where(~exact | (F.col("view").bitwiseAND(_ASKS) == _ASKS)), old.where(~exact | (F.col("old_view").bitwiseAND(_FOUND) == _FOUND))
+    pairs = new.join(old, "key").where("rid <> old_rid")
     if kind == "source":
         mark, old_mark = F.shiftrightunsigned("facts", 36), F.shiftrightunsigned("old_facts", 36)
         year, old_year = F.shiftright("facts", 30).bitwiseAND(63), F.shiftright("old_facts", 30).bitwiseAND(63)

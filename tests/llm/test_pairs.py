@@ -234,6 +234,14 @@ def test_a_hot_statement_and_a_hot_doi(spark):
     assert history(spark, old, new) == {("b1", "h000"), ("b2", "o000"), ("b3", "o009")}
 
 
+def test_records_with_a_doi_alone_meet_all_others(spark):
+    a = ["Ada Lovelace"]
+    rich, poor = (LONG, a, 2020, "10.1234/x"), (None, None, None, "https://doi.example/10.1234/X")
+    assert history(spark, [("s1", *rich)], [("b1", *poor, day(1))]) == {("b1", "s1")} == history(spark, [("s1", *poor)], [("b1", *rich, day(1))])
+    other = ("Quite another work on media and its many schools", ["Bo Lund"], 2020, "10.1234/x")
+    assert history(spark, [("s1", *rich)], [("b1", *other, day(1)), ("b2", *rich, day(2))]) == {("b2", "s1")}
+
+
 def test_more_than_eight_authors_sign(spark):
     who = [f"Ann {p}" for p in PLACES[:12]]
     assert history(spark, [("s1", LONG, who, 2020, None)], [("b1", LONG[:50] + "…", who[::-1], 2020, None, day(1))]) == {("b1", "s1")}

@@ -20,6 +20,13 @@ ERIC = "id string, title string, author array<string>, description string, publi
 ATOM = "id string, title string, published string, summary string, doi string, author array<struct<name: string>>, link array<struct<_rel: string, _type: string, _href: string>>"
 
 
+#: Titles and publishers of records without one.
+UNTITLED = {
+    "crossref": "Untitled Crossref work", "semantic_scholar": "Untitled Semantic Scholar paper", "eric": "Untitled ERIC record", "arxiv": "Untitled arXiv work", "web": "Untitled web result", "openalex": "Untitled",
+}
+PUBLISHERS = {"crossref": "Crossref", "semantic_scholar": "Semantic Scholar", "eric": "ERIC", "arxiv": "arXiv", "web": "web", "openalex": "OpenAlex", "report": "report"}
+
+
 def _blank(c: Column) -> Column:
     """White space squeezed; null where nothing is left."""
     return F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
@@ -42,8 +49,8 @@ def from_crossref(items: DataFrame) -> DataFrame:
     year = F.coalesce(*[F.when(F.col(f"`{p}`").isNotNull(), F.struct(F.try_element_at(F.try_element_at(F.col(f"`{p}`.`date-parts`"), F.lit(1)), F.lit(1)).alias("y"))) for p in ("published-print", "published-online", "issued")])["y"]
     people = F.transform("author", lambda a: F.concat_ws(" ", _blank(a["given"]), _blank(a["family"])))
     return _record(
-        items, title=F.coalesce(F.try_element_at("title", F.lit(1)), F.lit("Untitled Crossref work")), authors=_names(people), year=F.nullif(year, F.lit(0)), doi=F.col("DOI"), url=F.col("URL"),
-        publisher=F.coalesce(F.nullif("publisher", F.lit("")), F.lit("Crossref")), source_type=F.when(F.col("type").isin("book", "book-chapter", "monograph"), "book").otherwise("peer_reviewed_article"),
+        items, title=F.coalesce(F.try_element_at("title", F.lit(1)), F.lit(UNTITLED["crossref"])), authors=_names(people), year=F.nullif(year, F.lit(0)), doi=F.col("DOI"), url=F.col("URL"),
+        publisher=F.coalesce(F.nullif("publisher", F.lit("")), F.lit(PUBLISHERS["crossref"])), source_type=F.when(F.col("type").isin("book", "book-chapter", "monograph"), "book").otherwise("peer_reviewed_article"),
     )
 
 
@@ -51,8 +58,8 @@ def from_semantic_scholar(papers: DataFrame) -> DataFrame:
     """A paper with the publication type `review` in any case is a systematic review."""
     review = F.coalesce(F.exists("publicationTypes", lambda k: F.lower(k) == "review"), F.lit(False))
     return _record(
-        papers, title=F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled Semantic Scholar paper")), authors=_names(F.col("authors.name")), year=F.nullif("year", F.lit(0)), doi=F.col("externalIds.DOI"), url=F.col("url"),
-        semantic_scholar_id=F.col("paperId"), eric_id=F.col("externalIds.ERIC"), publisher=F.coalesce(F.nullif("venue", F.lit("")), F.lit("Semantic Scholar")),
+        papers, title=F.coalesce(F.nullif("title", F.lit("")), F.lit(UNTITLED["semantic_scholar"])), authors=_names(F.col("authors.name")), year=F.nullif("year", F.lit(0)), doi=F.col("externalIds.DOI"), url=F.col("url"),
+        semantic_scholar_id=F.col("paperId"), eric_id=F.col("externalIds.ERIC"), publisher=F.coalesce(F.nullif("venue", F.lit("")), F.lit(PUBLISHERS["semantic_scholar"])),
         source_type=F.when(review, "systematic_review").otherwise("peer_reviewed_article"), abstract=F.col("abstract"),
     )
 
@@ -66,8 +73,8 @@ def from_eric(docs: DataFrame) -> DataFrame:
     )
     page = F.concat(F.lit("https://eric.ed.gov/?id="), F.nullif("id", F.lit("")))
     return _record(
-        docs, title=F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled ERIC record")), authors=_names(F.col("author")), year=F.when(F.col("publicationdateyear").rlike(r"^\d+$"), F.col("publicationdateyear")).try_cast("int"),
-        url=F.coalesce(F.nullif("url", F.lit("")), page), eric_id=F.col("id"), publisher=F.coalesce(F.nullif("source", F.lit("")), F.lit("ERIC")), source_type=source_type, abstract=F.nullif("description", F.lit("")),
+        docs, title=F.coalesce(F.nullif("title", F.lit("")), F.lit(UNTITLED["eric"])), authors=_names(F.col("author")), year=F.when(F.col("publicationdateyear").rlike(r"^\d+$"), F.col("publicationdateyear")).try_cast("int"),
+        url=F.coalesce(F.nullif("url", F.lit("")), page), eric_id=F.col("id"), publisher=F.coalesce(F.nullif("source", F.lit("")), F.lit(PUBLISHERS["eric"])), source_type=source_type, abstract=F.nullif("description", F.lit("")),
     )
 
 
@@ -75,8 +82,8 @@ def from_atom(entries: DataFrame) -> DataFrame:
     """Preprints: the year is that of the date's beginning, the address that of the page, else the identifier."""
     page = F.try_element_at(F.filter("link", lambda x: (x["_rel"] == "alternate") & (x["_type"] == "text/html")), F.lit(1))["_href"]
     return _record(
-        entries, title=F.coalesce(_blank(F.col("title")), F.lit("Untitled arXiv work")), authors=_names(F.col("author.name")), year=F.regexp_extract(F.coalesce("published", F.lit("")), r"^\s*(\d{4})", 1).try_cast("int"),
-        doi=_blank(F.col("doi")), url=F.coalesce(page, _blank(F.col("id"))), publisher=F.lit("arXiv"), source_type=F.lit("working_paper"), abstract=_blank(F.col("summary")),
+        entries, title=F.coalesce(_blank(F.col("title")), F.lit(UNTITLED["arxiv"])), authors=_names(F.col("author.name")), year=F.regexp_extract(F.coalesce("published", F.lit("")), r"^\s*(\d{4})", 1).try_cast("int"),
+        doi=_blank(F.col("doi")), url=F.coalesce(page, _blank(F.col("id"))), publisher=F.lit(PUBLISHERS["arxiv"]), source_type=F.lit("working_paper"), abstract=_blank(F.col("summary")),
     )
 
 
@@ -89,8 +96,8 @@ def from_openalex(works: DataFrame) -> DataFrame:
     )
     doi = F.regexp_replace(F.col("doi"), r"(?i)^https?://(dx\.)?doi\.org/", "")
     return _record(
-        works.withColumn("_id", F.col("id")), title=F.coalesce(F.nullif(F.trim("display_name"), F.lit("")), F.lit("Untitled")), authors=_names(F.col("authorships.author.display_name")), year=F.nullif("publication_year", F.lit(0)),
-        doi=doi, url=F.coalesce(F.col("doi"), F.col("_id")), openalex_id=F.col("_id"), publisher=F.coalesce(F.col("primary_location.source.display_name"), F.lit("OpenAlex")), license=F.col("primary_location.license"),
+        works.withColumn("_id", F.col("id")), title=F.coalesce(F.nullif(F.trim("display_name"), F.lit("")), F.lit(UNTITLED["openalex"])), authors=_names(F.col("authorships.author.display_name")), year=F.nullif("publication_year", F.lit(0)),
+        doi=doi, url=F.coalesce(F.col("doi"), F.col("_id")), openalex_id=F.col("_id"), publisher=F.coalesce(F.col("primary_location.source.display_name"), F.lit(PUBLISHERS["openalex"])), license=F.col("primary_location.license"),
         source_type=source_type, abstract=T.inverted_text(F.col("abstract_inverted_index")),
     )
 
@@ -99,7 +106,7 @@ def from_web(hits: DataFrame, current_year: int) -> DataFrame:
     """`hits(title, snippet, link, tier)`: the year is the latest plausible one named anywhere, else the current one marked provisional."""
     y = T.plausible_year([F.col("title"), F.col("snippet"), F.col("link")], current_year)
     return _record(
-        hits, title=F.coalesce(_blank(F.col("title")), F.lit("Untitled web result")), authors=F.array().cast("array<string>"), year=y["year"], url=F.col("link"), publisher=F.coalesce(F.nullif(T.host(F.col("link")), F.lit("")), F.lit("web")),
+        hits, title=F.coalesce(_blank(F.col("title")), F.lit(UNTITLED["web"])), authors=F.array().cast("array<string>"), year=y["year"], url=F.col("link"), publisher=F.coalesce(F.nullif(T.host(F.col("link")), F.lit("")), F.lit(PUBLISHERS["web"])),
         source_type=F.lit("web_resource"), abstract=F.col("snippet"), tier=F.coalesce("tier", F.lit("open")), provisional_year=y["provisional"],
     )
 
@@ -108,7 +115,7 @@ def from_reports(proposals: DataFrame, source_types: tuple[str, ...] = ("policy_
     """`proposals(title, year, source_type, authors, summary, url, publisher)`: those without a title or a year of 1900 to 2100 are dropped."""
     named = proposals.where(_blank(F.col("title")).isNotNull() & F.col("year").between(1900, 2100))
     return _record(
-        named, title=_blank(F.col("title")), authors=_names(F.col("authors")), year=F.col("year"), url=F.col("url"), publisher=F.coalesce(F.nullif("publisher", F.lit("")), F.lit("report")),
+        named, title=_blank(F.col("title")), authors=_names(F.col("authors")), year=F.col("year"), url=F.col("url"), publisher=F.coalesce(F.nullif("publisher", F.lit("")), F.lit(PUBLISHERS["report"])),
         source_type=F.when(F.col("source_type").isin(*source_types), F.col("source_type")).otherwise(F.lit("policy_report")), abstract=F.nullif("summary", F.lit("")),
     )
 

@@ -15,7 +15,6 @@ from strandwise.sources.tables import table
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-_ONCE = "select * from (select *, row_number() over (partition by id order by loaded_at, {t}) as rn_ from {t}) where rn_ = 1"
 _NORM = "trim(regexp_replace(strip_accents(replace(lower({c}), 'ß', 'ss')), '[^a-z0-9]+', ' ', 'g'))"
 _IDENTITY = (
     "coalesce('doi:' || lower(nullif(doi, '')), 'eric_id:' || lower(nullif(eric_id, '')), 'url:' || lower(nullif(url, '')), 'title:' || coalesce("

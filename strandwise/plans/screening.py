@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.functions import text as T
-from strandwise.operators import agreement as A
 from strandwise.operators import appraise as P
 from strandwise.operators import gates as G
 from strandwise.plans.core import _NORM

@@ -41,19 +41,19 @@ def _long_folds() -> dict[str, str]:
     return out
 
 
-def _spelled_out(text: Column) -> Column:
-    """Texts with such characters go through a map letter by letter; all others are left alone."""
+def _spelled_out(text: Column, raw: Column) -> Column:
+    """Folded texts with such characters go through a map letter by letter; all others, by a look at the raw text, are left alone."""
     folds = _long_folds()
     table = F.create_map(*[F.lit(x) for pair in folds.items() for x in pair])
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.when(text.rlike("[" + "".join(folds) + "]"), spelled).otherwise(text)
+    return F.when(raw.rlike("[" + "".join(folds) + "]"), spelled).otherwise(text)
 
 
 def normalize_title(title: Column) -> Column:
     """Lower case, no diacritics, runs of other characters one blank, trimmed; null stays null."""
     source, target = _fold_table()
     folded = F.replace(F.lower(title), F.lit("ß"), F.lit("ss"))
-    folded = _spelled_out(F.translate(F.regexp_replace(folded, r"\p{Mn}+", ""), source, target))
+    folded = _spelled_out(F.translate(F.regexp_replace(folded, r"\p{Mn}+", ""), source, target), title)
     return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
 
 

@@ -36,6 +36,12 @@ def has(padded: Column, phrases: Sequence[str]) -> Column:
     return padded.rlike(T.phrase_pattern(list(phrases))) if phrases else F.lit(False)
 
 
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`df` with further columns that are computed once a row: behind a generator the optimiser does not copy them to where they are used."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")
+    return df.select("*", made).select("*", "_made.*").drop("_made")
+
+
 def _padded(text: str) -> Column:
     return F.concat(F.lit(" "), F.coalesce(T.normalize_title(F.col(text)), F.lit("")), F.lit(" "))
 
@@ -47,14 +53,14 @@ def annotate(df: DataFrame, v: Vocabulary, title: str = "title", abstract: str =
     `adult`: only grown-up learners are named. `educator`: the competence of teachers is the subject. `tool_use`: teachers
     save work with a tool.
     """
-    df = df.withColumns({"_t": _padded(title), "_a": _padded(abstract)})
+    df = _once(df, {"_t": _padded(title), "_a": _padded(abstract)})
     t, a = F.col("_t"), F.col("_a")
     in_title, in_abstract, most, who_title, who_abstract = v.points
     # what stands in the title and what anywhere, each found once
     hits = {f"_k{i}": F.when(has(t, p), 2).when(has(a, p), 1).otherwise(0) for i, p in enumerate(v.topics.values())}
     lists = ("audience", "off_scope", "higher_education", "higher_teaching", "school_age", "educator_strong", "educator_subject", "educator_context", "educator_off")
     hits |= {f"_{n}": F.when(has(t, getattr(v, n)), 2).when(has(a, getattr(v, n)), 1).otherwise(0) for n in lists}
-    df = df.withColumns(hits)
+    df = _once(df, hits)
     level = {n: F.col(f"_{n}") for n in lists}
     named = {n: c > 0 for n, c in level.items()}
     keys = [F.col(f"_k{i}") for i in range(len(v.topics))]
@@ -67,7 +73,7 @@ def annotate(df: DataFrame, v: Vocabulary, title: str = "title", abstract: str =
         .when(named["higher_teaching"] & ~named["school_age"], False)
         .otherwise(named["educator_subject"] & named["educator_context"])
     )
-    df = df.withColumns({
+    df = _once(df, {
         "score": F.least(F.lit(100), F.least(F.lit(most), points) + who) / 100.0,
         "topics": F.filter(F.array(*[F.when(k > 0, F.lit(n)) for n, k in zip(v.topics, keys, strict=True)]), lambda x: x.isNotNull()),
         "off_scope": (level["off_scope"] == 2) | ((level["off_scope"] == 1) & ~anchored),

@@ -44,3 +44,25 @@ def test_greedy_keeps_what_the_sequence_keeps(spark):
     got = {r.node for r in greedy_keep(nodes, spark.createDataFrame(edges, "a int, b int")).collect() if r.kept}
     assert got == kept
     assert greedy_keep(nodes, spark.createDataFrame([], "a int, b int")).where("not kept").count() == 0
+
+
+def test_blocks_of_a_cell_meet_once_and_nothing_else_is_shuffled(spark, monkeypatch):
+    from strandwise.operators import fuzzy
+
+    monkeypatch.setattr(fuzzy, "_BLOCK", 7)
+    rnd = random.Random(9)
+    rows = []
+    for i in range(80):
+        t = list("teaching media literacy in the schools of the north")
+        for _ in range(rnd.randrange(0, 5)):
+            t[rnd.randrange(len(t))] = rnd.choice("abc ")
+        low = rnd.choice([2000, 2001, 2003, -100_000_000])
+        rows.append((i, "".join(t), low, 100_000_000 if low < 0 else low + rnd.randrange(2)))
+    df = spark.createDataFrame(rows, "id long, key string, low int, high int")
+    fit = [(x, y) for x in rows for y in rows if x[0] != y[0] and x[2] <= y[3] + 1 and y[2] <= x[3] + 1]
+    want = {(x[0], y[0]) for x, y in fit if similarity(x[1], y[1]) >= 0.92}
+    got = [(r.x, r.y) for r in fuzzy._near(df, df, 0.92, 1).collect()]
+    assert want and want <= set(got) and len(got) == len(set(got))
+    # far fewer than all pairs, and each of them once in one order
+    one = [(r.x, r.y) for r in fuzzy._near(df, df, 0.92, 1, shorter=True).collect()]
+    assert {frozenset(p) for p in got} == {frozenset(p) for p in one} and len(one) == len({frozenset(p) for p in one})

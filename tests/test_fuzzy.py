@@ -66,3 +66,13 @@ def test_blocks_of_a_cell_meet_once_and_nothing_else_is_shuffled(spark, monkeypa
     # far fewer than all pairs, and each of them once in one order
     one = [(r.x, r.y) for r in fuzzy._near(df, df, 0.92, 1, shorter=True).collect()]
     assert {frozenset(p) for p in got} == {frozenset(p) for p in one} and len(one) == len({frozenset(p) for p in one})
+
+
+def test_asked_titles_meet_all_known_ones(spark, monkeypatch):
+    from strandwise.operators import fuzzy
+
+    monkeypatch.setattr(fuzzy, "_BLOCK", 5)
+    known = spark.createDataFrame([(i, f"reading aloud in school number {i:02d} of the north", 2000 + i % 3, 2000 + i % 3) for i in range(40)], "id long, key string, low int, high int")
+    asked = known.where("id % 8 = 0")
+    got = [(r.x, r.y) for r in fuzzy._near(asked, known, 0.92, 1).collect()]
+    assert sorted(got) == sorted((x, y) for x in range(0, 40, 8) for y in range(40) if x != y and abs(x % 3 - y % 3) <= 1)

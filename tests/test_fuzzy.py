@@ -1,5 +1,7 @@
 import random
 
+import pandas as pd
+
 from strandwise.operators.fuzzy import fuzzy_pairs, greedy_keep, similarity
 
 
@@ -76,3 +78,48 @@ def test_asked_titles_meet_all_known_ones(spark, monkeypatch):
     asked = known.where("id % 8 = 0")
     got = [(r.x, r.y) for r in fuzzy._near(asked, known, 0.92, 1).collect()]
     assert sorted(got) == sorted((x, y) for x in range(0, 40, 8) for y in range(40) if x != y and abs(x % 3 - y % 3) <= 1)
+
+
+def test_one_known_title_decides(monkeypatch):
+    from strandwise.operators import fuzzy
+
+    known = [f"teaching media literacy across the curriculum evidence from the schools of north town {i:03d}" for i in range(300)]
+    asked = ["teaching media literacy across the curriculum evidence from the schools of north town 4x5", "something else"]
+    calls = []
+    monkeypatch.setattr(fuzzy, "similarity", lambda a, b: calls.append(a) or similarity(a, b))
+
+    def side(keys, new):
+        return pd.DataFrame({"id": range(len(keys)), "key": keys, "low": 2000, "high": 2000, "bits": fuzzy._sketch(keys), "new": new})
+
+    left, right = side(asked, True), side(known, False)
+    assert fuzzy._any(0.92, 1)((0, 2000, 0, 0), left, right)["id"].tolist() == [0] and len(calls) == 1
+    both = pd.concat([left, right.assign(id=right["id"] + 10)]).sort_values("key", ignore_index=True)
+    assert [x for out in fuzzy._beside(0.92, 1)(iter([both])) for x in out["id"]] == [0] and len(calls) == 2
+
+
+def test_known_titles_repeat_as_by_brute_force(spark, monkeypatch):
+    from strandwise.operators import fuzzy
+
+    monkeypatch.setattr(fuzzy, "_BLOCK", 7)
+    rnd = random.Random(4)
+    rows = []
+    for i in range(120):
+        t = list(rnd.choice(["assessing critical thinking in rural classrooms findings of the lund project", "media literacy through games in upper schools"]))
+        for _ in range(rnd.randrange(0, 9)):
+            t[rnd.randrange(len(t))] = rnd.choice("abc ")
+        key, year = "".join(t), rnd.choice([2000, 2001, 2003, None])
+        rows.append((f"{key}::{year}", key, year))
+    rows += [("::2000", "", 2000), ("::None", None, None)]
+    old, new = rows[:40] + rows[-2:], rows[40:]
+    fit = lambda a, b: a is None or b is None or abs(a - b) <= 1
+    want = {k for k, t, y in new if t and any(u and fit(y, z) and similarity(t, u) >= 0.92 for _, u, z in old)}
+    known, fresh = [spark.createDataFrame(x, "title_key string, key string, year int") for x in (old, new)]
+    got = [r.title_key for r in fuzzy._repeated(known, fresh, 0.92, 1).collect()]
+    assert 0 < len(want) < len(new) and sorted(got) == sorted(want)
+
+
+def test_titles_are_normalised_once(spark, sf):
+    from strandwise.plans.textual import _records
+
+    # the keys are read, not made again in each of the steps that look at them
+    assert "regexp" not in _records(spark, sf)._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -302,3 +302,28 @@ def test_entities_one_left_record_for_each_right(spark):
     found = match_entities(a, b).collect()
     assert {(r.left_id, r.right_id) for r in found if r.p > 0.5} == {(f"s{i}", f"w{i}") for i in range(0, 60, 3)}
     assert match_entities(a.limit(0), b).count() == 0
+
+
+def test_a_look_up_keeps_no_buckets_and_blocks_are_stored_without_dictionaries(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from strandwise.llm import history as module
+
+    kept, real = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: kept.append(set(df.columns)) or real(df))
+    store = new_store(spark, "claim")
+    store.append(as_claims(spark, [(f"c{i}", t, None) for i, t in enumerate(claims(40))]))
+    assert {tuple(r) for r in accept_batch(store, as_claims(spark, [("a1", claims(3)[2].upper(), day(1))])).collect()} == {("a1", "c2")}
+    # neither the block table of the batch nor the records that were hit are written again
+    assert kept and not any("key" in c for c in kept) and sum("views" in c for c in kept) == 1
+    files = glob.glob(f"{store.path.removeprefix('file:')}/blocks/n=0/part=*/*.parquet")
+    columns = pq.ParquetFile(files[0]).metadata.row_group(0)
+    assert files and not any("DICTIONARY" in e for n in range(columns.num_columns) for e in columns.column(n).encodings)
+    store.drop()
+
+
+def test_records_of_many_views_meet(spark):
+    title = " = ".join(f"{w} of teaching in the schools of {p}" for w, p in zip("Notes Forms Roots Hopes Signs Tales Costs Gains Turns Links".split(), PLACES, strict=False))
+    assert history(spark, [("s1", title, ["Ada Lovelace"], 2020, None)], [("b1", title.split(" = ")[-1], ["Lovelace, A."], 2020, None, day(1))]) == {("b1", "s1")}
